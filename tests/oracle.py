@@ -39,10 +39,13 @@ def rows(cols, data):
 
 
 def compare(spark, con, name, fn, sql, sf: str = SF) -> str:
+    t = time.time()
     df = fn(spark, sf)
-    got_cols, got = rows(df.columns, [tuple(r) for r in df.collect()])
+    data = df.collect()
+    took = f" spark {time.time() - t:.1f}s"
+    got_cols, got = rows(df.columns, [tuple(r) for r in data])
     if sql is None:
-        return f"rows only ({len(got)})" if got else "EMPTY"
+        return f"rows only ({len(got)}){took}" if got else "EMPTY"
     cur = con.execute(sql)
     want_cols, want = rows([d[0] for d in cur.description], cur.fetchall())
     if got_cols != want_cols:
@@ -55,7 +58,7 @@ def compare(spark, con, name, fn, sql, sf: str = SF) -> str:
     types = {type(x).__name__ for r in got for x in r} ^ {type(x).__name__ for r in want for x in r}
     if bad:
         return f"FAIL values {len(bad)}/{len(want)}: {bad[:2]}"
-    return f"ok ({len(got)})" + (f" types differ {types}" if types else "")
+    return f"ok ({len(got)}){took}" + (f" types differ {types}" if types else "")
 
 
 if __name__ == "__main__":
@@ -73,6 +76,6 @@ if __name__ == "__main__":
         try:
             res = compare(spark, con, name, fn, sqls.get(name))
         except Exception as e:
-            res = "FAIL " + "".join(traceback.format_exception_only(e))[:1500]
+            res = "FAIL " + "".join(traceback.format_exception_only(e))[:700]
         print(f"{name}: {res} {time.time() - t:.1f}s", flush=True)
     spark.stop()

@@ -66,6 +66,12 @@ def keep_trace(c: Column, rate: int) -> Column:
     return F.lit(True) if rate == 1 else route(c, rate) > 0
 
 
+def bind(fields: dict[str, Column], fn) -> Column:
+    """``fn`` of a struct that is computed once, however often its fields are used."""
+    one = F.array(F.struct(*[c.alias(k) for k, c in fields.items()]))
+    return F.get(F.transform(one, fn), F.lit(0))
+
+
 def quad_box(q: list[tuple[Column, Column]]) -> tuple[Column, Column, Column, Column]:
     """Bounding box of four corners; the upper ends never fall below zero."""
     xs, ys = [p[0] for p in q], [p[1] for p in q]
@@ -79,6 +85,7 @@ def quad_valid(
     roi_h: Column,
     squeeze: bool = False,
     eps: float = 1e-2,
+    box: tuple | None = None,
 ) -> Column:
     """Accept a projected template outline.
 
@@ -86,7 +93,7 @@ def quad_valid(
     shoelace sum is under half the box, and outlines with a left turn.
     ``squeeze`` adds the side-ratio test, which is off by default.
     """
-    x0, x1, y0, y1 = quad_box(q)
+    x0, x1, y0, y1 = box or quad_box(q)
     w, h = x1 - x0, y1 - y0
     nxt = [q[(i + 1) % 4] for i in range(4)]
     shoelace = reduce(lambda a, b: a + b, [p[0] * n[1] - n[0] * p[1] for p, n in zip(q, nxt)])
@@ -126,9 +133,9 @@ def project_corners(h: list[Column], rect: Column, tw: Column, th: Column):
     return [project_point(h, x, y) for x, y in padded_corners(rect, tw, th)]
 
 
-def found_rect(q, pw: Column, ph: Column, roi_x: Column, roi_y: Column) -> Column:
+def found_rect(q, pw: Column, ph: Column, roi_x: Column, roi_y: Column, box=None) -> Column:
     """Clamp the outline's box to the patch, truncate, shift to frame coordinates."""
-    x0, x1, y0, y1 = (c.cast("int") for c in quad_box(q))
+    x0, x1, y0, y1 = (c.cast("int") for c in box or quad_box(q))
     x0, y0 = F.greatest(F.lit(0), x0), F.greatest(F.lit(0), y0)
     x1, y1 = F.least(pw.cast("int"), x1), F.least(ph.cast("int"), y1)
     return F.struct(

@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from vidspark.functions import scalar as S
-from vidspark.plans.scale import salted
+from vidspark.plans.scale import salted, spread
 from vidspark.schema import FRAME, STREAM
 
 MIN_PRIOR = 1e-6
@@ -154,7 +154,8 @@ def fisher_encode(
         return part[[*windows, "n", "k", "d", "u", "v"]]
 
     cut = salted(df.select(*windows, *ids, col), windows, ids, rows)
-    parts = cut.select(*windows, "_salt", col).groupBy(*windows, "_salt").applyInPandas(run, out)
+    cut = spread(cut.select(*windows, "_salt", col), *windows, "_salt")
+    parts = cut.groupBy(*windows, "_salt").applyInPandas(run, out)
     total = parts.groupBy(*windows, "k", "d").agg(
         F.sum("n").alias("n"), F.sum("u").alias("u"), F.sum("v").alias("v")
     )

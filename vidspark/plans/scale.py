@@ -66,6 +66,16 @@ def maybe_broadcast(df: DataFrame, row_bytes: int = 64) -> DataFrame:
     return F.broadcast(df) if small(df, row_bytes) else df
 
 
+def spread(df: DataFrame, *keys: str) -> DataFrame:
+    """Hash-partition by ``keys`` over all shuffle partitions.
+
+    A fixed count keeps adaptive coalescing from merging small inputs of costly Python
+    groups into few tasks; the grouping that follows needs no further exchange.
+    """
+    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return df.repartition(n, *keys)
+
+
 def numbered(
     df: DataFrame,
     keys: Sequence[str],

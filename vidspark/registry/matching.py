@@ -1 +1,211 @@
-"""Queries."""
+"""Descriptor matching, geometric verification, detection."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from vidspark.operators import geometry as GE
+from vidspark.operators import matching as M
+from vidspark.params import Matching
+from vidspark.registry.core import VIEWS, bank_desc, patch_desc, query, table, track_points
+
+RATIO = 0.95
+
+VIEWS["v_pairs"] = """
+SELECT q, patch, t, tpl, sqrt(list_sum(list_transform(list_zip(v_q.descr, v_t.descr),
+  lambda p: (CAST(p[1] AS DOUBLE) - p[2]) * (CAST(p[1] AS DOUBLE) - p[2])))) AS d FROM v_q CROSS JOIN v_t"""
+VIEWS["v_fwd"] = """
+SELECT *, lead(d) OVER (PARTITION BY q, tpl ORDER BY d, t) AS d2,
+  row_number() OVER (PARTITION BY q, tpl ORDER BY d, t) AS r FROM v_pairs"""
+VIEWS["v_back"] = """
+SELECT *, lead(d) OVER (PARTITION BY t, patch ORDER BY d, q) AS d2,
+  row_number() OVER (PARTITION BY t, patch ORDER BY d, q) AS r FROM v_pairs"""
+VIEWS["v_fwd1"] = f"SELECT q, patch, t, tpl, d FROM v_fwd WHERE r = 1 AND d < {RATIO} * d2"
+VIEWS["v_back1"] = f"SELECT q, patch, t, tpl, d FROM v_back WHERE r = 1 AND d < {RATIO} * d2"
+VIEWS["v_fband"] = """SELECT * FROM (SELECT *, min(d) OVER (PARTITION BY patch, tpl) AS lo,
+  max(d) OVER (PARTITION BY patch, tpl) AS hi FROM v_fwd1) t WHERE d <= 3 * lo + hi / 12"""
+VIEWS["v_bband"] = """SELECT * FROM (SELECT *, min(d) OVER (PARTITION BY patch, tpl) AS lo,
+  max(d) OVER (PARTITION BY patch, tpl) AS hi FROM v_back1) t WHERE d <= 3 * lo + hi / 12"""
+VIEWS["v_mutual"] = """SELECT f.patch, f.tpl, f.q, f.t, f.d FROM v_fband f JOIN v_bband b
+  ON f.q = b.q AND f.t = b.t"""
+
+
+def _knn(spark, sf):
+    return M.knn_match(patch_desc(spark, sf), bank_desc(spark, sf).withColumnRenamed("tpl", "g"), 2)
+
+
+def _forward(spark, sf):
+    own = patch_desc(spark, sf).select("q", "patch")
+    return M.ratio_test(_knn(spark, sf), RATIO).join(own, "q").withColumnRenamed("g", "tpl")
+
+
+def _back(spark, sf):
+    k = M.knn_match(
+        bank_desc(spark, sf).select(F.col("t").alias("q"), "descr"),
+        patch_desc(spark, sf).select(F.col("q").alias("t"), F.col("patch").alias("g"), "descr"),
+    )
+    b = M.ratio_test(k, RATIO).select(F.col("g").alias("patch"), F.col("q").alias("t"), F.col("t").alias("q"), "d")
+    return b.join(bank_desc(spark, sf).select("t", "tpl"), "t")
+
+
+def _dist():
+    return F.round("d", 4).alias("d")
+
+
+@query("j3_knn_match", "SELECT q, tpl, t, round(d, 4) AS d, CAST(r AS INTEGER) AS rank FROM v_fwd WHERE r <= 2")
+def _(spark, sf):
+    return _knn(spark, sf).select("q", F.col("g").alias("tpl"), "t", _dist(), "rank")
+
+
+@query("w1_ratio_test", "SELECT q, tpl, t, round(d, 4) AS d FROM v_fwd1")
+def _(spark, sf):
+    return _forward(spark, sf).select("q", "tpl", "t", _dist())
+
+
+@query(
+    "a4_match_stats",
+    """SELECT patch, tpl, round(min(d), 4) AS min_d, round(max(d), 4) AS max_d FROM v_fwd1 GROUP BY 1, 2""",
+)
+def _(spark, sf):
+    s = M.match_stats(_forward(spark, sf), ["patch", "tpl"])
+    return s.select("patch", "tpl", F.round("min_d", 4).alias("min_d"), F.round("max_d", 4).alias("max_d"))
+
+
+@query("w2_band_filter", "SELECT q, patch, tpl, t, round(d, 4) AS d FROM v_bband")
+def _(spark, sf):
+    return M.band_filter(_back(spark, sf), ["patch", "tpl"]).select("q", "patch", "tpl", "t", _dist())
+
+
+@query("j4_symmetric_matches", "SELECT patch, tpl, q, t, round(d, 4) AS d FROM v_mutual")
+def _(spark, sf):
+    keys = ["patch", "tpl"]
+    m = M.symmetric_matches(
+        M.band_filter(_forward(spark, sf), keys), M.band_filter(_back(spark, sf), keys), keys
+    )
+    return m.select("patch", "tpl", "q", "t", _dist())
+
+
+@query("a5_min_matches", "SELECT patch, tpl, count(*) AS n_matches FROM v_mutual GROUP BY 1, 2 HAVING count(*) >= 2")
+def _(spark, sf):
+    m = M.match_patches(patch_desc(spark, sf), bank_desc(spark, sf), RATIO)
+    return M.min_matches(m, ["patch", "tpl"], 2)
+
+
+@query("m2_match_patches", "SELECT patch, tpl, q, t, round(d, 4) AS d FROM v_mutual")
+def _(spark, sf):
+    m = M.match_patches(patch_desc(spark, sf), bank_desc(spark, sf), RATIO)
+    return m.select("patch", "tpl", "q", "t", _dist())
+
+
+# Point pairs under a known map per user, every error event an outlier.
+VIEWS["v_corr"] = """
+SELECT CAST(user_id % 4 AS INTEGER) AS stream_id, user_id AS grp, event_id, event_type = 'error' AS bad,
+  CAST((event_id * 37) % 101 AS DOUBLE) AS sx, CAST((event_id * 53) % 97 AS DOUBLE) AS sy FROM events"""
+
+
+def correspondences(spark, sf):
+    a, b = "sx", "sy"
+    e = table(spark, sf, "events").selectExpr(
+        "user_id AS grp", "event_id", "event_type = 'error' AS bad", "CAST((event_id * 37) % 101 AS double) AS sx",
+        "CAST((event_id * 53) % 97 AS double) AS sy",
+    )
+    w = f"(0.001 * {a} + 0.0005 * {b} + 1)"
+    shift = "CASE WHEN bad THEN 40 + (event_id % 7) * 11 ELSE 0 END"
+    return e.selectExpr(
+        "grp", "sx", "sy",
+        f"((1 + (grp % 3) * 0.12) * {a} + 0.06 * {b} + grp % 20) / {w} + {shift} AS dx",
+        f"(0.03 * {a} + (1 + (grp % 5) * 0.06) * {b} + grp % 30) / {w} - {shift} AS dy",
+    )
+
+
+def _planted(extra: str = "") -> str:
+    return f"""SELECT user_id AS grp, 1 + (user_id % 3) * 0.12 AS h0, 0.06 AS h1,
+      CAST(user_id % 20 AS DOUBLE) AS h2, 0.03 AS h3, 1 + (user_id % 5) * 0.06 AS h4,
+      CAST(user_id % 30 AS DOUBLE) AS h5, 0.001 AS h6, 0.0005 AS h7, 1.0 AS h8{extra} FROM events GROUP BY user_id"""
+
+
+@query(
+    "m3_fit_homography",
+    f"""SELECT grp, CAST(round(h0, 4) AS DOUBLE) AS h0, CAST(round(h1, 4) AS DOUBLE) AS h1, round(h2, 3) AS h2, CAST(round(h3, 4) AS DOUBLE) AS h3,
+    CAST(round(h4, 4) AS DOUBLE) AS h4, round(h5, 3) AS h5, CAST(n AS BIGINT) AS n_inliers FROM ({_planted(", count(*) FILTER (event_type <> 'error') AS n")}) t""",
+)
+def _(spark, sf):
+    fit = GE.fit_homography(correspondences(spark, sf), ["grp"], 1.0)
+    return fit.select(
+        "grp", *[F.round(f"h{i}", 3 if i in (2, 5) else 4).alias(f"h{i}") for i in range(6)], "n_inliers"
+    )
+
+
+BOX_SQL = """
+p AS (SELECT trace_id, list(x) AS xs, list(y) AS ys, CAST(ceil(count(*) * 0.9) AS INTEGER) AS need FROM v_pts GROUP BY 1),
+ux AS (SELECT DISTINCT trace_id, x FROM v_pts), uy AS (SELECT DISTINCT trace_id, y FROM v_pts),
+edge AS (SELECT p.trace_id, a.x AS x0, b.x AS x1, c.y AS y0, need,
+    list_sort(list_transform(list_filter(list_zip(xs, ys), lambda z: z[1] >= a.x AND z[1] <= b.x AND z[2] >= c.y), lambda z: z[2])) AS up
+  FROM p JOIN ux a USING (trace_id) JOIN ux b USING (trace_id) JOIN uy c USING (trace_id) WHERE a.x <= b.x),
+cand AS (SELECT trace_id, x0, y0, x1, up[need] AS y1 FROM edge WHERE len(up) >= need),
+best AS (SELECT *, row_number() OVER (PARTITION BY trace_id ORDER BY (x1 - x0) * (y1 - y0), x0, y0, x1, y1) AS r FROM cand)"""
+
+
+@query(
+    "k4_tightest_box",
+    f"""WITH {BOX_SQL} SELECT trace_id, CAST(trunc(x0) AS INTEGER) AS x, CAST(trunc(y0) AS INTEGER) AS y,
+    CAST(trunc(x1 - x0) AS INTEGER) AS w, CAST(trunc(y1 - y0) AS INTEGER) AS h FROM best WHERE r = 1""",
+)
+def _(spark, sf):
+    return GE.tightest_box(track_points(spark, sf).select("trace_id", "x", "y"), ["trace_id"], 0.9)
+
+
+def _verified(spark, sf):
+    m = correspondences(spark, sf)
+    sizes = m.select("grp").distinct().select(
+        "grp", F.lit(101).alias("tw"), F.lit(97).alias("th"),
+        F.struct(
+            F.lit(32).alias("x"), F.lit(24).alias("y"), F.lit(160).alias("w"), F.lit(150).alias("h")
+        ).alias("roi"),
+    )
+    return GE.verify_matches(m, sizes, ["grp"], Matching(min_matches=4))
+
+
+@query("m4_verify_matches")
+def _(spark, sf):
+    return _verified(spark, sf).select("grp", "rect.*", "n_inliers")
+
+
+@query("m5_detect")
+def _(spark, sf):
+    """Groups play (patch, template): two templates of one logo compete for a patch."""
+    v = _verified(spark, sf).select(
+        F.expr("grp div 2").alias("patch"), F.lit(0).alias("logo_index"), (F.col("grp") % 2).alias("template_id"), "rect"
+    )
+    bank = _two_templates(spark, sf)
+    patches = table(spark, sf, "events").selectExpr("user_id div 2 AS patch", "0 AS logo_index").distinct()
+    d = GE.detect(v, bank, patches, ["patch"])
+    return d.select("patch", "logo_index", "template_id", "rect.*")
+
+
+def _two_templates(spark, sf):
+    e = table(spark, sf, "events").selectExpr("user_id % 2 AS template_id").groupBy("template_id").count()
+    return e.selectExpr(
+        "0 AS logo_index", "template_id", "CAST(template_id = 0 AS int) AS is_original", "count AS priority",
+        "template_id AS seq",
+    )
+
+
+@query(
+    "m6_detect_frozen_bank",
+    """WITH n AS (SELECT patch, tpl, count(*) AS n_matches FROM v_mutual GROUP BY 1, 2),
+    b AS (SELECT tpl, count(*) AS priority FROM v_t GROUP BY 1)
+    SELECT patch, CAST(tpl % 3 AS INTEGER) AS logo_index, tpl AS template_id, n_matches FROM (SELECT n.*, row_number() OVER
+      (PARTITION BY patch, n.tpl % 3 ORDER BY priority DESC, n.tpl) AS r FROM n JOIN b ON n.tpl = b.tpl) t WHERE r = 1""",
+)
+def _(spark, sf):
+    """No feedback: matches of all patches against a fixed bank, best template per patch and logo."""
+    from vidspark.operators.bank import rank_templates
+
+    m = M.match_patches(patch_desc(spark, sf), bank_desc(spark, sf), RATIO)
+    n = M.min_matches(m, ["patch", "tpl"], 1)
+    bank = bank_desc(spark, sf).groupBy("tpl").agg(F.count("*").alias("priority"))
+    hits = n.join(bank, "tpl").selectExpr(
+        "patch", "tpl AS template_id", "tpl % 3 AS logo_index", "1 AS is_original", "priority", "tpl AS seq", "n_matches"
+    )
+    return rank_templates(hits, ["patch", "logo_index"]).select("patch", "logo_index", "template_id", "n_matches")
