@@ -22,25 +22,37 @@ MIN_PRIOR = 1e-6
 MODEL_CELLS = 4_000_000
 
 
-def _matrix(df: DataFrame, row: str, col: str, value: str) -> np.ndarray:
-    """A model table as a dense matrix, refused beyond ``MODEL_CELLS``."""
-    n = df.count()
-    if n > MODEL_CELLS:
-        raise ValueError(f"model of {n} cells is too large to hand to every task")
-    p = df.select(row, col, value).toPandas()
+def _collected(df: DataFrame) -> pd.DataFrame:
+    """A model table on the driver, refused beyond ``MODEL_CELLS`` rows; one job."""
+    p = df.limit(MODEL_CELLS + 1).toPandas()
+    if len(p) > MODEL_CELLS:
+        raise ValueError(f"model of over {MODEL_CELLS} cells is too large to hand to every task")
+    return p
+
+
+def _matrix(p: pd.DataFrame, row: str, col: str, value: str) -> np.ndarray:
     m = np.zeros((int(p[row].max()) + 1, int(p[col].max()) + 1))
     m[p[row].to_numpy(int), p[col].to_numpy(int)] = p[value]
     return m
 
 
 class Mixture:
-    """Diagonal Gaussian mixture as arrays."""
+    """Diagonal Gaussian mixture as arrays, from rows ``(k, d, mean, var, prior)``."""
 
     def __init__(self, model: DataFrame):
-        self.mean = _matrix(model, "k", "d", "mean")
-        self.var = _matrix(model, "k", "d", "var")
-        p = model.select("k", "prior").distinct().toPandas().sort_values("k")
-        self.prior = p["prior"].to_numpy(float)
+        p = _collected(model.select("k", "d", "mean", "var", "prior"))
+        self.mean = _matrix(p, "k", "d", "mean")
+        self.var = _matrix(p, "k", "d", "var")
+        self.prior = p.groupby("k")["prior"].first().sort_index().to_numpy(float)
+
+    @classmethod
+    def of(cls, model: DataFrame | Mixture) -> Mixture:
+        return model if isinstance(model, cls) else cls(model)
+
+    def priors(self, spark) -> DataFrame:
+        """(k, prior): one row per cluster."""
+        rows = [(k, float(v)) for k, v in enumerate(self.prior)]
+        return F.broadcast(spark.createDataFrame(rows, "k int, prior double"))
 
     def log_joint(self, x: np.ndarray) -> np.ndarray:
         """(rows, clusters) log of prior times density."""
@@ -82,10 +94,9 @@ def l2_slice(df: DataFrame, start: int, n: int, feat: str = "feat", out: str = "
 
 def pca_project(df: DataFrame, proj: DataFrame, mean: DataFrame, col: str = "part") -> DataFrame:
     """Replace ``col`` by its projection: subtract the mean, multiply row-major."""
-    m = mean.withColumn("_z", F.lit(0))
-    spark = df.sparkSession
-    model = spark.sparkContext.broadcast(
-        (_matrix(proj, "k", "d", "value"), _matrix(m, "_z", "d", "value")[0])
+    p, m = _collected(proj), _collected(mean).sort_values("d")
+    model = df.sparkSession.sparkContext.broadcast(
+        (_matrix(p, "k", "d", "value"), m["value"].to_numpy(float))
     )
 
     @F.pandas_udf("array<double>")
@@ -101,9 +112,9 @@ def pca_project(df: DataFrame, proj: DataFrame, mean: DataFrame, col: str = "par
     return df.withColumn(col, project(col))
 
 
-def gmm_posteriors(df: DataFrame, model: DataFrame, ids: list[str], col: str = "part") -> DataFrame:
+def gmm_posteriors(df: DataFrame, model: DataFrame | Mixture, ids: list[str], col: str = "part") -> DataFrame:
     """(ids, k, posterior, log_likelihood) for every feature and cluster."""
-    mix = df.sparkSession.sparkContext.broadcast(Mixture(model))
+    mix = df.sparkSession.sparkContext.broadcast(Mixture.of(model))
     types = dict(df.dtypes)
     out = ", ".join(f"{c} {types[c]}" for c in ids) + ", post array<double>, log_likelihood double"
 
@@ -125,7 +136,7 @@ def hard_assign(post: DataFrame, ids: list[str]) -> DataFrame:
 
 def fisher_encode(
     df: DataFrame,
-    model: DataFrame,
+    model: DataFrame | Mixture,
     windows: list[str],
     ids: list[str],
     col: str = "part",
@@ -139,7 +150,8 @@ def fisher_encode(
     ``half`` 0 is first order, 1 second order. Windows are cut into parts of about
     ``rows`` features; each part is summed in one task, the parts are then added up.
     """
-    mix = df.sparkSession.sparkContext.broadcast(Mixture(model))
+    arrays = Mixture.of(model)
+    mix = df.sparkSession.sparkContext.broadcast(arrays)
     types = dict(df.dtypes)
     keys = ", ".join(f"{c} {types[c]}" for c in windows)
     out = f"{keys}, n long, k int, d int, u double, v double"
@@ -159,8 +171,7 @@ def fisher_encode(
     total = parts.groupBy(*windows, "k", "d").agg(
         F.sum("n").alias("n"), F.sum("u").alias("u"), F.sum("v").alias("v")
     )
-    pri = model.select("k", "prior").distinct()
-    t = total.join(F.broadcast(pri), "k")
+    t = total.join(arrays.priors(df.sparkSession), "k")
     usable = F.col("prior") >= MIN_PRIOR
     su = F.when(usable, F.col("u") / (F.col("n") * F.sqrt("prior"))).otherwise(0.0)
     sv = F.when(usable, F.col("v") / (F.col("n") * F.sqrt(2 * F.col("prior")))).otherwise(0.0)
@@ -182,9 +193,9 @@ def signed_sqrt(c):
     return F.signum(c) * F.sqrt(F.abs(c))
 
 
-def fv_normalize(fv: DataFrame, model: DataFrame, windows: list[str]) -> DataFrame:
+def fv_normalize(fv: DataFrame, model: DataFrame | Mixture, windows: list[str]) -> DataFrame:
     """Divide by the root prior once more, signed root, unit length per half."""
-    pri = F.broadcast(model.select("k", F.sqrt("prior").alias("_sp")).distinct())
+    pri = Mixture.of(model).priors(fv.sparkSession).select("k", F.sqrt("prior").alias("_sp"))
     q = fv.join(pri, "k").withColumn("value", signed_sqrt(F.try_divide("value", "_sp"))).drop("_sp")
     w = Window.partitionBy(*windows, "half")
     norm = F.sqrt(F.sum(F.col("value") ** 2).over(w))
@@ -239,7 +250,7 @@ def encode_parts(
     feats: DataFrame,
     slices: list[tuple[int, int]],
     pcas: list[dict[str, DataFrame]],
-    gmms: list[DataFrame],
+    gmms: list[DataFrame | Mixture],
     windows: list[str],
     ids: list[str],
 ) -> DataFrame:
@@ -248,8 +259,9 @@ def encode_parts(
     base = 0
     for (start, n), pca, gmm in zip(slices, pcas, gmms):
         part = pca_project(l2_slice(feats, start, n).select(*windows, *ids, "part"), pca["proj"], pca["mean"])
-        fv = fv_normalize(fisher_encode(part, gmm, windows, ids), gmm, windows)
-        k, d = gmm.agg(F.max("k") + 1, F.max("d") + 1).first()
+        mix = Mixture.of(gmm)
+        fv = fv_normalize(fisher_encode(part, mix, windows, ids), mix, windows)
+        k, d = mix.mean.shape
         pos = F.lit(base) + F.col("half") * (k * d) + F.col("k") * d + F.col("d")
         one = fv.select(*windows, pos.cast("int").alias("pos"), "value")
         base += 2 * k * d
@@ -261,7 +273,7 @@ def recognise_windows(
     feats: DataFrame,
     slices: list[tuple[int, int]],
     pcas: list[dict[str, DataFrame]],
-    gmms: list[DataFrame],
+    gmms: list[DataFrame | Mixture],
     weights: DataFrame,
     n_classes: int,
     windows: list[str],

@@ -246,7 +246,7 @@ def trace_features(desc: DataFrame, b: Blocks = Blocks(), length: int = 15) -> D
         *[F.sort_array(F.collect_list(F.struct("cell", c))).alias(c) for c in cols], F.count("*").alias("_n")
     )
     whole = per.filter(F.col("_n") == b.t_cells)
-    feat = F.concat(*[F.flatten(F.transform(c, lambda s, c=c: s[c])) for c in cols])
+    feat = F.concat(*[F.flatten(F.col(f"{c}.{c}")) for c in cols])
     return whole.select(STREAM, "trace_id", F.transform(feat, lambda v: v.cast("float")).alias("feat"))
 
 

@@ -92,7 +92,8 @@ def advance_points(points: DataFrame, flow: DataFrame, w: int, h: int, median: b
     d = points.withColumns({"_id": F.monotonically_increasing_id(), "_xs": xs})
     d = d.select("*", F.explode(near).alias("_row")).join(rows, [*KEYS, "_row"])
     three = {
-        k: F.transform("_xs", lambda i, a=a: F.get(F.col(a), i)) for k, a in (("_u", "u"), ("_v", "v"))
+        "_u": F.transform("_xs", lambda i: F.get(F.col("u"), i)),
+        "_v": F.transform("_xs", lambda i: F.get(F.col("v"), i)),
     }
     g = d.withColumns(three).groupBy(*rest, "x", "y", "_id").agg(
         F.flatten(F.collect_list("_u")).alias("_u"), F.flatten(F.collect_list("_v")).alias("_v")

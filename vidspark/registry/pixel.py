@@ -1 +1,293 @@
-"""Queries."""
+"""Pixel operators on frames whose pixels are orders."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from vidspark.functions import scalar as S
+from vidspark.operators import overlay as O
+from vidspark.operators import pixels as PX
+from vidspark.operators import tiling as G
+from vidspark.operators import tracking as T
+from vidspark.params import Blocks, Tiling
+from vidspark.plans.scale import fresh_path
+from vidspark.registry.core import H, VIEWS, W, cells, query, table, track_points
+from vidspark.registry.tracking import live, tracked
+from vidspark.sources import frames as SF
+from vidspark.sources import sinks as SK
+
+KEYS = ["stream_id", "frame_id"]
+BLOCKS = Blocks(size=8)
+
+VIEWS["v_px"] = "SELECT c.* FROM v_cells c JOIN v_whole USING (stream_id, frame_id)"
+VIEWS["v_gray"] = """SELECT stream_id, frame_id, y, x, CAST((114 * b + 587 * g + 299 * r + 500) // 1000 AS INTEGER) AS l FROM v_px"""
+
+
+def images(spark, sf):
+    return PX.image_from_cells(cells(spark, sf).select(*KEYS, "y", "x", "b", "g", "r"), W, H)
+
+
+def grays(spark, sf):
+    return PX.to_gray(images(spark, sf)).drop("image")
+
+
+def flows(spark, sf):
+    """Whole frames' flow as an array of rows."""
+    r = T.flow_rows(cells(spark, sf))
+    g = r.groupBy(*KEYS).agg(F.sort_array(F.collect_list(F.struct("y", "u", "v"))).alias("flow"))
+    return g.filter((F.size("flow") == H) & (F.size(F.col("flow")[H - 1]["u"]) == W))
+
+
+@query(
+    "s1_read_frames",
+    "SELECT frame_id, y, x, b AS c0, g AS c1, r AS c2 FROM v_px WHERE stream_id = 0",
+)
+def _(spark, sf):
+    """One stream is one folder of numbered files."""
+    path = fresh_path(spark, "frames")
+    SF.write_frame_files(images(spark, sf).filter("stream_id = 0"), path)
+    return PX.pixel_rows(SF.read_frames(spark, path)).drop("stream_id")
+
+
+@query(
+    "s13_write_frame_with_flow",
+    f"""SELECT stream_id, frame_id, {W * H * 3} AS n_bytes, sum(u * (x + 1) + v * (y + 1)) AS mix FROM v_px GROUP BY 1, 2""",
+)
+def _(spark, sf):
+    path = fresh_path(spark, "flowframes")
+    SK.write_frame_with_flow(images(spark, sf), flows(spark, sf), path)
+    d = spark.read.parquet(path)
+
+    def row(r):
+        u = F.aggregate(F.transform(r["u"], lambda a, i: a * (i + 1)), F.lit(0.0), lambda s, a: s + a)
+        v = F.aggregate(r["v"], F.lit(0.0), lambda s, a: s + a)
+        return u + v * (r["y"] + 1)
+
+    mix = F.aggregate(F.transform("flow", row), F.lit(0.0), lambda s, a: s + a)
+    return d.select(*KEYS, F.length("image.data").alias("n_bytes"), mix.alias("mix"))
+
+
+@query(
+    "p1_resize_area",
+    """SELECT stream_id, frame_id, y // 2 AS y, x // 2 AS x, CAST(floor(avg(b) + 0.5) AS INTEGER) AS c0, CAST(floor(avg(g) + 0.5) AS INTEGER) AS c1,
+    CAST(floor(avg(r) + 0.5) AS INTEGER) AS c2 FROM v_px GROUP BY 1, 2, 3, 4""",
+)
+def _(spark, sf):
+    return PX.pixel_rows(PX.resize_frames(images(spark, sf), W // 2, H // 2, "area"))
+
+
+@query(
+    "p1_resize_linear",
+    f"""WITH t AS (SELECT CAST(Y AS INTEGER) AS y, CAST(X AS INTEGER) AS x, (Y + 0.5) / 2 - 0.5 AS sy, (X + 0.5) / 2 - 0.5 AS sx
+      FROM (SELECT range AS Y FROM range({2 * H})) a CROSS JOIN (SELECT range AS X FROM range({2 * W})) b),
+    tap AS (SELECT y, x, dy, dx, least(greatest(CAST(floor(sy) AS INTEGER) + dy, 0), {H - 1}) AS py, least(greatest(CAST(floor(sx) AS INTEGER) + dx, 0), {W - 1}) AS px,
+      CASE dy WHEN 1 THEN sy - floor(sy) ELSE 1 - (sy - floor(sy)) END * CASE dx WHEN 1 THEN sx - floor(sx) ELSE 1 - (sx - floor(sx)) END AS w
+      FROM t CROSS JOIN (SELECT 0 AS dy UNION ALL SELECT 1) a CROSS JOIN (SELECT 0 AS dx UNION ALL SELECT 1) b)
+    SELECT p.stream_id, p.frame_id, tap.y, tap.x, CAST(floor(sum(CAST(w AS DOUBLE) * b) + 0.5) AS INTEGER) AS c0,
+      CAST(floor(sum(CAST(w AS DOUBLE) * g) + 0.5) AS INTEGER) AS c1, CAST(floor(sum(CAST(w AS DOUBLE) * r) + 0.5) AS INTEGER) AS c2
+    FROM tap JOIN v_px p ON p.y = tap.py AND p.x = tap.px GROUP BY 1, 2, 3, 4""",
+)
+def _(spark, sf):
+    return PX.pixel_rows(PX.resize_frames(images(spark, sf), 2 * W, 2 * H, "linear"))
+
+
+@query("p2_to_gray", "SELECT stream_id, frame_id, y, x, l AS c0 FROM v_gray")
+def _(spark, sf):
+    return PX.pixel_rows(grays(spark, sf), "gray").select(*KEYS, "y", "x", "c0")
+
+
+@query(
+    "p3_crop",
+    "SELECT stream_id, frame_id, y - 2 AS y, x - 3 AS x, b AS c0, g AS c1, r AS c2 FROM v_px WHERE x BETWEEN 3 AND 10 AND y BETWEEN 2 AND 7",
+)
+def _(spark, sf):
+    roi = F.struct(F.lit(3).alias("x"), F.lit(2).alias("y"), F.lit(8).alias("w"), F.lit(6).alias("h"))
+    return PX.pixel_rows(PX.crop(images(spark, sf).withColumn("roi", roi)), "crop")
+
+
+def _near(view: str, val: str, dy: str = "dy", dx: str = "dx") -> str:
+    """Neighbours of every pixel with repeated edges."""
+    return f"""SELECT p.stream_id, p.frame_id, p.y, p.x, dy, dx, n.{val} AS nv FROM {view} p
+      CROSS JOIN (SELECT CAST(range AS INTEGER) - 1 AS dy FROM range(3)) a CROSS JOIN (SELECT CAST(range AS INTEGER) - 1 AS dx FROM range(3)) b
+      JOIN {view} n ON n.stream_id = p.stream_id AND n.frame_id = p.frame_id AND n.y = least(greatest(p.y + dy, 0), {H - 1})
+        AND n.x = least(greatest(p.x + dx, 0), {W - 1})"""
+
+
+CORNER_SQL = f"""
+nb AS ({_near('v_gray', 'l')}),
+sob AS (SELECT stream_id, frame_id, y, x, sum(nv * dx * (2 - abs(dy))) / 3060.0 AS gx, sum(nv * dy * (2 - abs(dx))) / 3060.0 AS gy FROM nb GROUP BY 1, 2, 3, 4),
+prod AS (SELECT stream_id, frame_id, y, x, CAST(gx AS DOUBLE) * gx AS xx, CAST(gx AS DOUBLE) * gy AS xy, CAST(gy AS DOUBLE) * gy AS yy FROM sob),
+box AS (SELECT p.stream_id, p.frame_id, p.y, p.x, sum(n.xx) / 2 AS xx, sum(n.xy) AS xy, sum(n.yy) / 2 AS yy FROM prod p
+  CROSS JOIN (SELECT CAST(range AS INTEGER) - 1 AS dy FROM range(3)) a CROSS JOIN (SELECT CAST(range AS INTEGER) - 1 AS dx FROM range(3)) b
+  JOIN prod n ON n.stream_id = p.stream_id AND n.frame_id = p.frame_id AND n.y = least(greatest(p.y + dy, 0), {H - 1}) AND n.x = least(greatest(p.x + dx, 0), {W - 1})
+  GROUP BY 1, 2, 3, 4),
+resp AS (SELECT *, xx + yy - sqrt((xx - yy) * (xx - yy) + xy * xy) AS response FROM box)"""
+
+
+@query(
+    "t1_corner_response",
+    f"""WITH {CORNER_SQL}
+    SELECT stream_id, frame_id, (y - 1) // 2 AS i, (x - 1) // 2 AS j, x, y, round(response, 6) + 0.0 AS response, round(top, 6) + 0.0 AS top
+    FROM (SELECT *, max(response) OVER (PARTITION BY stream_id, frame_id) AS top FROM resp) t WHERE x % 2 = 1 AND y % 2 = 1""",
+)
+def _(spark, sf):
+    r = PX.corner_response(grays(spark, sf), 2.0)
+    return r.select(*KEYS, "i", "j", "x", "y", (F.round("response", 6) + 0.0).alias("response"), (F.round("top", 6) + 0.0).alias("top"))
+
+
+def _bins(view: str, val: str, gain: float = 1.0) -> str:
+    """Gradient magnitude of each pixel, split over its two nearest of 8 angles."""
+    return f"""SELECT stream_id, frame_id, y, x, bin, sum(m) AS m FROM (
+      SELECT stream_id, frame_id, y, x, unnest([b0, CASE WHEN f - b0 > 0 THEN (b0 + 1) % 8 ELSE (b0 + 7) % 8 END]) AS bin,
+        unnest([mag * w0, mag * (1 - w0)]) AS m FROM (
+        SELECT *, 1 - least(abs(f - b0), 8 - f) AS w0 FROM (
+          SELECT *, CAST(floor(f + 0.5) AS INTEGER) % 8 AS b0 FROM (
+            SELECT stream_id, frame_id, y, x, sqrt(gx * gx + gy * gy) AS mag,
+              (CASE WHEN atan2(gy, gx) < 0 THEN degrees(atan2(gy, gx)) + 360 ELSE degrees(atan2(gy, gx)) END) / 45 AS f FROM (
+              SELECT p.stream_id, p.frame_id, p.y, p.x, {gain} * (CAST(r.{val} AS DOUBLE) - l.{val}) AS gx, {gain} * (CAST(d.{val} AS DOUBLE) - u.{val}) AS gy
+              FROM {view} p
+              JOIN {view} r ON r.stream_id = p.stream_id AND r.frame_id = p.frame_id AND r.y = p.y AND r.x = least(p.x + 1, {W - 1})
+              JOIN {view} l ON l.stream_id = p.stream_id AND l.frame_id = p.frame_id AND l.y = p.y AND l.x = greatest(p.x - 1, 0)
+              JOIN {view} d ON d.stream_id = p.stream_id AND d.frame_id = p.frame_id AND d.x = p.x AND d.y = least(p.y + 1, {H - 1})
+              JOIN {view} u ON u.stream_id = p.stream_id AND u.frame_id = p.frame_id AND u.x = p.x AND u.y = greatest(p.y - 1, 0)) g) a) b) c) e
+      GROUP BY 1, 2, 3, 4, 5"""
+
+
+VIEWS["v_hog"] = _bins("v_gray", "l")
+VIEWS["v_mbhx"] = _bins("v_px", "u", 100.0)
+VIEWS["v_mbhy"] = _bins("v_px", "v", 100.0)
+
+
+def _hist_sql(view: str, extra: str = "") -> str:
+    return f"SELECT {extra}stream_id, frame_id, bin, round(sum(m), 4) + 0.0 AS value FROM {view} GROUP BY stream_id, frame_id, bin"
+
+
+@query("d2_hog", _hist_sql("v_hog"))
+def _(spark, sf):
+    h = PX.gradient_histogram(grays(spark, sf))
+    return h.select(*KEYS, F.posexplode("hist").alias("bin", "value")).select(*KEYS, "bin", (F.round("value", 4) + 0.0).alias("value"))
+
+
+@query("d3_mbh", _hist_sql("v_mbhx", "'x' AS axis, ") + " UNION ALL " + _hist_sql("v_mbhy", "'y' AS axis, "))
+def _(spark, sf):
+    h = PX.motion_histogram(flows(spark, sf))
+    out = None
+    for a in "xy":
+        one = h.select(F.lit(a).alias("axis"), *KEYS, F.posexplode(f"mbh.{a}").alias("bin", "value"))
+        out = one if out is None else out.unionByName(one)
+    return out.withColumn("value", F.round("value", 4) + 0.0)
+
+
+@query(
+    "d4_block_rect",
+    """SELECT trace_id, idx, least(greatest(x - 16, 0.0), 608.0) AS bx, least(greatest(y - 16, 0.0), 448.0) AS by_ FROM v_pts""",
+)
+def _(spark, sf):
+    p = track_points(spark, sf)
+    return p.select(
+        "trace_id", "idx", S.block_origin(F.col("x"), 32, F.lit(640)).alias("bx"), S.block_origin(F.col("y"), 32, F.lit(480)).alias("by_")
+    )
+
+
+def points(spark, sf):
+    """Live points of whole frames, numbered by their place."""
+    p = live(spark, sf)
+    return p.select(*KEYS, F.format_string("%.2f_%.2f", "x", "y").alias("trace_id"), F.lit(0).alias("idx"), "x", "y")
+
+
+def _desc_sql(view: str, name: str) -> str:
+    """Cells of 2 x 2 pixels (block 8 over 3 temporal cells) around each live point."""
+    return f"""SELECT * FROM (WITH pt AS (SELECT l.stream_id, l.frame_id, l.x, l.y, CAST(trunc(least(greatest(l.x - 4, 0), {W - 8})) AS INTEGER) AS x0,
+        CAST(trunc(least(greatest(l.y - 4, 0), {H - 8})) AS INTEGER) AS y0 FROM v_live l JOIN v_whole USING (stream_id, frame_id)),
+      slot AS (SELECT *, CAST(a.range AS INTEGER) AS ci, CAST(b.range AS INTEGER) AS cj, CAST(c.range AS INTEGER) AS bin FROM pt CROSS JOIN range(2) a CROSS JOIN range(2) b CROSS JOIN range(8) c),
+      val AS (SELECT s.stream_id, s.frame_id, s.x, s.y, ci * 16 + cj * 8 + s.bin AS pos, coalesce(sum(m), 0) + 0.05 AS v FROM slot s LEFT JOIN {view} h
+        ON h.stream_id = s.stream_id AND h.frame_id = s.frame_id AND h.bin = s.bin AND h.x BETWEEN x0 + ci * 2 AND least(x0 + ci * 2 + 1, {W - 1})
+        AND h.y BETWEEN y0 + cj * 2 AND least(y0 + cj * 2 + 1, {H - 1}) GROUP BY 1, 2, 3, 4, 5)
+      SELECT '{name}' AS channel, stream_id, frame_id, x, y, pos, round(v / sqrt(sum(v * v) OVER (PARTITION BY stream_id, frame_id, x, y) + 1e-10), 4) AS value FROM val) {name}"""
+
+
+@query("d5_block_descriptor", " UNION ALL ".join(_desc_sql(f"v_{c}", c) for c in ("hog", "mbhx", "mbhy")))
+def _(spark, sf):
+    fr = grays(spark, sf).join(flows(spark, sf), KEYS)
+    d = PX.point_descriptors(fr, points(spark, sf), BLOCKS)
+    xy = F.split("trace_id", "_")
+    out = None
+    for c in ("hog", "mbhx", "mbhy"):
+        one = d.select(
+            F.lit(c).alias("channel"), *KEYS, xy[0].cast("double").alias("x"), xy[1].cast("double").alias("y"), F.posexplode(c).alias("pos", "value")
+        )
+        out = one if out is None else out.unionByName(one)
+    return out.withColumn("value", F.round("value", 4))
+
+
+@query(
+    "a8_mean_pool",
+    """SELECT CAST(vec_id // 15 AS VARCHAR) AS trace_id, CAST((vec_id % 15) // 5 AS INTEGER) AS cell, CAST(d AS INTEGER) AS d,
+    round(avg(CAST(embedding[d + 1] AS DOUBLE)), 4) + 0.0 AS value FROM embeddings CROSS JOIN (SELECT range AS d FROM range(32)) r GROUP BY 1, 2, 3""",
+)
+def _(spark, sf):
+    e = table(spark, sf, "embeddings").select(
+        F.lit(0).alias("stream_id"), F.expr("CAST(vec_id div 15 AS string)").alias("trace_id"), (F.col("vec_id") % 15).cast("int").alias("idx"),
+        F.transform("embedding", lambda v: v.cast("double")).alias("hog"),
+    )
+    m = PX.mean_pool(e, ["hog"], 32)
+    return m.select("trace_id", "cell", F.posexplode("hog").alias("d", "value")).withColumn("value", F.round("value", 4) + 0.0)
+
+
+def finished_points(spark, sf):
+    """Points of finished tracks with the frame each belongs to."""
+    t = T.trace_points(tracked(spark, sf).filter("status = 'finished'"))
+    return t.withColumn("frame_id", (F.col("end_frame") - 15 + F.col("idx")).cast("int"))
+
+
+@query("d6_trace_features")
+def _(spark, sf):
+    """Histogram ``end - 14 + i`` is built on the image of point ``i``, one frame earlier."""
+    fr = grays(spark, sf).join(flows(spark, sf).withColumn("frame_id", F.col("frame_id") - 1), KEYS)
+    d = PX.point_descriptors(fr, finished_points(spark, sf).filter("idx < 15"), BLOCKS)
+    f = PX.trace_features(d, BLOCKS)
+    return f.select("stream_id", "trace_id", F.posexplode("feat").alias("pos", "value"))
+
+
+@query("t4_dense_flow")
+def _(spark, sf):
+    pairs = SF.pair_with_previous(grays(spark, sf), ["gray"])
+    r = PX.flow_rows(PX.dense_flow(pairs))
+    return r.select(*KEYS, "y", F.size("u").alias("width"), F.round(F.array_max("u"), 3).alias("max_u"))
+
+
+@query("m1_patch_descriptors")
+def _(spark, sf):
+    g = grays(spark, sf)
+    sizes = g.select(*KEYS, F.col("gray.width").alias("width"), F.col("gray.height").alias("height"))
+    patches = G.grid_patches(sizes, Tiling(0.5, 0.5))
+    d = PX.patch_descriptors(g, patches, step=2, b=Blocks(size=4))
+    return d.select(*KEYS, "patch_no", "kp", "x", "y", F.round(F.array_max("descr"), 4).alias("top"))
+
+
+RECT = ("frame_id % 8", "frame_id % 5", "frame_id % 8 + 7", "frame_id % 5 + 6")
+
+
+@query(
+    "p18_rasterize",
+    f"""SELECT stream_id, frame_id, y, x, CASE WHEN hit THEN 255 ELSE b END AS c0, CASE WHEN hit THEN 0 ELSE g END AS c1, CASE WHEN hit THEN 255 ELSE r END AS c2
+    FROM (SELECT *, x BETWEEN {RECT[0]} AND {RECT[2]} AND y BETWEEN {RECT[1]} AND {RECT[3]}
+      AND (x IN ({RECT[0]}, {RECT[2]}) OR y IN ({RECT[1]}, {RECT[3]})) AS hit FROM v_px) t""",
+)
+def _(spark, sf):
+    im = images(spark, sf)
+    box = im.select(
+        *KEYS, F.lit(0).alias("logo_index"), F.expr(RECT[0]).alias("x"), F.expr(RECT[1]).alias("y"), F.lit(7).alias("w"), F.lit(6).alias("h")
+    )
+    seg = O.colored(O.rect_outline(box, thick=1)).withColumn("z", F.lit(0))
+    return PX.pixel_rows(O.rasterize(im, seg))
+
+
+@query(
+    "j10_stack_frames",
+    f"""SELECT stream_id, frame_id, y, x, b AS c0, g AS c1, r AS c2 FROM v_px UNION ALL
+    SELECT stream_id, frame_id, y + {H}, x, b, g, r FROM v_px""",
+)
+def _(spark, sf):
+    im = images(spark, sf)
+    return PX.pixel_rows(PX.stack_frames(im, im))

@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+import struct
+import zlib
+
+import numpy as np
+import pyarrow.fs as pafs
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -41,6 +46,34 @@ def read_frames(
     return _named(df, prefix, stream_id)
 
 
+def _png(height: int, width: int, channels: int, data: bytes) -> bytes:
+    """An 8-bit PNG of BGR or grey bytes."""
+    a = np.frombuffer(data, np.uint8).reshape(height, width, channels)
+    raw = b"".join(b"\0" + r.tobytes() for r in (a[:, :, ::-1] if channels == 3 else a))
+
+    def chunk(tag, body):
+        return struct.pack(">I", len(body)) + tag + body + struct.pack(">I", zlib.crc32(tag + body))
+
+    head = struct.pack(">IIBBBBB", width, height, 8, 2 if channels == 3 else 0, 0, 0, 0)
+    return b"\x89PNG\r\n\x1a\n" + chunk(b"IHDR", head) + chunk(b"IDAT", zlib.compress(raw)) + chunk(b"IEND", b"")
+
+
+def write_frame_files(df: DataFrame, path: str, prefix: str = "frame") -> None:
+    """Numbered PNG files of one stream, written by the tasks that hold the frames."""
+
+    def run(batches):
+        fs, root = pafs.FileSystem.from_uri(path if "://" in path else f"file://{path}")
+        fs.create_dir(root, recursive=True)
+        for b in batches:
+            for r in b.itertuples():
+                i = r.image
+                with fs.open_output_stream(f"{root}/{prefix}{r.frame_id:06d}.png") as f:
+                    f.write(_png(i["height"], i["width"], i["nChannels"], bytes(i["data"])))
+            yield b[[FRAME]]
+
+    df.select(FRAME, "image").mapInPandas(run, f"{FRAME} int").write.format("noop").mode("overwrite").save()
+
+
 def stream_frames(
     spark: SparkSession,
     path: str,
