@@ -97,38 +97,37 @@ def _(spark, sf):
     return m.select("patch", "tpl", "q", "t", _dist())
 
 
-# Point pairs under a known map per user, every error event an outlier.
-VIEWS["v_corr"] = """
-SELECT CAST(user_id % 4 AS INTEGER) AS stream_id, user_id AS grp, event_id, event_type = 'error' AS bad,
-  CAST((event_id * 37) % 101 AS DOUBLE) AS sx, CAST((event_id * 53) % 97 AS DOUBLE) AS sy FROM events"""
+# Point pairs under a known map per group, every error event an outlier. A group is half a
+# user's events, told apart by the parity of the event.
+GRP = "user_id * 2 + event_id % 2"
+MAP = [
+    "1 + (grp % 3) * 0.12", "0.06", "grp % 20 + 0.37", "0.03", "1 + (grp % 5) * 0.06", "grp % 30 + 0.37", "0.001", "0.0005", "1.0",
+]
+VIEWS["v_corr"] = f"""SELECT {GRP} AS grp, event_id, event_type = 'error' AS bad,
+  CAST((event_id * 37) % 101 AS DOUBLE) AS x, CAST((event_id * 53) % 97 AS DOUBLE) AS y FROM events"""
+VIEWS["v_map"] = "SELECT grp, count(*) FILTER (NOT bad) AS n_inliers, " + ", ".join(
+    f"CAST({m} AS DOUBLE) AS h{i}" for i, m in enumerate(MAP)
+) + " FROM v_corr GROUP BY grp"
 
 
 def correspondences(spark, sf):
-    a, b = "sx", "sy"
     e = table(spark, sf, "events").selectExpr(
-        "user_id AS grp", "event_id", "event_type = 'error' AS bad", "CAST((event_id * 37) % 101 AS double) AS sx",
+        f"{GRP} AS grp", "event_id", "event_type = 'error' AS bad", "CAST((event_id * 37) % 101 AS double) AS sx",
         "CAST((event_id * 53) % 97 AS double) AS sy",
     )
-    w = f"(0.001 * {a} + 0.0005 * {b} + 1)"
+    h = [f"CAST({m} AS double)" for m in MAP]
+    w = f"({h[6]} * sx + {h[7]} * sy + 1)"
     shift = "CASE WHEN bad THEN 40 + (event_id % 7) * 11 ELSE 0 END"
     return e.selectExpr(
-        "grp", "sx", "sy",
-        f"((1 + (grp % 3) * 0.12) * {a} + 0.06 * {b} + grp % 20) / {w} + {shift} AS dx",
-        f"(0.03 * {a} + (1 + (grp % 5) * 0.06) * {b} + grp % 30) / {w} - {shift} AS dy",
+        "grp", "sx", "sy", f"({h[0]} * sx + {h[1]} * sy + {h[2]}) / {w} + {shift} AS dx",
+        f"({h[3]} * sx + {h[4]} * sy + {h[5]}) / {w} - {shift} AS dy",
     )
 
 
-def _planted(extra: str = "") -> str:
-    return f"""SELECT user_id AS grp, 1 + (user_id % 3) * 0.12 AS h0, 0.06 AS h1,
-      CAST(user_id % 20 AS DOUBLE) AS h2, 0.03 AS h3, 1 + (user_id % 5) * 0.06 AS h4,
-      CAST(user_id % 30 AS DOUBLE) AS h5, 0.001 AS h6, 0.0005 AS h7, 1.0 AS h8{extra} FROM events GROUP BY user_id"""
+ROUNDING = ", ".join(f"round(h{i}, {3 if i in (2, 5) else 4}) AS h{i}" for i in range(6))
 
 
-@query(
-    "m3_fit_homography",
-    f"""SELECT grp, CAST(round(h0, 4) AS DOUBLE) AS h0, CAST(round(h1, 4) AS DOUBLE) AS h1, round(h2, 3) AS h2, CAST(round(h3, 4) AS DOUBLE) AS h3,
-    CAST(round(h4, 4) AS DOUBLE) AS h4, round(h5, 3) AS h5, CAST(n AS BIGINT) AS n_inliers FROM ({_planted(", count(*) FILTER (event_type <> 'error') AS n")}) t""",
-)
+@query("m3_fit_homography", f"SELECT grp, {ROUNDING}, CAST(n_inliers AS BIGINT) AS n_inliers FROM v_map")
 def _(spark, sf):
     fit = GE.fit_homography(correspondences(spark, sf), ["grp"], 1.0)
     return fit.select(
@@ -136,25 +135,44 @@ def _(spark, sf):
     )
 
 
-BOX_SQL = """
-p AS (SELECT trace_id, list(x) AS xs, list(y) AS ys, CAST(ceil(count(*) * 0.9) AS INTEGER) AS need FROM v_pts GROUP BY 1),
-ux AS (SELECT DISTINCT trace_id, x FROM v_pts), uy AS (SELECT DISTINCT trace_id, y FROM v_pts),
-edge AS (SELECT p.trace_id, a.x AS x0, b.x AS x1, c.y AS y0, need,
+def box_sql(src: str, key: str) -> str:
+    return f"""
+p AS (SELECT {key}, list(x) AS xs, list(y) AS ys, CAST(ceil(count(*) * 0.9) AS INTEGER) AS need FROM {src} GROUP BY 1),
+ux AS (SELECT DISTINCT {key}, x FROM {src}), uy AS (SELECT DISTINCT {key}, y FROM {src}),
+edge AS (SELECT p.{key}, a.x AS x0, b.x AS x1, c.y AS y0, need,
     list_sort(list_transform(list_filter(list_zip(xs, ys), lambda z: z[1] >= a.x AND z[1] <= b.x AND z[2] >= c.y), lambda z: z[2])) AS up
-  FROM p JOIN ux a USING (trace_id) JOIN ux b USING (trace_id) JOIN uy c USING (trace_id) WHERE a.x <= b.x),
-cand AS (SELECT trace_id, x0, y0, x1, up[need] AS y1 FROM edge WHERE len(up) >= need),
-best AS (SELECT *, row_number() OVER (PARTITION BY trace_id ORDER BY (x1 - x0) * (y1 - y0), x0, y0, x1, y1) AS r FROM cand)"""
+  FROM p JOIN ux a USING ({key}) JOIN ux b USING ({key}) JOIN uy c USING ({key}) WHERE a.x <= b.x),
+cand AS (SELECT {key}, x0, y0, x1, up[need] AS y1 FROM edge WHERE len(up) >= need),
+best AS (SELECT *, row_number() OVER (PARTITION BY {key} ORDER BY (x1 - x0) * (y1 - y0), x0, y0, x1, y1) AS r FROM cand),
+tight AS (SELECT {key}, CAST(trunc(x0) AS INTEGER) AS x, CAST(trunc(y0) AS INTEGER) AS y,
+  CAST(trunc(x1 - x0) AS INTEGER) AS w, CAST(trunc(y1 - y0) AS INTEGER) AS h FROM best WHERE r = 1)"""
 
 
-@query(
-    "k4_tightest_box",
-    f"""WITH {BOX_SQL} SELECT trace_id, CAST(trunc(x0) AS INTEGER) AS x, CAST(trunc(y0) AS INTEGER) AS y,
-    CAST(trunc(x1 - x0) AS INTEGER) AS w, CAST(trunc(y1 - y0) AS INTEGER) AS h FROM best WHERE r = 1""",
-)
+@query("k4_tightest_box", f"WITH {box_sql('v_pts', 'trace_id')} SELECT * FROM tight")
 def _(spark, sf):
     return GE.tightest_box(track_points(spark, sf).select("trace_id", "x", "y"), ["trace_id"], 0.9)
 
 
+_PX, _PY, _PW = (
+    f"(h{i} * cx{{0}} + h{i + 1} * cy{{0}} + h{i + 2})" for i in (0, 3, 6)
+)
+TURN = " AND ".join(
+    f"(x{(i - 1) % 4} - x{i}) * (y{(i + 1) % 4} - y{i}) - (x{(i + 1) % 4} - x{i}) * (y{(i - 1) % 4} - y{i}) <= 0.01"
+    for i in range(4)
+)
+SHOELACE = " + ".join(f"x{i} * y{(i + 1) % 4} - x{(i + 1) % 4} * y{i}" for i in range(4))
+VERIFY_SQL = f"""{box_sql('v_corr', 'grp')},
+pad AS (SELECT t.grp, m.*, greatest(t.x - 10.1, 0) AS cx0, greatest(t.y - 9.7, 0) AS cy0, least(t.x + t.w + 10.1, 100) AS cx1,
+  greatest(t.y - 9.7, 0) AS cy1, least(t.x + t.w + 10.1, 100) AS cx2, least(t.y + t.h + 9.7, 96) AS cy2, greatest(t.x - 10.1, 0) AS cx3,
+  least(t.y + t.h + 9.7, 96) AS cy3 FROM tight t JOIN v_map m USING (grp)),
+proj AS (SELECT grp, n_inliers, {", ".join(f"{_PX.format(i)} / {_PW.format(i)} AS x{i}, {_PY.format(i)} / {_PW.format(i)} AS y{i}" for i in range(4))} FROM pad),
+ends AS (SELECT *, least(x0, x1, x2, x3) AS ax, greatest(0, x0, x1, x2, x3) AS bx, least(y0, y1, y2, y3) AS ay, greatest(0, y0, y1, y2, y3) AS dy FROM proj),
+good AS (SELECT grp, n_inliers, greatest(0, CAST(trunc(ax) AS INTEGER)) AS l, least(160, CAST(trunc(bx) AS INTEGER)) AS r,
+  greatest(0, CAST(trunc(ay) AS INTEGER)) AS t, least(150, CAST(trunc(dy) AS INTEGER)) AS b FROM ends WHERE bx - ax >= 10 AND dy - ay >= 10
+  AND bx - ax <= 320 AND dy - ay <= 300 AND abs({SHOELACE}) >= 0.5 * (bx - ax) * (dy - ay) AND {TURN}),
+verified AS (SELECT grp, l + 32 AS x, t + 24 AS y, r - l AS w, b - t AS h, CAST(n_inliers AS BIGINT) AS n_inliers FROM good)"""
+
+
 def _verified(spark, sf):
     m = correspondences(spark, sf)
     sizes = m.select("grp").distinct().select(
@@ -166,25 +184,29 @@ def _verified(spark, sf):
     return GE.verify_matches(m, sizes, ["grp"], Matching(min_matches=4))
 
 
-@query("m4_verify_matches")
+@query("m4_verify_matches", f"WITH {VERIFY_SQL} SELECT * FROM verified")
 def _(spark, sf):
     return _verified(spark, sf).select("grp", "rect.*", "n_inliers")
 
 
-@query("m5_detect")
+@query(
+    "m5_detect",
+    f"""WITH {VERIFY_SQL}, pick AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY grp // 2 ORDER BY grp % 2) AS k FROM verified) t WHERE k = 1)
+    SELECT u.patch, 0 AS logo_index, b.grp % 2 AS template_id, b.x, b.y, b.w, b.h FROM (SELECT DISTINCT user_id AS patch FROM events) u
+    LEFT JOIN pick b ON b.grp // 2 = u.patch""",
+)
 def _(spark, sf):
     """Groups play (patch, template): two templates of one logo compete for a patch."""
     v = _verified(spark, sf).select(
         F.expr("grp div 2").alias("patch"), F.lit(0).alias("logo_index"), (F.col("grp") % 2).alias("template_id"), "rect"
     )
-    bank = _two_templates(spark, sf)
-    patches = table(spark, sf, "events").selectExpr("user_id div 2 AS patch", "0 AS logo_index").distinct()
-    d = GE.detect(v, bank, patches, ["patch"])
+    patches = table(spark, sf, "events").selectExpr("user_id AS patch", "0 AS logo_index").distinct()
+    d = GE.detect(v, _two_templates(spark, sf), patches, ["patch"])
     return d.select("patch", "logo_index", "template_id", "rect.*")
 
 
 def _two_templates(spark, sf):
-    e = table(spark, sf, "events").selectExpr("user_id % 2 AS template_id").groupBy("template_id").count()
+    e = table(spark, sf, "events").selectExpr("event_id % 2 AS template_id").groupBy("template_id").count()
     return e.selectExpr(
         "0 AS logo_index", "template_id", "CAST(template_id = 0 AS int) AS is_original", "count AS priority",
         "template_id AS seq",

@@ -12,7 +12,7 @@ from vidspark.operators import tracking as T
 from vidspark.params import Blocks, Tiling
 from vidspark.plans.scale import fresh_path
 from vidspark.registry.core import H, VIEWS, W, cells, query, table, track_points
-from vidspark.registry.tracking import live, tracked
+from vidspark.registry.tracking import TRACK_SQL, live, tracked
 from vidspark.sources import frames as SF
 from vidspark.sources import sinks as SK
 
@@ -240,13 +240,35 @@ def finished_points(spark, sf):
     return t.withColumn("frame_id", (F.col("end_frame") - 15 + F.col("idx")).cast("int"))
 
 
-@query("d6_trace_features")
+# The recursion of the tracker keeps every step of every trace.
+D6_SQL = (
+    TRACK_SQL.split("\nSELECT r.stream_id")[0]
+    + f""",
+fin AS (SELECT stream_id, trace_id FROM run WHERE status = 'finished'),
+pt AS (SELECT r.stream_id, r.trace_id, r.frame_id, r.n - 1 AS idx, CAST(trunc(least(greatest(r.x - 4, 0), {W - 8})) AS INTEGER) AS x0,
+  CAST(trunc(least(greatest(r.y - 4, 0), {H - 8})) AS INTEGER) AS y0 FROM run r JOIN fin USING (stream_id, trace_id) WHERE r.status = 'live' AND r.n <= 15),
+bins AS (SELECT 0 AS ch, stream_id, frame_id, y, x, bin, m FROM v_hog UNION ALL SELECT 1, stream_id, frame_id - 1, y, x, bin, m FROM v_mbhx
+  UNION ALL SELECT 2, stream_id, frame_id - 1, y, x, bin, m FROM v_mbhy),
+slot AS (SELECT pt.*, CAST(a.range AS INTEGER) AS ci, CAST(b.range AS INTEGER) AS cj, CAST(c.range AS INTEGER) AS bin, CAST(e.range AS INTEGER) AS ch
+  FROM pt CROSS JOIN range(2) a CROSS JOIN range(2) b CROSS JOIN range(8) c CROSS JOIN range(3) e),
+val AS (SELECT s.stream_id, s.trace_id, s.idx, s.ch, ci * 16 + cj * 8 + s.bin AS pos, coalesce(sum(m), 0) + 0.05 AS v FROM slot s
+  JOIN (SELECT DISTINCT ch, stream_id, frame_id FROM bins) k ON k.ch = s.ch AND k.stream_id = s.stream_id AND k.frame_id = s.frame_id
+  LEFT JOIN bins h ON h.ch = s.ch AND h.stream_id = s.stream_id AND h.frame_id = s.frame_id AND h.bin = s.bin
+    AND h.x BETWEEN x0 + ci * 2 AND least(x0 + ci * 2 + 1, {W - 1}) AND h.y BETWEEN y0 + cj * 2 AND least(y0 + cj * 2 + 1, {H - 1}) GROUP BY 1, 2, 3, 4, 5),
+unit AS (SELECT *, v / sqrt(sum(v * v) OVER (PARTITION BY stream_id, trace_id, idx, ch) + 1e-10) AS u FROM val),
+pool AS (SELECT stream_id, trace_id, ch * 96 + (idx // 5) * 32 + pos AS pos, avg(u) AS value FROM unit GROUP BY 1, 2, 3)
+SELECT stream_id, trace_id, CAST(pos AS INTEGER) AS pos, round(value, 3) AS value FROM pool"""
+)
+
+
+@query("d6_trace_features", D6_SQL)
 def _(spark, sf):
     """Histogram ``end - 14 + i`` is built on the image of point ``i``, one frame earlier."""
     fr = grays(spark, sf).join(flows(spark, sf).withColumn("frame_id", F.col("frame_id") - 1), KEYS)
     d = PX.point_descriptors(fr, finished_points(spark, sf).filter("idx < 15"), BLOCKS)
     f = PX.trace_features(d, BLOCKS)
-    return f.select("stream_id", "trace_id", F.posexplode("feat").alias("pos", "value"))
+    e = f.select("stream_id", "trace_id", F.posexplode("feat").alias("pos", "value"))
+    return e.withColumn("value", F.round(F.col("value").cast("double"), 3))
 
 
 @query("t4_dense_flow")
@@ -256,7 +278,20 @@ def _(spark, sf):
     return r.select(*KEYS, "y", F.size("u").alias("width"), F.round(F.array_max("u"), 3).alias("max_u"))
 
 
-@query("m1_patch_descriptors")
+# Patches of 8 x 6 every 4 x 3 pixels; keypoints every 2 pixels with blocks of 4.
+M1_SQL = f"""WITH patch AS (SELECT stream_id, frame_id, CAST(i * 3 + j AS INTEGER) AS patch_no, i * 4 AS rx, j * 3 AS ry FROM v_whole
+    CROSS JOIN (SELECT range AS i FROM range(3)) a CROSS JOIN (SELECT range AS j FROM range(3)) b),
+  kp AS (SELECT *, 2 + 2 * kx AS x, 2 + 2 * ky AS y FROM patch CROSS JOIN (SELECT range AS ky FROM range(2)) a CROSS JOIN (SELECT range AS kx FROM range(3)) b),
+  cell AS (SELECT kp.stream_id, kp.frame_id, patch_no, kp.x, kp.y, (h.x - (rx + kp.x - 2)) // 2 * 16 + (h.y - (ry + kp.y - 2)) // 2 * 8 + bin AS pos, sum(m) AS m
+    FROM kp JOIN v_hog h ON h.stream_id = kp.stream_id AND h.frame_id = kp.frame_id AND h.x BETWEEN rx + kp.x - 2 AND rx + kp.x + 1
+      AND h.y BETWEEN ry + kp.y - 2 AND ry + kp.y + 1 GROUP BY 1, 2, 3, 4, 5, 6),
+  kept AS (SELECT stream_id, frame_id, patch_no, x, y, max(m) + 0.05 AS hi, sum((m + 0.05) * (m + 0.05)) + (32 - count(*)) * 0.0025 AS ss FROM cell
+    GROUP BY 1, 2, 3, 4, 5 HAVING sum(m) >= 1)
+  SELECT stream_id, frame_id, patch_no, CAST(row_number() OVER (PARTITION BY stream_id, frame_id, patch_no ORDER BY y, x) - 1 AS INTEGER) AS kp,
+    CAST(x AS DOUBLE) AS x, CAST(y AS DOUBLE) AS y, round(hi / sqrt(ss + 1e-10), 4) AS top FROM kept"""
+
+
+@query("m1_patch_descriptors", M1_SQL)
 def _(spark, sf):
     g = grays(spark, sf)
     sizes = g.select(*KEYS, F.col("gray.width").alias("width"), F.col("gray.height").alias("height"))

@@ -1 +1,226 @@
-"""Queries."""
+"""Streaming operators on tables staged as several files, one per trigger."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+
+from vidspark.operators import encoding as E
+from vidspark.operators import tracking as T
+from vidspark.operators.bank import VersionedBank
+from vidspark.plans.scale import fresh_path
+from vidspark.registry.core import H, W, cells, detections, frames, query, raw_frames, table
+from vidspark.registry.encoding import SLICES, chain_models, features, weights
+from vidspark.registry.relational import FAR, VIEW_DONE, part_bank
+from vidspark.registry.tracking import P, TRACK_SQL, _grid, _pixels
+from vidspark.sources import frames as SF
+from vidspark.streaming import state as X
+from vidspark.streaming.feedback import detect_with_feedback, recognise_closed
+from vidspark.streaming.run import drain, ordered_sink, staged, use_rocksdb
+
+FILES = 3
+
+
+def _plain(spark, sf):
+    return frames(spark, sf).select("stream_id", "frame_id", "event_id", "value")
+
+
+@query("s2_stream_frames", "SELECT stream_id, frame_id, event_id, value FROM v_frames")
+def _(spark, sf):
+    path = fresh_path(spark, "live")
+    f = _plain(spark, sf)
+    f.repartitionByRange(FILES, "frame_id").write.parquet(path)
+    return drain(SF.stream_frames(spark, path, 1, f.schema))
+
+
+@query("s7_paced_stream", "SELECT stream_id, frame_id, event_id, value FROM v_frames")
+def _(spark, sf):
+    """A capped stream delivers everything, just over more triggers."""
+    path, out = fresh_path(spark, "live"), fresh_path(spark, "paced")
+    f = _plain(spark, sf)
+    f.repartitionByRange(FILES, "frame_id").write.parquet(path)
+    df, pace = SF.paced_stream(spark, path, f.schema, files_per_second=2)
+    q = (
+        df.writeStream.format("parquet").option("path", out)
+        .option("checkpointLocation", fresh_path(spark, "state")).trigger(**pace).start()
+    )
+    q.processAllAvailable()
+    q.stop()
+    return spark.read.parquet(out)
+
+
+@query("s8_copy_stream", f"SELECT stream_id, frame_id, event_id, value FROM v_frames WHERE frame_id >= 50 AND frame_id < {FAR}")
+def _(spark, sf):
+    out = fresh_path(spark, "copied")
+    SF.copy_stream(staged(_plain(spark, sf), FILES, "frame_id"), 50, FAR, out, fresh_path(spark, "state")).awaitTermination()
+    return spark.read.parquet(out)
+
+
+def done_frames(spark, sf):
+    d = detections(spark, sf).groupBy("stream_id", "frame_id").agg(
+        (F.count("*") == F.max("patch_count")).alias("done"), (F.max("found") == 1).alias("has_list"),
+        F.count("*").cast("int").alias("parts"),
+    )
+    return d.filter("done").drop("done")
+
+
+DONE_PARTS = """parts AS (SELECT stream_id, frame_id, CAST(count(*) AS INTEGER) AS parts FROM v_det GROUP BY 1, 2 HAVING count(*) = max(patch_count))"""
+
+
+def _in_order(spark, sf):
+    f = staged(done_frames(spark, sf).select("stream_id", "frame_id", "parts"), FILES, "frame_id")
+    return X.resequence(f, start=-1, max_wait=4, polls_per_trigger=1_000_000)
+
+
+@query(
+    "x6_resequence",
+    f"""WITH {DONE_PARTS} SELECT stream_id, frame_id, parts, row_number() OVER (PARTITION BY stream_id ORDER BY frame_id) - 1 AS pos,
+    false AS late FROM parts""",
+)
+def _(spark, sf):
+    return drain(_in_order(spark, sf))
+
+
+@query("s9_ordered_sink", f"WITH {DONE_PARTS} SELECT stream_id, frame_id, parts FROM parts")
+def _(spark, sf):
+    use_rocksdb(spark)
+    out = fresh_path(spark, "ordered")
+    q = ordered_sink(_in_order(spark, sf).filter("NOT late"), out, fresh_path(spark, "state"))
+    q.awaitTermination()
+    return spark.read.option("basePath", out).parquet(f"{out}/*").select("stream_id", "frame_id", "parts")
+
+
+KSLACK_SQL = """SELECT stream_id, frame_id, event_id, CAST(frame_id AS BIGINT) AS pos FROM (SELECT *, max(frame_id) OVER (PARTITION BY stream_id) AS m FROM v_frames) t
+  WHERE frame_id <= m - 4"""
+
+
+def _slack(spark, sf):
+    f = _plain(spark, sf).select("stream_id", "frame_id", "event_id")
+    return drain(X.kslack(staged(f, FILES, "event_id"), 5, "event_id", idle_ms=3_600_000))
+
+
+@query("x7_kslack", KSLACK_SQL)
+def _(spark, sf):
+    return _slack(spark, sf)
+
+
+@query("s10_kslack_sink", f"SELECT stream_id, count(*) AS n, CAST(max(pos) AS BIGINT) AS last FROM ({KSLACK_SQL}) t GROUP BY 1")
+def _(spark, sf):
+    return _slack(spark, sf).groupBy("stream_id").agg(F.count("*").alias("n"), F.max("pos").alias("last"))
+
+
+@query(
+    "x1_stream_collect_complete",
+    f"""WITH {VIEW_DONE} SELECT d.stream_id, d.frame_id, d.patch_count, f.logo_index, f.x, f.y, f.w, f.h FROM done d
+    LEFT JOIN (SELECT * FROM v_det WHERE found = 1) f ON d.stream_id = f.stream_id AND d.frame_id = f.frame_id""",
+)
+def _(spark, sf):
+    d = detections(spark, sf, patch_no=True)
+    out = drain(X.stream_collect_complete(staged(d, FILES, "patch_no"), 3_600_000))
+    return out.filter("complete").drop("complete")
+
+
+@query(
+    "x2_stream_join_frames",
+    """SELECT f.stream_id, f.frame_id, f.status, d.x, d.y FROM v_raw f JOIN v_det d ON f.stream_id = d.stream_id AND f.frame_id = d.frame_id""",
+)
+def _(spark, sf):
+    a = raw_frames(spark, sf).withColumn("frame_ts", SF.frame_time(F.col("frame_id")))
+    b = detections(spark, sf).select("stream_id", "frame_id", "x", "y").withColumn("frame_ts", SF.frame_time(F.col("frame_id")))
+    j = X.stream_join_frames(staged(a, FILES, "frame_id"), staged(b, FILES, "frame_id"), "1 hour")
+    return drain(j.select("stream_id", "frame_id", "status", "x", "y"))
+
+
+@query(
+    "x3_stream_windows",
+    """SELECT stream_id, CAST((frame_id - 15) // 75 AS INTEGER) AS win, CAST(count(*) AS INTEGER) AS n_frames, CAST(sum(frame_id % 3) AS BIGINT) AS n_features
+    FROM v_frames WHERE frame_id >= 15 GROUP BY 1, 2 HAVING count(*) = 75""",
+)
+def _(spark, sf):
+    f = _plain(spark, sf).filter("frame_id >= 15").withColumn("n_features", (F.col("frame_id") % 3).cast("long"))
+    w = E.window_index(f, 15, 75).select("stream_id", "win", "frame_id", "n_features")
+    return drain(X.stream_windows(staged(w, FILES, "frame_id"), 75))
+
+
+@query("x3_stream_recognise", "SELECT win, label, round(score, 4) + 0.0 AS score FROM v_label WHERE win IN (SELECT win FROM v_x GROUP BY 1 HAVING count(DISTINCT vec_id) = 50)")
+def _(spark, sf):
+    """Vectors arrive as frames; windows of 50 are labelled as they close."""
+    pcas, gmms = chain_models(spark, sf)
+    w = features(spark, sf).select(
+        F.lit(0).alias("stream_id"), "win", F.col("vec_id").cast("int").alias("frame_id"), F.lit(1).cast("long").alias("n_features")
+    )
+    closed = X.stream_windows(staged(w, FILES, "frame_id"), 50)
+
+    def rows(done):
+        return features(spark, sf).join(done.select("win"), "win", "left_semi")
+
+    def label(f):
+        return E.recognise_windows(f, SLICES, pcas, gmms, weights(spark, 600), 6, ["win"], ["vec_id"])
+
+    r = recognise_closed(closed, rows, label)
+    return r.select("win", "label", (F.round("score", 4) + 0.0).alias("score"))
+
+
+@query("x4_stream_detect_with_feedback")
+def _(spark, sf):
+    """A line item finds the template of its part, if the bank of the epoch still has it."""
+    li = table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_returnflag")
+    bank = VersionedBank(spark)
+    bank.write(0, part_bank(spark, sf))
+
+    def detect(batch, b):
+        hits = batch.filter("l_returnflag = 'R'").join(b.selectExpr("template_id AS l_partkey", "logo_index"), "l_partkey")
+        return hits.selectExpr(
+            "logo_index", "-1 - l_orderkey AS template_id", "l_partkey AS parent_id", "(l_orderkey * 16 + l_linenumber) * 1000000 + l_partkey AS seq"
+        )
+
+    n = detect_with_feedback(staged(li, FILES, "l_orderkey"), bank, detect, 4, fresh_path(spark, "found"))
+    return bank.read(n)
+
+
+@query("x5_stream_track", f"SELECT * FROM ({TRACK_SQL}) t WHERE status <> 'live'".replace("\nWITH RECURSIVE", "WITH RECURSIVE"))
+def _(spark, sf):
+    r = T.flow_rows(cells(spark, sf))
+    flow = r.groupBy("stream_id", "frame_id").agg(F.sort_array(F.collect_list(F.struct("y", "u", "v"))).alias("flow"))
+    s = T.trace_ids(T.response_threshold(_pixels(spark, sf), _grid(spark, sf), P.quality))
+    s = s.withColumns({"x": F.col("x").cast("double"), "y": F.col("y").cast("double")})
+    seeds = s.groupBy("stream_id", "frame_id").agg(F.collect_list(F.struct("i", "j", "x", "y", "trace_id")).alias("seeds"))
+    f = flow.join(seeds, ["stream_id", "frame_id"], "left")
+    t = drain(X.stream_track(staged(f, FILES, "frame_id"), W, H, P))
+    return t.select(
+        "stream_id", "trace_id", "end_frame", "status", F.size("xs").alias("n_points"),
+        F.element_at("xs", -1).alias("last_x"), F.element_at("ys", -1).alias("last_y"),
+    )
+
+
+@query("x8_stream_dedupe", "SELECT DISTINCT stream_id, frame_id, logo_index FROM v_det")
+def _(spark, sf):
+    d = detections(spark, sf).select("stream_id", "frame_id", "logo_index")
+    d = d.withColumn("frame_ts", SF.frame_time(F.col("frame_id")))
+    return drain(X.stream_dedupe(staged(d, FILES, "frame_id"), ["stream_id", "frame_id", "logo_index"], "1 hour")).drop("frame_ts")
+
+
+@query(
+    "x9_stream_hold",
+    f"""WITH {VIEW_DONE},
+    has AS (SELECT d.stream_id, d.frame_id, CASE WHEN max(coalesce(v.found, 0)) = 1 THEN d.frame_id END AS own
+      FROM done d JOIN v_det v ON d.stream_id = v.stream_id AND d.frame_id = v.frame_id GROUP BY 1, 2),
+    seg AS (SELECT *, sum(CASE WHEN frame_id % 7 = 0 THEN 1 ELSE 0 END) OVER (PARTITION BY stream_id ORDER BY frame_id) AS s FROM has)
+    SELECT stream_id, frame_id, min(own) OVER (PARTITION BY stream_id, s ORDER BY frame_id
+      ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS shown_frame FROM seg""",
+)
+def _(spark, sf):
+    f = done_frames(spark, sf).select("stream_id", "frame_id", "has_list")
+    return drain(X.stream_hold(staged(f, FILES, "frame_id"), 7))
+
+
+@query(
+    "x10_retain_results",
+    """WITH w AS (SELECT stream_id, CAST((frame_id - 15) // 75 AS INTEGER) AS win, CAST(count(*) % 6 AS INTEGER) AS label FROM v_frames WHERE frame_id >= 15 GROUP BY 1, 2)
+    SELECT stream_id, win, label, 'kept' AS event FROM w UNION ALL
+    SELECT stream_id, win, label, 'dropped' FROM (SELECT *, max(win) OVER (PARTITION BY stream_id) AS m FROM w) t WHERE win <= m - 3""",
+)
+def _(spark, sf):
+    w = E.window_index(_plain(spark, sf).filter("frame_id >= 15"), 15, 75)
+    r = w.groupBy("stream_id", "win").agg((F.count("*") % 6).cast("int").alias("label"))
+    return drain(X.retain_results(staged(r, FILES, "win"), 3))
