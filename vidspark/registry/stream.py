@@ -16,7 +16,7 @@ from vidspark.registry.tracking import P, TRACK_SQL, _grid, _pixels
 from vidspark.sources import frames as SF
 from vidspark.streaming import state as X
 from vidspark.streaming.feedback import detect_with_feedback, recognise_closed
-from vidspark.streaming.run import drain, ordered_sink, staged, use_rocksdb
+from vidspark.streaming.run import drain, ordered_sink, staged
 
 FILES = 3
 
@@ -69,7 +69,7 @@ DONE_PARTS = """parts AS (SELECT stream_id, frame_id, CAST(count(*) AS INTEGER)
 
 def _in_order(spark, sf):
     f = staged(done_frames(spark, sf).select("stream_id", "frame_id", "parts"), FILES, "frame_id")
-    return X.resequence(f, start=-1, max_wait=4, polls_per_trigger=1_000_000)
+    return X.resequence(f, start=-1, max_wait=4, polls_per_trigger=1_000_000, tick_ms=None)
 
 
 @query(
@@ -83,7 +83,6 @@ def _(spark, sf):
 
 @query("s9_ordered_sink", f"WITH {DONE_PARTS} SELECT stream_id, frame_id, parts FROM parts")
 def _(spark, sf):
-    use_rocksdb(spark)
     out = fresh_path(spark, "ordered")
     q = ordered_sink(_in_order(spark, sf).filter("NOT late"), out, fresh_path(spark, "state"))
     q.awaitTermination()
@@ -96,7 +95,7 @@ KSLACK_SQL = """SELECT stream_id, frame_id, event_id, CAST(frame_id AS BIGINT) A
 
 def _slack(spark, sf):
     f = _plain(spark, sf).select("stream_id", "frame_id", "event_id")
-    return drain(X.kslack(staged(f, FILES, "event_id"), 5, "event_id", idle_ms=3_600_000))
+    return drain(X.kslack(staged(f, FILES, "event_id"), 5, "event_id", idle_ms=None))
 
 
 @query("x7_kslack", KSLACK_SQL)
@@ -116,7 +115,7 @@ def _(spark, sf):
 )
 def _(spark, sf):
     d = detections(spark, sf, patch_no=True)
-    out = drain(X.stream_collect_complete(staged(d, FILES, "patch_no"), 3_600_000))
+    out = drain(X.stream_collect_complete(staged(d, FILES, "patch_no"), None))
     return out.filter("complete").drop("complete")
 
 

@@ -5,32 +5,30 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from vidspark.plans.scale import fresh_path
 from vidspark.schema import KEYS
-from vidspark.session import ROCKSDB
 
-PROVIDER = "spark.sql.streaming.stateStore.providerClass"
+def staged(df: DataFrame, files: int, order: str) -> DataFrame:
+    """``df`` as a stream of ``files`` slices of an integer column, oldest first, one per trigger.
 
-
-def use_rocksdb(spark: SparkSession) -> None:
-    """Keyed processors need a state store with column families."""
-    if "RocksDB" not in spark.conf.get(PROVIDER, ""):
-        spark.conf.set(PROVIDER, ROCKSDB)
-
-
-def staged(df: DataFrame, files: int, *order: str) -> DataFrame:
-    """``df`` as a stream: written as ``files`` range-ordered files, one per trigger."""
+    Slices are written one after the other: a file source takes files by age.
+    """
     spark = df.sparkSession
     path = fresh_path(spark, "stage")
-    df.repartitionByRange(files, *order).sortWithinPartitions(*order).write.parquet(path)
+    lo, hi = df.agg(F.min(order), F.max(order)).first()
+    width = (hi - lo) // files + 1
+    for i in range(files):
+        first = lo + i * width
+        part = df.filter((F.col(order) >= first) & (F.col(order) < first + width))
+        part.coalesce(1).sortWithinPartitions(order).write.mode("append").parquet(path)
     return spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).parquet(path)
 
 
 def drain(stream: DataFrame, checkpoint: str | None = None) -> DataFrame:
     """Run an append stream over all available input and read its result back."""
     spark = stream.sparkSession
-    use_rocksdb(spark)
     out = fresh_path(spark, "drain")
     q = (
         stream.writeStream.format("parquet")
@@ -46,7 +44,6 @@ def drain(stream: DataFrame, checkpoint: str | None = None) -> DataFrame:
 def for_each_epoch(stream: DataFrame, fn: Callable[[DataFrame, int], None], checkpoint: str | None = None):
     """``fn(batch, epoch)`` for every available micro-batch."""
     spark = stream.sparkSession
-    use_rocksdb(spark)
     q = (
         stream.writeStream.foreachBatch(fn)
         .option("checkpointLocation", checkpoint or fresh_path(spark, "state"))
