@@ -261,13 +261,21 @@ SELECT stream_id, trace_id, CAST(pos AS INTEGER) AS pos, round(value, 3) AS valu
 )
 
 
+def trace_table(spark, sf):
+    """Feature vectors of finished traces.
+
+    Histogram ``end - 14 + i`` is built on the image of point ``i``, one frame earlier.
+    """
+    fr = grays(spark, sf).join(flows(spark, sf).withColumn("frame_id", F.col("frame_id") - 1), KEYS)
+    p = finished_points(spark, sf)
+    d = PX.point_descriptors(fr, p.filter("idx < 15"), BLOCKS)
+    ends = p.filter("idx = 0").select("stream_id", "trace_id", "end_frame")
+    return PX.trace_features(d, BLOCKS).join(ends, ["stream_id", "trace_id"])
+
+
 @query("d6_trace_features", D6_SQL)
 def _(spark, sf):
-    """Histogram ``end - 14 + i`` is built on the image of point ``i``, one frame earlier."""
-    fr = grays(spark, sf).join(flows(spark, sf).withColumn("frame_id", F.col("frame_id") - 1), KEYS)
-    d = PX.point_descriptors(fr, finished_points(spark, sf).filter("idx < 15"), BLOCKS)
-    f = PX.trace_features(d, BLOCKS)
-    e = f.select("stream_id", "trace_id", F.posexplode("feat").alias("pos", "value"))
+    e = trace_table(spark, sf).select("stream_id", "trace_id", F.posexplode("feat").alias("pos", "value"))
     return e.withColumn("value", F.round(F.col("value").cast("double"), 3))
 
 

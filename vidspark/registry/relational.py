@@ -155,14 +155,12 @@ def _(spark, sf):
 
     path = fresh_path(spark, "gmm")
     g = gmm(spark, sf)
-    cells = F.sort_array(F.collect_list(F.struct("k", "d", "mean", "var")))
-    line = g.agg(cells.alias("c"), (F.max("d") + 1).alias("nd"), (F.max("k") + 1).alias("nk"))
-    pri = g.select("k", "prior").distinct().agg(F.sort_array(F.collect_list(F.struct("k", "prior"))).alias("p"))
-    # Two one-row aggregates side by side.
-    rows = line.join(pri)
+    cells = F.sort_array(F.collect_list(F.struct("k", "d", "mean", "var", "prior")))
+    rows = g.agg(cells.alias("c"), (F.max("d") + 1).alias("nd"), (F.max("k") + 1).alias("nk"))
+    pri = F.transform(F.filter("c", lambda x: x["d"] == 0), lambda x: x["prior"])
     head = F.concat_ws(" ", F.col("nd").cast("string"), F.col("nk").cast("string"))
     rows = rows.select(F.posexplode(F.array(
-        head, _joined(F.col("c.mean")), _joined(F.col("c.var")), _joined(F.col("p.prior")))).alias("pos", "value"))
+        head, _joined(F.col("c.mean")), _joined(F.col("c.var")), _joined(pri))).alias("pos", "value"))
     _write_lines(rows, path)
     m = SM.load_gmm(spark, path)
     return m.select("k", "d", *[(F.round(c, 6) + 0.0).alias(c) for c in ("mean", "var", "prior", "sqrt_prior")])
