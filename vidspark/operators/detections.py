@@ -97,7 +97,9 @@ def hold_detections(frames: DataFrame, n: int, bucket: int = 65_536) -> DataFram
     run = Window.partitionBy(STREAM, "_seg2").orderBy("_b")
     ends = ends.withColumn("_state", F.first("_out", ignorenulls=True).over(run))
     ends = ends.select(STREAM, "_b", F.lag("_state").over(over).alias("_in"))
-    j = d.join(ends, [STREAM, "_b"])
+    # Left, though every range has its row: no filter is pushed to one branch only, so both
+    # branches keep the same exchange and Spark runs it once.
+    j = d.join(ends, [STREAM, "_b"], "left")
     shown = F.when(F.col("_seg") == 0, F.coalesce("_in", "_first")).otherwise(F.col("_first"))
     return j.select(*KEYS, shown.cast("int").alias("shown_frame"))
 

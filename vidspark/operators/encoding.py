@@ -18,6 +18,8 @@ from vidspark.plans.scale import salted, spread
 from vidspark.schema import FRAME, STREAM
 
 MIN_PRIOR = 1e-6
+# Part of a window a feature is summed in; set by ``salted``.
+SALT = "_salt"
 # Largest model matrix handed to tasks as numpy arrays.
 MODEL_CELLS = 4_000_000
 
@@ -31,6 +33,8 @@ def _collected(df: DataFrame) -> pd.DataFrame:
 
 
 def _matrix(p: pd.DataFrame, row: str, col: str, value: str) -> np.ndarray:
+    if p.empty:
+        return np.zeros((0, 0))
     m = np.zeros((int(p[row].max()) + 1, int(p[col].max()) + 1))
     m[p[row].to_numpy(int), p[col].to_numpy(int)] = p[value]
     return m
@@ -92,22 +96,31 @@ def l2_slice(df: DataFrame, start: int, n: int, feat: str = "feat", out: str = "
     return df.withColumn(out, S.unit_slice(F.col(feat), start, n))
 
 
-def pca_project(df: DataFrame, proj: DataFrame, mean: DataFrame, col: str = "part") -> DataFrame:
+class Projection:
+    """PCA as arrays, from ``proj (k, d, value)`` and ``mean (d, value)``."""
+
+    def __init__(self, proj: DataFrame, mean: DataFrame):
+        self.matrix = _matrix(_collected(proj), "k", "d", "value")
+        self.mean = _collected(mean).sort_values("d")["value"].to_numpy(float)
+
+    @classmethod
+    def of(cls, model: Projection | dict[str, DataFrame]) -> Projection:
+        return model if isinstance(model, cls) else cls(model["proj"], model["mean"])
+
+
+def pca_project(df: DataFrame, model: Projection | dict[str, DataFrame], col: str = "part") -> DataFrame:
     """Replace ``col`` by its projection: subtract the mean, multiply row-major."""
-    p, m = _collected(proj), _collected(mean).sort_values("d")
-    model = df.sparkSession.sparkContext.broadcast(
-        (_matrix(p, "k", "d", "value"), m["value"].to_numpy(float))
-    )
+    model = df.sparkSession.sparkContext.broadcast(Projection.of(model))
 
     @F.pandas_udf("array<double>")
     def project(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        p, mu = model.value
+        m = model.value
         for s in batches:
             if len(s) == 0:
                 yield s
                 continue
             x = np.stack(s.to_numpy()).astype(float)
-            yield pd.Series(list((x - mu) @ p.T))
+            yield pd.Series(list((x - m.mean) @ m.matrix.T))
 
     return df.withColumn(col, project(col))
 
@@ -165,9 +178,9 @@ def fisher_encode(
             part[name] = value
         return part[[*windows, "n", "k", "d", "u", "v"]]
 
-    cut = salted(df.select(*windows, *ids, col), windows, ids, rows)
-    cut = spread(cut.select(*windows, "_salt", col), *windows, "_salt")
-    parts = cut.groupBy(*windows, "_salt").applyInPandas(run, out)
+    cut = df if SALT in df.columns else salted(df.select(*windows, *ids, col), windows, ids, rows, SALT)
+    cut = spread(cut.select(*windows, SALT, col), *windows, SALT)
+    parts = cut.groupBy(*windows, SALT).applyInPandas(run, out)
     total = parts.groupBy(*windows, "k", "d").agg(
         F.sum("n").alias("n"), F.sum("u").alias("u"), F.sum("v").alias("v")
     )
@@ -249,7 +262,7 @@ def window_index(df: DataFrame, length: int, n: int, frame: str = FRAME) -> Data
 def encode_parts(
     feats: DataFrame,
     slices: list[tuple[int, int]],
-    pcas: list[dict[str, DataFrame]],
+    pcas: list[Projection | dict[str, DataFrame]],
     gmms: list[DataFrame | Mixture],
     windows: list[str],
     ids: list[str],
@@ -257,8 +270,9 @@ def encode_parts(
     """Concatenated normalised vectors ``(windows, pos, value)`` of several feature slices."""
     out = None
     base = 0
+    feats = salted(feats.select(*windows, *ids, "feat"), windows, ids, 8192, SALT)
     for (start, n), pca, gmm in zip(slices, pcas, gmms):
-        part = pca_project(l2_slice(feats, start, n).select(*windows, *ids, "part"), pca["proj"], pca["mean"])
+        part = pca_project(l2_slice(feats, start, n).select(*windows, *ids, SALT, "part"), pca)
         mix = Mixture.of(gmm)
         fv = fv_normalize(fisher_encode(part, mix, windows, ids), mix, windows)
         k, d = mix.mean.shape
@@ -272,7 +286,7 @@ def encode_parts(
 def recognise_windows(
     feats: DataFrame,
     slices: list[tuple[int, int]],
-    pcas: list[dict[str, DataFrame]],
+    pcas: list[Projection | dict[str, DataFrame]],
     gmms: list[DataFrame | Mixture],
     weights: DataFrame,
     n_classes: int,

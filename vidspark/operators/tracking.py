@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from vidspark.functions import scalar as S
 from vidspark.params import Tracking
-from vidspark.plans.scale import fresh_path, lagged
+from vidspark.plans.scale import fresh_path, lagged, spread
 from vidspark.schema import FRAME, KEYS, STREAM
 
 
@@ -237,17 +237,17 @@ def free_seeds(seeds: pd.DataFrame, live: dict, d: float, w: int, h: int) -> dic
         if xs[-1] < d * cols and ys[-1] < d * rows:
             taken.add((int(ys[-1] // d), int(xs[-1] // d)))
     free = {}
-    for r in seeds.itertuples():
-        if (r.i, r.j) not in taken:
-            free[r.trace_id] = ([float(r.x)], [float(r.y)])
+    cols = [seeds[c].tolist() for c in ("i", "j", "x", "y", "trace_id")]
+    for i, j, x, y, name in zip(*cols):
+        if (i, j) not in taken:
+            free[name] = ([float(x)], [float(y)])
     return free
 
 
 def _flow_matrix(rows: pd.DataFrame, w: int, h: int):
     u, v = np.full((h, w), np.nan), np.full((h, w), np.nan)
-    for r in rows.itertuples():
-        u[r.row, : len(r.u)] = r.u
-        v[r.row, : len(r.v)] = r.v
+    for y, us, vs in zip(rows["row"].tolist(), rows["u"], rows["v"]):
+        u[int(y), : len(us)], v[int(y), : len(vs)] = us, vs
     return u, v
 
 
@@ -307,7 +307,7 @@ def track(
                     live = {}
                 frame = int(f)
                 is_flow = rows["row"].notna()
-                u, v = _flow_matrix(rows[is_flow].astype({"row": int}), w, h)
+                u, v = _flow_matrix(rows[is_flow], w, h)
                 live, done, gone = step_frame(live, u, v, length)
                 close(done, frame, "finished")
                 close(gone, frame, "dropped")
@@ -319,7 +319,10 @@ def track(
     for s in range(lo or 0, (hi if hi is not None else -1) + 1):
         part = table.filter(F.col("_seg") == s).drop("_seg")
         step = (
-            part.groupBy(STREAM).cogroup(state.groupBy(STREAM)).applyInPandas(run, CLOSED)
+            spread(part, STREAM)
+            .groupBy(STREAM)
+            .cogroup(spread(state, STREAM).groupBy(STREAM))
+            .applyInPandas(run, CLOSED)
         )
         # Results and carried state are written once per round; replays start from here.
         step.write.partitionBy("status").parquet(f"{root}/round={s}")

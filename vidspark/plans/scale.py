@@ -135,19 +135,19 @@ def lagged(
     """Add columns ``values = {new: source}`` of the row with ``step - 1`` (null when absent).
 
     Windows cover ``(keys, step div bucket)`` only: the last row of each bucket is
-    also sent, stripped to the needed columns, to the next one. ``(keys, step)`` is unique.
+    also sent to the next one. ``(keys, step)`` is unique.
     """
     keys = list(keys)
-    need = set(values.values()) | set(keys) | {step}
-    base = df.withColumn("_b", F.floor(F.col(step) / bucket)).withColumn("_halo", F.lit(False))
-    halo = base.filter(F.pmod(F.col(step), F.lit(bucket)) == bucket - 1).select(
-        *[F.col(c) if c in need else F.lit(None).cast(t).alias(c) for c, t in df.dtypes],
-        (F.col("_b") + 1).alias("_b"),
-        F.lit(True).alias("_halo"),
-    )
+    b = F.floor(F.col(step) / bucket)
+    own = F.struct(b.alias("b"), F.lit(False).alias("halo"))
+    edge = F.pmod(F.col(step), F.lit(bucket)) == bucket - 1
+    to = F.when(edge, F.array(own, F.struct((b + 1).alias("b"), F.lit(True).alias("halo")))).otherwise(F.array(own))
+    both = df.select("*", F.explode(to).alias("_to")).select("*", F.col("_to.b").alias("_b"), F.col("_to.halo").alias("_halo"))
+    # Explicit, since a stream-wise partitioning of the input would also satisfy the window.
+    both = both.drop("_to").repartition(*keys, "_b")
     w = Window.partitionBy(*keys, "_b").orderBy(step)
     prev = F.struct(F.col(step).alias("s"), *[F.col(v).alias(k) for k, v in values.items()])
-    both = base.unionByName(halo).withColumn("_prev", F.lag(prev).over(w)).filter(~F.col("_halo"))
+    both = both.withColumn("_prev", F.lag(prev).over(w)).filter(~F.col("_halo"))
     hit = F.col("_prev.s") == F.col(step) - 1
     return both.select(*df.columns, *[F.when(hit, F.col(f"_prev.{k}")).alias(k) for k in values])
 

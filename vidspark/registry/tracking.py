@@ -148,7 +148,7 @@ SELECT r.stream_id, r.trace_id, r.frame_id AS end_frame, r.status, r.n AS n_poin
 JOIN v_last l ON l.stream_id = r.stream_id WHERE r.status IN ('finished', 'dropped') OR (r.status = 'live' AND r.frame_id = l.last)"""
 
 
-def tracked(spark, sf, segment_frames: int = 64):
+def tracked(spark, sf, segment_frames: int = 256):
     seeds = T.trace_ids(T.response_threshold(_pixels(spark, sf), _grid(spark, sf), 0.5))
     return T.track(T.flow_rows(cells(spark, sf)), seeds, W, H, P, segment_frames)
 
