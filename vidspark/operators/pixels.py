@@ -169,6 +169,17 @@ def gradient_histogram(df: DataFrame, col: str = "gray", bins: int = 8) -> DataF
     return df.withColumn("hist", run(col))
 
 
+def flow_histogram(df: DataFrame, bins: int = 9, zero_below: float | None = 0.4 * 0.4) -> DataFrame:
+    """Whole-frame histogram of the flow itself; its last bin counts pixels that hardly move."""
+
+    @F.pandas_udf("array<double>")
+    def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for s in batches:
+            yield pd.Series([K.orientation_integral(*flow_arrays(r), bins, zero_below)[-1, -1].tolist() for r in s])
+
+    return df.withColumn("hist", run("flow"))
+
+
 def motion_histogram(df: DataFrame, bins: int = 8, gain: float = 100.0) -> DataFrame:
     """Whole-frame histograms of the gradients of both flow components."""
 

@@ -162,6 +162,22 @@ def _hist_sql(view: str, extra: str = "") -> str:
     return f"SELECT {extra}stream_id, frame_id, bin, round(sum(m), 4) + 0.0 AS value FROM {view} GROUP BY stream_id, frame_id, bin"
 
 
+HOF_SQL = """SELECT stream_id, frame_id, bin, round(sum(m), 4) + 0.0 AS value FROM (
+  SELECT stream_id, frame_id, unnest([CASE WHEN still THEN 8 ELSE b0 END, CASE WHEN still THEN 0 WHEN f - b0 > 0 THEN (b0 + 1) % 8 ELSE (b0 + 7) % 8 END]) AS bin,
+    unnest([CASE WHEN still THEN 1 ELSE mag * w0 END, CASE WHEN still THEN 0 ELSE mag * (1 - w0) END]) AS m FROM (
+    SELECT *, mag <= 0.16 AS still, 1 - least(abs(f - b0), 8 - f) AS w0 FROM (
+      SELECT *, CAST(floor(f + 0.5) AS INTEGER) % 8 AS b0 FROM (
+        SELECT stream_id, frame_id, sqrt(u * u + v * v) AS mag,
+          (CASE WHEN atan2(v, u) < 0 THEN degrees(atan2(v, u)) + 360 ELSE degrees(atan2(v, u)) END) / 45 AS f FROM v_px) a) b) c) d
+  GROUP BY 1, 2, 3"""
+
+
+@query("d1_orientation_hist", HOF_SQL)
+def _(spark, sf):
+    h = PX.flow_histogram(flows(spark, sf))
+    return h.select(*KEYS, F.posexplode("hist").alias("bin", "value")).select(*KEYS, "bin", (F.round("value", 4) + 0.0).alias("value"))
+
+
 @query("d2_hog", _hist_sql("v_hog"))
 def _(spark, sf):
     h = PX.gradient_histogram(grays(spark, sf))
