@@ -168,7 +168,8 @@ HOF_SQL = """SELECT stream_id, frame_id, bin, round(sum(m), 4) + 0.0 AS value FR
     SELECT *, mag <= 0.16 AS still, 1 - least(abs(f - b0), 8 - f) AS w0 FROM (
       SELECT *, CAST(floor(f + 0.5) AS INTEGER) % 8 AS b0 FROM (
         SELECT stream_id, frame_id, sqrt(u * u + v * v) AS mag,
-          (CASE WHEN atan2(v, u) < 0 THEN degrees(atan2(v, u)) + 360 ELSE degrees(atan2(v, u)) END) / 45 AS f FROM v_px) a) b) c) d
+          (CASE WHEN atan2(v, u) < 0 THEN degrees(atan2(v, u)) + 360 ELSE degrees(atan2(v, u)) END) / 45 AS f FROM v_px) a) b) c
+  UNION ALL SELECT stream_id, frame_id, CAST(range AS INTEGER), 0 FROM v_whole CROSS JOIN range(9)) d
   GROUP BY 1, 2, 3"""
 
 
