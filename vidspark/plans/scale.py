@@ -6,6 +6,7 @@ size and an exact distributed form beyond it.
 
 from __future__ import annotations
 
+import re
 import tempfile
 from collections.abc import Sequence
 
@@ -20,11 +21,18 @@ BROADCAST_BYTES = 64 << 20
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """Folder all executors can reach; a fresh local one only where the session names none."""
-    conf = spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
-    conf = conf or spark.conf.get("spark.checkpoint.dir", None)
+    """The folder all executors can reach, as named by ``spark.checkpoint.dir``.
+
+    Without the setting a local run gets a folder of its own; on a cluster executors would not see
+    each other's files, so that is an error. Runs leave their tables there; see the README on
+    cleaning up.
+    """
+    conf = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
     if conf:
         return conf.rstrip("/")
+    master = spark.sparkContext.master
+    if not re.fullmatch(r"local(\[[\d*, ]+\])?", master):
+        raise ValueError(f"set spark.checkpoint.dir to a folder that all executors of {master} share")
     global _LOCAL
     if _LOCAL is None:
         _LOCAL = tempfile.mkdtemp(prefix="run-", dir="/tmp")
@@ -50,11 +58,6 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def within(df: DataFrame, rows: int) -> bool:
-    """Whether ``df`` has at most ``rows`` rows (a metadata-only count on plain Parquet)."""
-    return df.count() <= rows
-
-
 def small(df: DataFrame, row_bytes: int = 64, rows: int = BROADCAST_ROWS) -> bool:
     """Whether ``df`` is small enough to be given to every executor."""
     n = df.count()
