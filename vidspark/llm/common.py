@@ -57,7 +57,7 @@ def stored_texts(docs: DataFrame) -> DataFrame:
     return spark.table(name)
 
 
-def join_groups(rows: DataFrame, groups: DataFrame, key: str, size: str, how: str = "inner") -> DataFrame:
+def join_groups(rows: DataFrame, groups: DataFrame, key: str | list[str], size: str) -> DataFrame:
     """Join ``rows`` with one row per ``key`` that knows how many ``rows`` it has (``size``).
 
     Keys with many rows are at most ``HEAVY_KEYS``, as their sizes add up to the number of rows;
@@ -67,8 +67,9 @@ def join_groups(rows: DataFrame, groups: DataFrame, key: str, size: str, how: st
     limit = max(HEAVY_ROWS, rows.count() // HEAVY_KEYS)
     heavy = groups.filter(F.col(size) >= limit)
     light = groups.filter(F.col(size) < limit)
-    rest = rows.join(F.broadcast(heavy.select(key)), key, "left_anti")
-    return rows.join(F.broadcast(heavy), key).unionByName(rest.join(light, key, how))
+    keys = [key] if isinstance(key, str) else key
+    rest = rows.join(F.broadcast(heavy.select(*keys)), keys, "left_anti")
+    return rows.join(F.broadcast(heavy), keys).unionByName(rest.join(light, keys))
 
 
 def map_rows(df: DataFrame, inputs: list, make, result: str, drop: tuple[str, ...] = ()) -> DataFrame:

@@ -115,3 +115,80 @@ def grams(words: np.ndarray, n: int) -> np.ndarray:
     for k in range(1, n):
         out = mix(out * np.uint64(_BASE) + words[k : len(words) - n + 1 + k])
     return out
+
+# Bits of a k-gram's hash that rank it as an anchor; the rest holds its place in the chunk.
+PLACE_BITS = 24
+MAX_UNITS = 1 << 22
+
+
+class Rolling:
+    """Hashes of any run of units, by differences of running sums."""
+
+    def __init__(self, values: np.ndarray):
+        self.n = len(values)
+        power, self.inverse = powers(self.n + 1)
+        self.total = np.empty(self.n + 1, np.uint64)
+        self.total[0] = 0
+        np.cumsum(mix(values + np.uint64(0x632BE59BD9B4E019)) * power[: self.n], out=self.total[1:])
+
+    def of(self, start: np.ndarray, stop: np.ndarray) -> np.ndarray:
+        span = (self.total[stop] - self.total[start]) * self.inverse[start]
+        return mix(span + (stop - start).astype(np.uint64))
+
+
+def sliding_min(x: np.ndarray, width: int) -> np.ndarray:
+    """Least value of every ``width`` neighbours, from running minima of blocks both ways."""
+    n = len(x) - width + 1
+    pad = -len(x) % width
+    blocks = np.concatenate((x, np.full(pad, np.iinfo(x.dtype).max, x.dtype))).reshape(-1, width)
+    ahead = np.minimum.accumulate(blocks, axis=1).ravel()
+    back = np.minimum.accumulate(blocks[:, ::-1], axis=1)[:, ::-1].ravel()
+    return np.minimum(back[:n], ahead[width - 1 : width - 1 + n])
+
+
+def anchored(values: np.ndarray, begin: np.ndarray, end: np.ndarray, length: int, k: int) -> tuple[np.ndarray, ...]:
+    """Winnowed anchors of the texts ``values[begin:end]``, each with the windows it stands for.
+
+    A window is ``length`` units; its anchor is the leftmost of its k-grams with the least hash, so
+    equal windows have equal anchors at equal places. Neighbouring windows with one anchor form a
+    segment. Returns per segment: text, first window (from the text's begin), number of windows,
+    hash of the anchor's k-gram, hash of all units its windows cover.
+    """
+    out = []
+    # Very long texts go in parts that share no window.
+    step = MAX_UNITS
+    parts = [(t, at, min(e, at + step + length - 1), b) for t, (b, e) in enumerate(zip(begin.tolist(), end.tolist(), strict=True)) for at in range(b, max(b + 1, e - length + 1), step) if e - at >= length]
+    i = 0
+    while i < len(parts):
+        j, lo = i, parts[i][1]
+        while j < len(parts) and parts[j][2] - lo <= step + length and parts[j][1] >= lo:
+            j += 1
+        j = max(j, i + 1)
+        out.append(_anchored(values, parts[i:j], length, k))
+        i = j
+    if not out:
+        return tuple(np.empty(0, t) for t in (np.int64, np.int64, np.int64, np.uint64, np.uint64))
+    return tuple(np.concatenate(c) for c in zip(*out, strict=True))
+
+
+def _anchored(values, parts, length, k):
+    lo, hi = parts[0][1], max(p[2] for p in parts)
+    rolling = Rolling(values[lo:hi])
+    at = np.arange(hi - lo - k + 1)
+    grams_ = rolling.of(at, at + k)
+    low = np.uint64((1 << PLACE_BITS) - 1)
+    anchor = (sliding_min((grams_ & ~low) | at.astype(np.uint64), length - k + 1) & low).astype(np.int64)
+    first = np.array([p[1] - lo for p in parts])
+    count = np.array([p[2] - p[1] - length + 1 for p in parts])
+    # Windows that lie within one text.
+    text = np.repeat(np.arange(len(parts)), count)
+    start = np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count) + np.repeat(first, count)
+    anchor = anchor[start]
+    new = np.ones(len(start), bool)
+    new[1:] = (anchor[1:] != anchor[:-1]) | (text[1:] != text[:-1])
+    head = np.flatnonzero(new)
+    n = np.diff(np.append(head, len(start)))
+    a = start[head]
+    owner = np.array([p[0] for p in parts])[text[head]]
+    own = np.array([p[3] for p in parts])[text[head]]
+    return owner, a + lo - own, n, grams_[anchor[head]], rolling.of(a, a + n + length - 1)

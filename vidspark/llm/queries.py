@@ -118,3 +118,28 @@ def op10(spark, sf):
     from vidspark.llm.packing import pack
 
     return pack(table(spark, sf, "documents"), vocabulary("byte_bpe_50k.json"))
+
+
+@query("op7_substring_dedup", r"""
+WITH d AS MATERIALIZED (SELECT row_number() OVER () AS rid, doc_id,
+    regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS ws FROM documents),
+s AS (SELECT rid, ws, unnest(range(len(ws) - 34)) AS i FROM d WHERE len(ws) >= 35),
+h AS MATERIALIZED (SELECT rid, i, md5(array_to_string(ws[i + 1:i + 35], ' ')) AS h FROM s),
+r AS (SELECT rid, i FROM (SELECT rid, i, count(*) OVER (PARTITION BY h) AS n FROM h) WHERE n > 1),
+c AS (SELECT DISTINCT rid, i + k AS i FROM r, range(35) AS t(k)),
+w AS (SELECT rid, unnest(ws) AS word, unnest(range(len(ws))) AS i FROM d),
+k AS (SELECT rid, count(c.i) AS n_removed, string_agg(word, ' ' ORDER BY w.i) FILTER (c.i IS NULL) AS kept
+  FROM w LEFT JOIN c USING (rid, i) GROUP BY rid)
+SELECT doc_id, len(ws) AS n_words, coalesce(n_removed, 0) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256
+FROM d LEFT JOIN k USING (rid)""")
+def op7(spark, sf):
+    from vidspark.llm.substring import substring_dedup
+
+    return substring_dedup(table(spark, sf, "documents"))
+
+
+@query("op6_suffix_dedup")
+def op6(spark, sf):
+    from vidspark.llm.suffix import suffix_dedup
+
+    return suffix_dedup(table(spark, sf, "documents"))
