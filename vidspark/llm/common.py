@@ -21,6 +21,13 @@ def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf}/{name}.parquet")
 
 
+def vocabulary(name: str) -> str:
+    """Path of a file of the installed public vocabularies."""
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
 def parallelism(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
@@ -37,8 +44,8 @@ def text_of(docs: DataFrame):
     return F.coalesce(docs["text"].cast("string"), F.lit(""))
 
 
-def stored_texts(docs: DataFrame) -> DataFrame:
-    """``(rid, doc_id, text)`` bucketed by the row number ``rid``.
+def stored_texts(docs: DataFrame, all_columns: bool = False) -> DataFrame:
+    """``rid, doc_id, text``, and all columns as ``row`` if asked, bucketed by the row number ``rid``.
 
     Later joins on ``rid`` leave the texts where they are and move only the narrow side. Row
     numbers stand for rows, so repeated or null ids stay apart.
@@ -46,7 +53,8 @@ def stored_texts(docs: DataFrame) -> DataFrame:
     spark = docs.sparkSession
     n = parallelism(spark)
     name = f"texts_{uuid.uuid4().hex}"
-    rows = docs.select(F.monotonically_increasing_id().alias("rid"), "doc_id", text_of(docs).alias("text"))
+    row = [F.struct(*[docs[f"`{c}`"] for c in docs.columns if c != "text"]).alias("row")] if all_columns else []
+    rows = docs.select(F.monotonically_increasing_id().alias("rid"), docs["doc_id"], text_of(docs).alias("text"), *row)
     (
         rows.repartition(n, "rid")
         .write.bucketBy(n, "rid")

@@ -303,16 +303,16 @@ def _first_copy(rows: DataFrame) -> DataFrame:
 def drop_copies(docs: DataFrame) -> DataFrame:
     """The rows of ``docs`` that exact dedup keeps, with all their columns; one row of each text."""
     spark = docs.sparkSession
-    rows = docs.withColumn("_id", F.monotonically_increasing_id())
+    rows = docs.withColumn("_row_id", F.monotonically_increasing_id())
     text = F.translate(text_of(docs), UPPER, LOWER)
     ids = stored(
-        rows.select(F.col("_id"), docs["doc_id"].cast("long").alias("doc_id"), F.unhex(F.sha2(text.cast("binary"), 256)).alias("digest")), "digests"
+        rows.select(F.col("_row_id"), docs["doc_id"].cast("long").alias("doc_id"), F.unhex(F.sha2(text.cast("binary"), 256)).alias("digest")), "digests"
     )
     index = CuckooIndex(spark, -(-ids.count() // SHARD_KEYS))
     index.insert(ids.select("doc_id", "digest"))
     groups = index.groups().filter("group_size > 1")
     # Texts that occur once are not moved: only the losers of larger groups are taken out.
     many = join_groups(ids, groups, "digest", "group_size")
-    top = many.filter(F.col("doc_id").eqNullSafe(F.col("keep_id"))).groupBy("digest").agg(F.min("_id").alias("_stay"), F.max("group_size").alias("_n"))
-    lost = join_groups(ids, top, "digest", "_n").filter("_id <> _stay").select("_id")
-    return rows.join(lost, "_id", "left_anti").select(docs.columns)
+    top = many.filter(F.col("doc_id").eqNullSafe(F.col("keep_id"))).groupBy("digest").agg(F.min("_row_id").alias("_stay"), F.max("group_size").alias("_n"))
+    lost = join_groups(ids, top, "digest", "_n").filter("_row_id <> _stay").select("_row_id")
+    return rows.join(lost, "_row_id", "left_anti").select(docs.columns)

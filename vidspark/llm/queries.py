@@ -6,7 +6,17 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from vidspark.llm.common import table
+from vidspark.llm.bpe import digests
+from vidspark.llm.common import table, vocabulary
+from vidspark.llm.cuckoo import exact_dedup
+from vidspark.llm.jaccard import jaccard_join
+from vidspark.llm.packing import pack
+from vidspark.llm.quality import classify
+from vidspark.llm.rules import measure
+from vidspark.llm.secrets import RULES, scan_documents
+from vidspark.llm.substring import substring_dedup
+from vidspark.llm.suffix import suffix_dedup
+from vidspark.llm.urls import PAGE_RULES, rule_table, url_verdicts
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -22,12 +32,6 @@ def query(name: str, sql: str | None = None):
     return add
 
 
-def vocabulary(name: str) -> str:
-    import public_tokenizers
-
-    return public_tokenizers.path(name)
-
-
 def _secret_kind(kind: str, pattern: str, ord_: int, group: int, least: int) -> str:
     p = pattern.replace("'", "''")
     return f"""SELECT rid, '{kind}' AS kind, {ord_} AS ord, i, length(gap) AS gap, length(m) AS len, length(g) AS part, {least} AS least
@@ -39,8 +43,6 @@ FROM (SELECT rid, unnest(string_split_regex(text, '{p}')) AS gap, unnest(regexp_
 
 def _secrets_sql() -> str:
     """Positions of matches: the pieces between them and the matches before them, added up."""
-    from vidspark.llm.secrets import RULES
-
     parts = "\nUNION ALL ".join(_secret_kind(r.kind, r.pattern, n, r.group, r.least) for n, r in enumerate(RULES))
     return f"""
 WITH d AS MATERIALIZED (SELECT row_number() OVER () AS rid, doc_id, coalesce(text, '') AS text FROM documents),
@@ -58,15 +60,11 @@ FROM d LEFT JOIN a USING (rid)"""
 
 @query("op2_secret_scans", _secrets_sql())
 def op2(spark, sf):
-    from vidspark.llm.secrets import scan_documents
-
     return scan_documents(table(spark, sf, "documents"))
 
 
 @query("op3_quality_classifier")
 def op3(spark, sf):
-    from vidspark.llm.quality import classify
-
     return classify(table(spark, sf, "documents"), table(spark, sf, "labels"))
 
 
@@ -76,8 +74,6 @@ WITH d AS (SELECT doc_id, sha256(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOP
 SELECT doc_id, max(doc_id) OVER w AS keep_id, count(*) OVER w AS group_size, doc_id = max(doc_id) OVER w AS kept, h AS text_sha256
 FROM d WINDOW w AS (PARTITION BY h)""")
 def op4(spark, sf):
-    from vidspark.llm.cuckoo import exact_dedup
-
     return exact_dedup(table(spark, sf, "documents"))
 
 
@@ -92,31 +88,23 @@ m AS (SELECT rid, arg_max(rh || rp, length(rh) + length(rp)) AS rule, arg_max(v,
   FROM h JOIN r ON (host = rh OR ends_with(host, '.' || rh)) AND starts_with(path, rp) GROUP BY rid)
 SELECT page_id, host, path, rule, coalesce(v, 'allow') AS verdict FROM h LEFT JOIN m USING (rid)""")
 def op5(spark, sf):
-    from vidspark.llm.urls import PAGE_RULES, rule_table, url_verdicts
-
     pages = table(spark, sf, "pages").select("page_id", "url")
     return url_verdicts(pages, rule_table(spark, PAGE_RULES)).drop("url")
 
 
 @query("op8_bpe_automaton")
 def op8(spark, sf):
-    from vidspark.llm.bpe import digests
-
     return digests(table(spark, sf, "documents"), vocabulary("byte_bpe_50k.json"))
 
 
 @query("op9_quality_rules")
 def op9(spark, sf):
-    from vidspark.llm.rules import measure
-
     docs = table(spark, sf, "documents")
     return measure(docs, vocabulary("byte_bpe_50k.json"), vocabulary("piece_bpe_32k.model")).drop("text", "lang", "source", "n_chars")
 
 
 @query("op10_mixture_packing")
 def op10(spark, sf):
-    from vidspark.llm.packing import pack
-
     return pack(table(spark, sf, "documents"), vocabulary("byte_bpe_50k.json"))
 
 
@@ -133,13 +121,14 @@ k AS (SELECT rid, count(c.i) AS n_removed, string_agg(word, ' ' ORDER BY w.i) FI
 SELECT doc_id, len(ws) AS n_words, coalesce(n_removed, 0) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256
 FROM d LEFT JOIN k USING (rid)""")
 def op7(spark, sf):
-    from vidspark.llm.substring import substring_dedup
-
     return substring_dedup(table(spark, sf, "documents"))
 
 
 @query("op6_suffix_dedup")
 def op6(spark, sf):
-    from vidspark.llm.suffix import suffix_dedup
-
     return suffix_dedup(table(spark, sf, "documents"))
+
+
+@query("op1_jaccard_join")
+def op1(spark, sf):
+    return jaccard_join(table(spark, sf, "documents"))

@@ -210,8 +210,8 @@ def redact(docs: DataFrame, mark: str = "[secret]") -> DataFrame:
     some = text.rlike(RULES[0].pattern)
     for r in RULES[1:]:
         some = some | text.rlike(r.pattern)
-    maybe = docs.filter(some).withColumn("_blob", blob_of(text))
-    maybe = maybe.join(islands, maybe["_blob"] == islands["blob"], "left")
+    maybe = docs.filter(some).withColumn("_of_blob", blob_of(text))
+    maybe = maybe.join(islands.withColumnRenamed("blob", "_of_blob"), "_of_blob", "left")
     starts = F.concat(F.array(F.lit(0).cast("long")), F.transform("_cuts", lambda c: c["stop"]))
     stops = F.concat(F.transform("_cuts", lambda c: c["start"]), F.array(F.length("text").cast("long")))
     gaps = F.transform(F.arrays_zip(starts.alias("a"), stops.alias("b")), lambda g: F.col("text").substr((g["a"] + 1).cast("int"), (g["b"] - g["a"]).cast("int")))
