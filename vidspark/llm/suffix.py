@@ -25,7 +25,7 @@ from vidspark.llm.repeats import by_text, covers, segments, union, window_matche
 LENGTH = 400
 SEED = 32
 # Bytes of one shard's string, and of one anchor's segments that still go into a shard.
-SHARD_BYTES = 1 << 20
+SHARD_BYTES = 2 << 20
 GROUP_BYTES = 1 << 20
 RESULT = "n_bytes long, n_removed long, n_spans long, kept_sha256 string"
 # Alphabets up to this size are induced bucket by bucket, larger ones suffix by suffix.
@@ -102,26 +102,32 @@ def _induce_each(s: np.ndarray, small: np.ndarray, sigma: int, lms: np.ndarray)
     n = len(s)
     size = np.bincount(s, minlength=sigma)
     end = np.cumsum(size)
-    text, is_small = s.tolist(), small.tolist()
-    sa = [-1] * n
+    # The letter before each suffix where that suffix is large, and where it is small; else -1.
+    before = np.full(n, -1, np.int64)
+    before[1:] = s[:-1]
+    large = np.full(n, -1, np.int64)
+    large[1:] = np.where(small[:-1], -1, before[1:])
+    lesser = np.where(large >= 0, -1, before)
+    large, lesser = large.tolist(), lesser.tolist()
+    sa = [0] * n
     place = end.tolist()
-    for i in reversed(lms.tolist()):
-        place[text[i]] -= 1
-        sa[place[text[i]]] = i
+    for i, c in zip(lms[::-1].tolist(), s[lms[::-1]].tolist(), strict=True):
+        p = place[c] = place[c] - 1
+        sa[p] = i
     place = (end - size).tolist()
-    for at in range(n):
-        i = sa[at] - 1
-        if i >= 0 and not is_small[i]:
-            c = text[i]
-            sa[place[c]] = i
-            place[c] += 1
+    for i in sa:
+        c = large[i]
+        if c >= 0:
+            p = place[c]
+            sa[p] = i - 1
+            place[c] = p + 1
     place = end.tolist()
     for at in range(n - 1, -1, -1):
-        i = sa[at] - 1
-        if i >= 0 and is_small[i]:
-            c = text[i]
-            place[c] -= 1
-            sa[place[c]] = i
+        i = sa[at]
+        c = lesser[i]
+        if c >= 0:
+            p = place[c] = place[c] - 1
+            sa[p] = i - 1
     sa[0] = n - 1
     return np.asarray(sa, np.int64)
 
@@ -228,7 +234,37 @@ def cut_bytes(texts: list[bytes], asked: list, length: int) -> list[list[bytes]]
     return [[t[s["at"] : s["at"] + s["n"] + length - 1] for s in items] for t, items in zip(texts, asked, strict=True)]
 
 
-def shard_matches(length: int, shard_bytes: int = SHARD_BYTES, group_bytes: int = GROUP_BYTES):
+def reach(group: list[tuple], anchor: int, k: int, length: int) -> list[tuple]:
+    """Cut segments of one anchor to what agrees with some other segment on either side of it.
+
+    Both sides are sorted, so the longest agreement is with a neighbour. Segments whose sides do not
+    add up to a window are left out.
+    """
+    first = group[0][3]
+    at = np.arange(len(first) - k + 1)
+    rolling = Rolling(_TABLE[np.frombuffer(first, np.uint8)])
+    off = int(np.argmax(rolling.of(at, at + k).view(np.int64) == anchor))
+    seed = first[off : off + k]
+    # The anchor is the leftmost of its k-grams in every segment.
+    offs = [g[3].find(seed) for g in group]
+    far = []
+    for sides in ([g[3][:o][::-1] for g, o in zip(group, offs, strict=True)], [g[3][o + k :] for g, o in zip(group, offs, strict=True)]):
+        order = sorted(range(len(sides)), key=sides.__getitem__)
+        most = [0] * len(sides)
+        for x, y in zip(order, order[1:], strict=False):
+            n = min(len(sides[x]), len(sides[y]))
+            apart = np.flatnonzero(np.frombuffer(sides[x], np.uint8, n) != np.frombuffer(sides[y], np.uint8, n)) if n else ()
+            n = int(apart[0]) if len(apart) else n
+            most[x], most[y] = max(most[x], n), max(most[y], n)
+        far.append(most)
+    out = []
+    for (rid, at_, copies, part), o, left, right in zip(group, offs, *far, strict=True):
+        if left + k + right >= length:
+            out.append((rid, at_ + o - left, copies, part[o - left : o + k + right]))
+    return out
+
+
+def shard_matches(length: int, seed: int, shard_bytes: int = SHARD_BYTES, group_bytes: int = GROUP_BYTES):
     """Compare segments of one anchor in suffix arrays of shards; anchors with very many by sums."""
 
     def flush(rows: list[tuple]) -> pd.DataFrame:
@@ -243,15 +279,20 @@ def shard_matches(length: int, shard_bytes: int = SHARD_BYTES, group_bytes: int
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         # Sorted by anchor; a shard takes whole groups until it is full.
         rows: list[tuple] = []
+        group: list[tuple] = []
         size, last = 0, None
         for pdf in batches:
             for rid, at, copies, part, anchor in zip(pdf.rid, pdf["at"], pdf.copies, pdf.part, pdf.anchor, strict=True):
-                if anchor != last and size >= shard_bytes:
-                    yield flush(rows)
-                    rows, size = [], 0
+                if anchor != last and group:
+                    some = reach(group, last, seed, length)
+                    rows += some
+                    size, group = size + sum([len(r[3]) for r in some]), []
+                    if size >= shard_bytes:
+                        yield flush(rows)
+                        rows, size = [], 0
                 last = anchor
-                rows.append((rid, at, copies, part))
-                size += len(part)
+                group.append((rid, at, copies, part))
+        rows += reach(group, last, seed, length) if group else []
         if rows:
             yield flush(rows)
 
@@ -282,7 +323,7 @@ def shard_matches(length: int, shard_bytes: int = SHARD_BYTES, group_bytes: int
 def repeated_bytes(texts: DataFrame, length: int = LENGTH, seed: int = SEED) -> DataFrame:
     """``rid, start, stop`` of bytes in strings of ``length`` that start elsewhere too."""
     found = segments(texts, byte_units, length, seed)
-    return covers(texts, found, shard_matches(length), cut_bytes, length)
+    return covers(texts, found, shard_matches(length, seed), cut_bytes, length)
 
 
 def suffix_dedup(docs: DataFrame, length: int = LENGTH, seed: int = SEED) -> DataFrame:
