@@ -1,0 +1,406 @@
+"""Each operator against a plain version, on awkward rows and on empty tables."""
+
+import hashlib
+import random
+import zlib
+from collections import Counter, defaultdict
+
+import numpy as np
+import pytest
+
+from tests.llm import fixtures as fx
+from vidspark.llm import bpe, cuckoo, jaccard, kernels, packing, quality, rules, secrets, substring, suffix, urls
+from vidspark.llm.common import join_groups, vocabulary
+from vidspark.llm.components import components
+from vidspark.llm.tokens import Encoder
+
+key = lambda t: tuple((x is None, str(x)) for x in t)
+same = lambda a, b: sorted(map(tuple, a), key=key) == sorted(map(tuple, b), key=key)
+
+
+@pytest.fixture(scope="module")
+def rows():
+    return fx.documents()
+
+
+@pytest.fixture(scope="module")
+def docs(spark, rows):
+    return spark.createDataFrame(rows, fx.SCHEMA).repartition(3)
+
+
+@pytest.fixture(scope="module")
+def none(docs):
+    return docs.limit(0)
+
+
+@pytest.fixture(scope="module")
+def library():
+    from tokenizers import Tokenizer
+
+    return Tokenizer.from_file(vocabulary("byte_bpe_50k.json"))
+
+
+def test_jaccard_join(docs, rows):
+    assert same(jaccard.jaccard_join(docs).collect(), fx.jaccard(rows))
+
+
+def test_jaccard_blocks(docs, rows, monkeypatch):
+    """Groups beyond a block are verified block by block, with the same result."""
+    monkeypatch.setattr(jaccard, "BLOCK_SETS", 2)
+    assert same(jaccard.jaccard_join(docs).collect(), fx.jaccard(rows))
+
+
+def test_jaccard_keeps_one(docs, rows):
+    kept = jaccard.one_of_each(docs)
+    assert kept.columns == docs.columns
+    want = {c for d, c, _ in fx.jaccard(rows) if c is not None}
+    assert {r.doc_id for r in kept.collect()} - {None} == want
+
+
+def test_bands_reach_the_recall():
+    for t in (0.5, 0.8, 0.9):
+        b, r = jaccard.plan_bands(t, 0.999)
+        assert 1 - (1 - t**r) ** b >= 0.999
+
+
+def test_components(spark):
+    r = random.Random(1)
+    edges = [(r.randint(0, 300), r.randint(0, 300)) for _ in range(220)] + [(1000, k) for k in range(1001, 1100)] + [(k, k + 1) for k in range(2000, 2040)]
+    root = {}
+
+    def find(x):
+        root.setdefault(x, x)
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for a, b in edges:
+        if a != b:
+            x, y = find(a), find(b)
+            root[max(x, y)] = min(x, y)
+    got = components(spark.createDataFrame(edges, "a long, b long")).collect()
+    assert {(g.node, g.root) for g in got} == {(n, find(n)) for n in list(root)}
+
+
+def test_secret_scans(docs, rows):
+    got = secrets.scan_documents(docs).collect()
+    want = []
+    for r in rows:
+        s = fx.spans(r[1])
+        n = Counter(x[2] for x in s)
+        text = ",".join(f"{k}:{a}:{b}" for a, _, k, b in s)
+        want.append((r[0], n["assign"], n["access"], n["hex"], hashlib.sha256(text.encode()).hexdigest()))
+    assert same([tuple(g)[:5] for g in got], want)
+
+
+def test_ledger_scans_each_pair_once(spark, docs, rows):
+    ledger = secrets.BlobLedger(spark)
+    first = secrets.report(ledger.scan(docs), ledger.findings()).collect()
+    pairs = ledger.scanned().count()
+    assert pairs == len({r[1] or "" for r in rows}) * len(secrets.RULES)
+    assert same(secrets.report(ledger.scan(docs), ledger.findings()).collect(), first)
+    assert ledger.scanned().count() == pairs
+    newer = (*secrets.RULES[:-1], secrets.Rule("google", secrets.RULES[-1].pattern, version=2))
+    ledger.scan(docs, newer)
+    again = ledger.scanned().groupBy("rule").count().collect()
+    assert {r["rule"] for r in again} == {x.key for x in secrets.RULES} | {"google@2"}
+    assert len({r["count"] for r in again}) == 1
+
+
+def test_redaction(docs, rows):
+    got = Counter(r.text for r in secrets.redact(docs).collect())
+    want = []
+    for r in rows:
+        t, out, at = r[1] or "", "", 0
+        for a, _, _, b in fx.spans(r[1]):
+            if a >= at:
+                out += t[at:a] + "[secret]"
+            at = max(at, b)
+        want.append(out + t[at:] if at else r[1])
+    assert got == Counter(want)
+
+
+def test_exact_dedup(docs, rows):
+    groups = defaultdict(list)
+    for r in rows:
+        groups[(r[1] or "").translate(fx.LOW)].append(r[0])
+    got = cuckoo.exact_dedup(docs).collect()
+    assert len(got) == len(rows)
+    kept = Counter()
+    for g in got:
+        kept[g.text_sha256] += g.kept
+    for t, ids in groups.items():
+        h = hashlib.sha256(t.encode()).hexdigest()
+        top = max((i for i in ids if i is not None), default=None)
+        mine = [g for g in got if g.text_sha256 == h]
+        assert {(g.keep_id, g.group_size) for g in mine} == {(top, len(ids))}
+        assert kept[h] == 1
+    assert cuckoo.drop_copies(docs).count() == len(groups)
+    assert cuckoo.drop_copies(docs).columns == docs.columns
+
+
+def test_cuckoo_filter_resizes_and_deletes():
+    s = cuckoo.Shard()
+    keys = [hashlib.sha256(str(i).encode()).digest() for i in range(5000)]
+    for n, k in enumerate(keys):
+        s.insert(k, n, 1)
+        s.insert(k, n - 1, 2)
+    assert s.filter.mask > 1000 and all(k in s.filter for k in keys)
+    assert s.keys[keys[7]] == [7, 3]
+    for k in keys[::2]:
+        s.delete(k)
+    assert len(s.keys) == 2500 and all(k in s.filter for k in keys[1::2])
+    assert sum(k in s.filter for k in keys[::2]) < 50
+
+
+def test_cuckoo_index_lives_on(spark, docs, rows):
+    digests = cuckoo.CuckooIndex.digests(docs)
+    index = cuckoo.CuckooIndex(spark, 3)
+    index.insert(digests.filter("doc_id < 20"))
+    index.insert(digests.filter("doc_id >= 20 or doc_id is null"))
+    whole = cuckoo.CuckooIndex(spark, 2)
+    whole.insert(digests)
+    assert same(index.groups().collect(), whole.groups().collect())
+    gone = [r[0] for r in rows if r[0] is not None and r[0] % 3 == 0]
+    index.delete(spark.createDataFrame([(g,) for g in gone], "doc_id long"))
+    left = cuckoo.CuckooIndex(spark, 2)
+    left.insert(digests.filter("doc_id % 3 <> 0 or doc_id is null"))
+    assert same(index.groups().collect(), left.groups().collect())
+    said = index.contains(digests).collect()
+    live = {bytes(g.digest) for g in left.groups().collect()}
+    assert all(s.live == (bytes(s.digest) in live) and s.maybe >= s.live for s in said)
+
+
+def test_url_filters(spark):
+    cases = [None, "", "no scheme", "http://", "http://COM/", "http://a.com", "http://a.com/", "https://x.example.com/en/1?q", "http://www.example.com/en/",
+             "http://w.www.example.com/en/x#y", "http://example.com/e", "http://a.net/es/1", "http://a.net/fr", "http://notexample.com/en/", "http://.com/",
+             "http://b.net/es/", "a://b://c.net/fr/x", "http://com./", "http://" + "a." * 300 + "com/x", "http://ü.com/ü/\u2028"]
+    pages = spark.createDataFrame([(i, u, "x", "y") for i, u in enumerate(cases)] + [(None, cases[7], "x", "y")] * 2, "page_id long, url string, host string, verdict string")
+    got = urls.url_verdicts(pages, urls.rule_table(spark, urls.PAGE_RULES)).collect()
+    assert len(got) == len(cases) + 2
+    for g in got:
+        u = g.url or ""
+        tail = u.split("://", 1)[1] if "://" in u else ""
+        cut = min([tail.find(c) for c in "/?#" if c in tail], default=len(tail))
+        host = tail[:cut].translate(fx.LOW)
+        path = tail[cut:].split("?")[0].split("#")[0]
+        fits = [(len(h) + len(p), h + p, v) for h, p, v in urls.PAGE_RULES if (host == h or host.endswith("." + h)) and path.startswith(p)]
+        _, rule, verdict = max(fits, default=(0, None, "allow"))
+        assert (g.host, g.path, g.rule, g.verdict) == (host, path, rule, verdict), u
+
+
+def test_url_rules_nest(spark, monkeypatch):
+    monkeypatch.setattr(urls, "SWEEP_ROWS", 5)
+    r = random.Random(2)
+    paths = ["/", "/a", "/a/", "/a/b", "/ab", "/b/c/"]
+    made = {(h, p): r.choice(["allow", "block"]) for h in ("x.org", "y.x.org", "org") for p in r.sample(paths, 4)}
+    rules_ = [(h, p, v) for (h, p), v in made.items()]
+    asked = [(i, f"http://{r.choice(['x.org', 'y.x.org', 'z.y.x.org', 'q.org', 'u.net'])}{r.choice(paths)}{r.choice(['', 'b', '/c'])}") for i in range(200)]
+    got = urls.url_verdicts(spark.createDataFrame(asked, "page_id long, url string"), urls.rule_table(spark, rules_)).collect()
+    for g in got:
+        fits = [(len(h) + len(p), len(h), h + p, v) for h, p, v in rules_ if (g.host == h or g.host.endswith("." + h)) and g.path.startswith(p)]
+        assert (g.rule, g.verdict) == max(fits, default=(0, 0, None, "allow"))[2:]
+    empty = urls.url_verdicts(spark.createDataFrame(asked, "page_id long, url string"), urls.rule_table(spark, []))
+    assert {r.verdict for r in empty.collect()} == {"allow"}
+
+
+def test_suffix_dedup(docs, rows):
+    assert same(suffix.suffix_dedup(docs).collect(), fx.suffix(rows))
+
+
+def test_suffix_dedup_large_groups(docs, rows, monkeypatch):
+    """Anchors with too many segments for a shard take the other exact way."""
+    monkeypatch.setattr(suffix, "shard_matches", lambda length, seed, f=suffix.shard_matches: f(length, seed, group_bytes=700))
+    assert same(suffix.suffix_dedup(docs).collect(), fx.suffix(rows))
+
+
+@pytest.mark.parametrize("limit", [4096, 0])
+def test_suffix_array(limit, monkeypatch):
+    monkeypatch.setattr(suffix, "SMALL_ALPHABET", limit)
+    r = random.Random(3)
+    for _ in range(200):
+        s = [r.randint(1, r.choice([1, 2, 3, 200])) for _ in range(r.randint(0, 50))] + [0]
+        assert suffix.suffix_array(np.array(s), max(s) + 1).tolist() == sorted(range(len(s)), key=lambda i: s[i:])
+
+
+def test_substring_dedup(docs, rows):
+    assert same(substring.substring_dedup(docs).collect(), fx.substring(rows))
+
+
+def test_anchors_cover_every_window(monkeypatch):
+    """Each window lies in exactly one segment, also where a text is cut into parts."""
+    monkeypatch.setattr(kernels, "MAX_UNITS", 64)
+    values = kernels.mix(np.random.default_rng(1).integers(0, 9, 500).astype(np.uint64))
+    begin, end = np.array([0, 3, 30, 210]), np.array([3, 30, 210, 500])
+    text, at, n, _, _ = kernels.anchored(values, begin, end, 10, 4)
+    got = Counter((t, w) for t, a, k in zip(text.tolist(), at.tolist(), n.tolist(), strict=True) for w in range(a, a + k))
+    assert got == Counter((t, w) for t in range(4) for w in range(max(0, end[t] - begin[t] - 9)))
+
+
+def test_bpe_matches_the_library(docs, rows, library):
+    got = bpe.digests(docs, vocabulary("byte_bpe_50k.json")).collect()
+    sha = lambda s: hashlib.sha256(s.encode()).hexdigest()
+    want = []
+    for r in rows:
+        ids = library.encode(r[1] or "", add_special_tokens=False).ids
+        want.append((r[0], len(ids), sha(",".join(map(str, ids))), sha(library.decode(ids, skip_special_tokens=False))))
+    assert same(got, want)
+    back = bpe.decode(bpe.encode(docs, vocabulary("byte_bpe_50k.json")).select("doc_id", "ids"), vocabulary("byte_bpe_50k.json"))
+    assert same([(b.doc_id, b.text) for b in back.collect()], [(r[0], r[1] or "") for r in rows])
+
+
+def test_bpe_random_words(library):
+    codec, fast = bpe.Codec(vocabulary("byte_bpe_50k.json")), Encoder(vocabulary("byte_bpe_50k.json"))
+    r = random.Random(1)
+    alpha = ["a", "aa", "the", " ", "  ", "\n", "é", "中", "😀", "1", "!", "<|endoftext|>", "'s", "\x00", "\u00a0", "ا", "ing", "\U00010940", "\t", "=====", "\x1c", "\x85"]
+    for _ in range(800):
+        x = "".join(r.choice(alpha) for _ in range(r.randint(0, 40)))
+        ids = library.encode(x, add_special_tokens=False).ids
+        assert codec.ids(x) == ids and fast(x).tolist() == ids, x
+    for n in range(1, 150):
+        assert codec.ids("a" * n) == library.encode("a" * n, add_special_tokens=False).ids
+
+
+def test_quality_rules(docs, rows):
+    got = rules.measure(docs, vocabulary("byte_bpe_50k.json"), vocabulary("piece_bpe_32k.model"))
+    names = "doc_id n_words word_chars n_symbols n_dup_lines n_repeat_words base_failed".split()
+    assert same(got.select(*names).collect(), [(r[0], *fx.base_rules(r[1])) for r in rows])
+    assert not got.filter("kept AND base_failed").count()
+    kept = rules.quality_filter(docs, vocabulary("byte_bpe_50k.json"), vocabulary("piece_bpe_32k.model"))
+    assert kept.columns == docs.columns and kept.count() == got.filter("kept").count()
+
+
+def test_fertility_bands(spark):
+    """Bytes in disguise and letters without pieces fail; prose passes."""
+    r = random.Random(4)
+    prose = " ".join(r.choice(["the", "house", "stands", "between", "rivers", "and", "quiet", "fields"]) for _ in range(80))
+    noise = " ".join("".join(chr(r.randint(0x12000, 0x12300)) for _ in range(3)) for _ in range(80))
+    got = rules.measure(spark.createDataFrame([(1, prose, "en"), (2, noise, "en")], "doc_id long, text string, lang string"), vocabulary("byte_bpe_50k.json"), vocabulary("piece_bpe_32k.model"))
+    assert {r.doc_id: r.kept for r in got.collect()} == {1: True, 2: False}
+
+
+def test_classifier_learns(spark):
+    r = random.Random(6)
+    word = lambda: "".join(r.choice("abcdefgh") for _ in range(4))
+    made = [(i, " ".join(word() + ("" if i % 2 else "###") for _ in range(60)), i % 2) for i in range(300)] + [(None, None, 1)]
+    docs = spark.createDataFrame([(i, t, 9) for i, t, _ in made], "doc_id long, text string, score int")
+    labels = spark.createDataFrame([(i, q) for i, _, q in made] + [(3, 1), (7, None)], "doc_id long, quality int")
+    got = quality.classify(docs, labels).collect()
+    assert len(got) == len(made) and all(0 <= g.score <= 1 and g.predicted == (g.score >= 0.5) for g in got)
+    held = [g for g in got if g.held_out]
+    assert all(zlib.crc32(str(g.doc_id).encode()) % 3 == 1 for g in held)
+    assert np.mean([g.predicted == g.doc_id % 2 for g in held]) > 0.95
+    blank = quality.classify(docs, labels.limit(0)).collect()
+    assert {g.score for g in blank} == {0.5}
+
+
+def _check_pieces(got, rows, library, eos=1):
+    per = defaultdict(list)
+    sequences = defaultdict(list)
+    for g in got:
+        per[(g.doc_id, g.doc_tokens)].append(g)
+        sequences[g.sequence_id].append((g.offset, g.length))
+    want = Counter()
+    for r in rows:
+        ids = np.array([*library.encode(r[1] or "", add_special_tokens=False).ids, eos], "<u4")
+        want[(r[0], len(ids))] += len(ids)
+    assert {k: sum(g.length for g in v) for k, v in per.items()} == dict(want)
+    for s, parts in sequences.items():
+        at = 0
+        for offset, n in sorted(parts):
+            assert offset == at
+            at += n
+        assert at == packing.LENGTH or s == max(sequences)
+    return per
+
+
+def test_packing(docs, rows, library):
+    got = packing.pack(docs, vocabulary("byte_bpe_50k.json"), window_sequences=2).collect()
+    per = _check_pieces(got, rows, library)
+    for r in rows:
+        ids = np.array([*library.encode(r[1] or "", add_special_tokens=False).ids, 1], "<u4")
+        mine = per[(r[0], len(ids))]
+        if sum(g.length for g in mine) == len(ids):
+            assert all(zlib.crc32(ids[g.start : g.start + g.length].tobytes()) == g.ids_crc32 for g in mine)
+            assert sorted(x for g in mine for x in range(g.start, g.start + g.length)) == list(range(len(ids)))
+
+
+def test_packing_keeps_a_mixture(docs, rows, library):
+    got = packing.pack(docs, vocabulary("byte_bpe_50k.json"), mixture={"s": 1, "t": 1}, window_sequences=1).collect()
+    _check_pieces(got, rows, library)
+    first = Counter()
+    for g in got:
+        if g.sequence_id == 0:
+            first[g.source_queue] += g.length
+    assert first[0] == first[1] == packing.LENGTH // 2
+
+
+def test_schedule_is_deficit_round_robin():
+    s = packing.Schedule([1000, 70, 333, 0], [5, 3, 1, 1], 64)
+    seen = Counter()
+    for q, total in enumerate(s.totals):
+        for token in range(total):
+            w = s.window_of(q, token)
+            assert s.served(q, w) <= token < s.served(q, w + 1)
+            seen[w, q] += 1
+        assert s.served(q, s.windows) == total
+    # Credit carried over stays below one token while a queue is live.
+    assert all(0 <= s.deficit(q, w) < 1 for q in (0, 2) for w in range(1, 4))
+    assert sum(seen.values()) == 1403
+
+
+def test_empty_tables(spark, none):
+    v, p = vocabulary("byte_bpe_50k.json"), vocabulary("piece_bpe_32k.model")
+    labels = spark.createDataFrame([], "doc_id long, quality int")
+    pages = spark.createDataFrame([], "page_id long, url string")
+    for out in (
+        jaccard.jaccard_join(none), jaccard.one_of_each(none), secrets.scan_documents(none), secrets.redact(none), quality.classify(none, labels),
+        cuckoo.exact_dedup(none), cuckoo.drop_copies(none), urls.url_verdicts(pages, urls.rule_table(spark, urls.PAGE_RULES)), suffix.suffix_dedup(none),
+        substring.substring_dedup(none), bpe.digests(none, v), rules.measure(none, v, p), packing.pack(none, v),
+    ):
+        assert out.count() == 0
+
+
+def test_heavy_keys_join(spark, monkeypatch):
+    from vidspark.llm import common
+
+    monkeypatch.setattr(common, "HEAVY_ROWS", 3)
+    rows_ = spark.createDataFrame([(i % 5 if i % 2 else 7, i) for i in range(200)], "k int, v int")
+    groups = rows_.groupBy("k").count().withColumnRenamed("count", "n")
+    assert same(join_groups(rows_, groups, "k", "n").collect(), rows_.join(groups, "k").collect())
+
+
+def test_pipeline(spark, tmp_path, library):
+    import corpus_pipeline as cp
+
+    rows_ = [r[:5] for r in fx.documents()]
+    spark.createDataFrame(rows_, "doc_id long, text string, lang string, source string, n_chars long").write.parquet(str(tmp_path / "documents.parquet"))
+    got = cp.run(spark, str(tmp_path)).collect()
+    enc, pieces = Encoder(vocabulary("byte_bpe_50k.json")), rules.Pieces(vocabulary("piece_bpe_32k.model"))
+    left = []
+    for r in rows_:
+        t = r[1] or ""
+        b = rules.BANDS.get(r[2]) or rules.BANDS[rules.script(t)]
+        ids = enc(t)
+        inside = b.low <= len(t) / max(1, len(ids)) <= b.high and pieces.share(t) <= b.fallback and rules.entropy(ids) >= b.entropy
+        if not fx.base_rules(t)[5] and inside:
+            left.append(r)
+    last = {}
+    for r in left:
+        k = r[1].translate(fx.LOW)
+        if k not in last or (r[0] is not None and (last[k][0] is None or r[0] > last[k][0])):
+            last[k] = r
+    left = list(last.values())
+    want = {c for _, c, _ in fx.jaccard(left)}
+    assert {g.doc_id for g in got} == want
+    assert [name for name, _ in cp.STAGES] == ["quality_rules", "exact_dedup", "ngram_jaccard", "secret_scan", "packing"]
+
+
+def test_queries_match_sql(spark, sf):
+    from tests.oracle import compare, connect
+    from vidspark.llm.queries import ORACLES, QUERIES
+
+    con = connect(sf)
+    for name, fn in QUERIES.items():
+        res = compare(spark, con, name, fn, ORACLES.get(name), sf)
+        assert not res.startswith("FAIL") and res != "EMPTY", (name, res)

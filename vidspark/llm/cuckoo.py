@@ -20,7 +20,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vidspark.llm.common import join_groups, stored, text_of
+from vidspark.llm.common import join_groups, stored, stored_texts, text_of
 from vidspark.plans.scale import fresh_path
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -301,18 +301,18 @@ def _first_copy(rows: DataFrame) -> DataFrame:
 
 
 def drop_copies(docs: DataFrame) -> DataFrame:
-    """The rows of ``docs`` that exact dedup keeps, with all their columns; one row of each text."""
-    spark = docs.sparkSession
-    rows = docs.withColumn("_row_id", F.monotonically_increasing_id())
-    text = F.translate(text_of(docs), UPPER, LOWER)
-    ids = stored(
-        rows.select(F.col("_row_id"), docs["doc_id"].cast("long").alias("doc_id"), F.unhex(F.sha2(text.cast("binary"), 256)).alias("digest")), "digests"
-    )
-    index = CuckooIndex(spark, -(-ids.count() // SHARD_KEYS))
+    """The rows of ``docs`` that exact dedup keeps, with all their columns; one row of each text.
+
+    Null texts come back empty. Among repeated rows with the largest id any one stays.
+    """
+    texts = stored_texts(docs, all_columns=True)
+    digest = F.unhex(F.sha2(F.translate("text", UPPER, LOWER).cast("binary"), 256)).alias("digest")
+    ids = stored(texts.select("rid", F.col("doc_id").cast("long").alias("doc_id"), digest), "digests")
+    index = CuckooIndex(docs.sparkSession, -(-ids.count() // SHARD_KEYS))
     index.insert(ids.select("doc_id", "digest"))
-    groups = index.groups().filter("group_size > 1")
-    # Texts that occur once are not moved: only the losers of larger groups are taken out.
-    many = join_groups(ids, groups, "digest", "group_size")
-    top = many.filter(F.col("doc_id").eqNullSafe(F.col("keep_id"))).groupBy("digest").agg(F.min("_row_id").alias("_stay"), F.max("group_size").alias("_n"))
-    lost = join_groups(ids, top, "digest", "_n").filter("_row_id <> _stay").select("_row_id")
-    return rows.join(lost, "_row_id", "left_anti").select(docs.columns)
+    # Texts that occur once are left alone: only the losers of larger groups are taken out.
+    many = join_groups(ids, index.groups().filter("group_size > 1"), "digest", "group_size")
+    top = many.filter(F.col("doc_id").eqNullSafe(F.col("keep_id"))).groupBy("digest").agg(F.min("rid").alias("_stay"), F.max("group_size").alias("_n"))
+    lost = join_groups(ids, top, "digest", "_n").filter("rid <> _stay").select("rid")
+    kept = texts.join(lost, "rid", "left_anti")
+    return kept.select(*[F.col("text") if c == "text" else F.col("row").getField(c).alias(c) for c in docs.columns])
