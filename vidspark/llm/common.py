@@ -44,25 +44,26 @@ def text_of(docs: DataFrame):
     return F.coalesce(docs["text"].cast("string"), F.lit(""))
 
 
+def bucketed(df: DataFrame, n: int, key: str, label: str) -> DataFrame:
+    """``df`` written to the shared folder as a table of ``n`` buckets by ``key``.
+
+    Later joins and groups on ``key`` leave these rows where they are.
+    """
+    spark = df.sparkSession
+    name = f"{label}_{uuid.uuid4().hex}"
+    rows = df.repartition(n, key).write.bucketBy(n, key).option("path", fresh_path(spark, label))
+    rows.option("compression", "zstd").saveAsTable(name)
+    return spark.table(name)
+
+
 def stored_texts(docs: DataFrame, all_columns: bool = False) -> DataFrame:
     """``rid, doc_id, text``, and all columns as ``row`` if asked, bucketed by the row number ``rid``.
 
-    Later joins on ``rid`` leave the texts where they are and move only the narrow side. Row
-    numbers stand for rows, so repeated or null ids stay apart.
+    Row numbers stand for rows, so repeated or null ids stay apart.
     """
-    spark = docs.sparkSession
-    n = parallelism(spark)
-    name = f"texts_{uuid.uuid4().hex}"
     row = [F.struct(*[docs[f"`{c}`"] for c in docs.columns if c != "text"]).alias("row")] if all_columns else []
     rows = docs.select(F.monotonically_increasing_id().alias("rid"), docs["doc_id"], text_of(docs).alias("text"), *row)
-    (
-        rows.repartition(n, "rid")
-        .write.bucketBy(n, "rid")
-        .option("path", fresh_path(spark, "texts"))
-        .option("compression", "zstd")
-        .saveAsTable(name)
-    )
-    return spark.table(name)
+    return bucketed(rows, parallelism(docs.sparkSession), "rid", "texts")
 
 
 def join_groups(rows: DataFrame, groups: DataFrame, key: str | list[str], size: str) -> DataFrame:

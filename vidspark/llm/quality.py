@@ -12,12 +12,13 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from vidspark.llm.common import map_rows, stored, text_of
+from vidspark.llm.common import bucketed, map_rows, stored, text_of
 from vidspark.llm.kernels import Words, chunks, grams
 
 BITS = 18
@@ -119,30 +120,15 @@ def train(docs: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELLED)
 
     made = map_rows(rows, [rows["text"]], make, "places binary, vals binary", drop=("text",))
     shard = F.pmod(F.xxhash64("doc_id"), F.lit(SHARDS)).cast("int")
-    made = stored(made.withColumn("shard", shard).repartition(SHARDS, "shard"), "features")
+    # Dealt once: the rounds read their shards from the buckets and shuffle nothing.
+    made = bucketed(made.withColumn("shard", shard), SHARDS, "shard", "features")
     size = 1 << BITS
     z, n = np.zeros(size), np.zeros(size)
     for _ in range(ROUNDS if total else 0):
         state = spark.sparkContext.broadcast((z, n))
 
-        def turn(batches: Iterator[pd.DataFrame], state=state) -> Iterator[pd.DataFrame]:
-            at, own = None, None
-            for pdf in batches:
-                for s, group in pdf.groupby("shard", sort=False):
-                    if s != at:
-                        if own is not None:
-                            yield _state(at, own)
-                        at, own = s, [x.copy() for x in state.value]
-                    ftrl(
-                        ((y, cost[y], np.frombuffer(p, np.int32), np.frombuffer(v, np.float32)) for y, p, v in zip(group.y, group.places, group.vals, strict=True)),
-                        *own,
-                    )
-            if own is not None:
-                yield _state(at, own)
-
-        dealt = made.repartition(SHARDS, "shard").sortWithinPartitions("shard", "ord", "doc_id", "places")
-        # One row of fixed size per shard comes back.
-        back = dealt.select("shard", "y", "places", "vals").mapInPandas(turn, "shard int, z binary, n binary").orderBy("shard").collect()
+        # A shard is a fixed share of the bounded sample; one row of fixed size comes back from each.
+        back = made.groupBy("shard").applyInPandas(_turn(state, cost), "shard int, z binary, n binary").orderBy("shard").collect()
         if not back:
             break
         z = np.mean([np.frombuffer(r["z"]) for r in back], axis=0)
@@ -151,8 +137,17 @@ def train(docs: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELLED)
     return weights_of(z, n).astype(np.float32)
 
 
-def _state(shard: int, own: list[np.ndarray]) -> pd.DataFrame:
-    return pd.DataFrame({"shard": [shard], "z": [own[0].tobytes()], "n": [own[1].tobytes()]})
+def _turn(state, cost: dict[int, float]):
+    """One round of a shard, from the shared state, in the order of the sample."""
+
+    def turn(key, pdf):
+        own = [x.copy() for x in state.value]
+        pdf = pdf.sort_values(["ord", "doc_id", "places"])
+        rows = zip(pdf.y, pdf.places, pdf.vals, strict=True)
+        ftrl(((y, cost[y], np.frombuffer(p, np.int32), np.frombuffer(v, np.float32)) for y, p, v in rows), *own)
+        return pd.DataFrame({"shard": key, "z": [own[0].tobytes()], "n": [own[1].tobytes()]})
+
+    return turn
 
 
 def score(docs: DataFrame, weights: np.ndarray) -> DataFrame:
