@@ -119,3 +119,27 @@ def test_image_folder_keeps_channel_order(spark, tmp_path):
     got = {(r.y, r.x): (r.c0, r.c1, r.c2) for r in pixel_rows(back).collect()}
     assert back.first().frame_id == 7
     assert got == {(y, x): tuple(int(v) for v in a[y, x]) for y in range(2) for x in range(3)}
+
+
+def test_directions_share_their_two_nearest_bins():
+    for degrees in (5, 50, 340, 350, 355):
+        gx, gy = (np.full((1, 1), f(np.radians(degrees))) for f in (np.cos, np.sin))
+        h = K.orientation_integral(gx, gy)[-1, -1]
+        low, share = int(degrees // 45), degrees % 45 / 45
+        want = np.zeros(8)
+        want[low], want[(low + 1) % 8] = 1 - share, share
+        assert np.allclose(h, want)
+    gx, gy = (np.full((1, 1), f(np.radians(355))) for f in (np.cos, np.sin))
+    old = K.orientation_integral(gx, gy, compat=True)[-1, -1]
+    assert np.isclose(old[0], 8 / 9) and np.isclose(old[1], 1 / 9)
+    # On a half circle opposite directions are one.
+    there, back = (K.orientation_integral(s * gx, s * gy, circle=180.0)[-1, -1] for s in (1, -1))
+    assert np.allclose(there, back) and np.isclose(there.sum(), 1)
+
+
+def test_a_repeated_part_keeps_its_frame(spark):
+    from vidspark.operators import detections as D
+
+    parts = [(0, 7, 2, 1), (0, 7, 2, 1), (0, 7, 2, 0), (0, 8, 2, 1)]
+    det = spark.createDataFrame(parts, "stream_id int, frame_id int, patch_count int, found int")
+    assert [r.frame_id for r in D.completed_frames(det).collect()] == [7]

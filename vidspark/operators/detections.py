@@ -15,13 +15,16 @@ def rect(*cols: str):
 
 
 def completed_frames(det: DataFrame, distinct: list[str] | None = None) -> DataFrame:
-    """Frames whose received parts reached ``patch_count`` (distinct regions on request)."""
+    """Frames whose received parts reached ``patch_count`` (distinct regions on request).
+
+    A part that is delivered again counts again and does not keep its frame from completing.
+    """
     if distinct:
         det = det.select(*KEYS, "patch_count", *distinct).distinct()
     return (
         det.groupBy(*KEYS)
         .agg(F.count("*").alias("received"), F.max("patch_count").alias("patch_count"))
-        .filter("received = patch_count")
+        .filter("received >= patch_count")
         .select(*KEYS, "patch_count")
     )
 

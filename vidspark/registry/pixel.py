@@ -138,10 +138,9 @@ def _(spark, sf):
 def _bins(view: str, val: str, gain: float = 1.0) -> str:
     """Gradient magnitude of each pixel, split over its two nearest of 8 angles."""
     return f"""SELECT stream_id, frame_id, y, x, bin, sum(m) AS m FROM (
-      SELECT stream_id, frame_id, y, x, unnest([b0, CASE WHEN f - b0 > 0 THEN (b0 + 1) % 8 ELSE (b0 + 7) % 8 END]) AS bin,
-        unnest([mag * w0, mag * (1 - w0)]) AS m FROM (
-        SELECT *, 1 - least(abs(f - b0), 8 - f) AS w0 FROM (
-          SELECT *, CAST(floor(f + 0.5) AS INTEGER) % 8 AS b0 FROM (
+      SELECT stream_id, frame_id, y, x, unnest([low % 8, (low + 1) % 8]) AS bin, unnest([mag * (1 - (f - low)), mag * (f - low)]) AS m FROM (
+        SELECT * FROM (
+          SELECT *, CAST(floor(f) AS INTEGER) AS low FROM (
             SELECT stream_id, frame_id, y, x, sqrt(gx * gx + gy * gy) AS mag,
               (CASE WHEN atan2(gy, gx) < 0 THEN degrees(atan2(gy, gx)) + 360 ELSE degrees(atan2(gy, gx)) END) / 45 AS f FROM (
               SELECT p.stream_id, p.frame_id, p.y, p.x, {gain} * (CAST(r.{val} AS DOUBLE) - l.{val}) AS gx, {gain} * (CAST(d.{val} AS DOUBLE) - u.{val}) AS gy
@@ -163,10 +162,10 @@ def _hist_sql(view: str, extra: str = "") -> str:
 
 
 HOF_SQL = """SELECT stream_id, frame_id, bin, round(sum(m), 4) + 0.0 AS value FROM (
-  SELECT stream_id, frame_id, unnest([CASE WHEN still THEN 8 ELSE b0 END, CASE WHEN still THEN 0 WHEN f - b0 > 0 THEN (b0 + 1) % 8 ELSE (b0 + 7) % 8 END]) AS bin,
-    unnest([CASE WHEN still THEN 1 ELSE mag * w0 END, CASE WHEN still THEN 0 ELSE mag * (1 - w0) END]) AS m FROM (
-    SELECT *, mag <= 0.16 AS still, 1 - least(abs(f - b0), 8 - f) AS w0 FROM (
-      SELECT *, CAST(floor(f + 0.5) AS INTEGER) % 8 AS b0 FROM (
+  SELECT stream_id, frame_id, unnest([CASE WHEN still THEN 8 ELSE low % 8 END, (low + 1) % 8]) AS bin,
+    unnest([CASE WHEN still THEN 1 ELSE mag * (1 - (f - low)) END, CASE WHEN still THEN 0 ELSE mag * (f - low) END]) AS m FROM (
+    SELECT *, mag <= 0.16 AS still FROM (
+      SELECT *, CAST(floor(f) AS INTEGER) AS low FROM (
         SELECT stream_id, frame_id, sqrt(u * u + v * v) AS mag,
           (CASE WHEN atan2(v, u) < 0 THEN degrees(atan2(v, u)) + 360 ELSE degrees(atan2(v, u)) END) / 45 AS f FROM v_px) a) b) c
   UNION ALL SELECT stream_id, frame_id, CAST(range AS INTEGER), 0 FROM v_whole CROSS JOIN range(9)) d

@@ -408,9 +408,16 @@ def _(spark, sf):
     return table(spark, sf, "documents").select("doc_id", S.class_from_name(F.col("text")).alias("class"))
 
 
-@query("p14_group_palette")
+_LEVEL = "CAST((group_id * 7919 + {} * 104729 + 11 * 1299709) % 2147483647 * 48271 % 2147483647 % 255 AS INTEGER) AS {}"
+
+
+@query(
+    "p14_group_palette",
+    "SELECT group_id, " + ", ".join(_LEVEL.format(c, n) for c, n in enumerate("bgr"))
+    + " FROM (SELECT unnest(range(1, max(c_custkey) + 1)) AS group_id FROM customer) t",
+)
 def _(spark, sf):
-    c = table(spark, sf, "customer").selectExpr("CAST(c_custkey % 1000 + 1 AS int) AS group_id")
+    c = table(spark, sf, "customer").selectExpr("c_custkey AS group_id")
     return O.group_palette(c, 11).select("group_id", "color.*")
 
 

@@ -89,13 +89,12 @@ def _(spark, sf):
     return spark.read.option("basePath", out).parquet(f"{out}/*").select("stream_id", "frame_id", "parts")
 
 
-KSLACK_SQL = """SELECT stream_id, frame_id, event_id, CAST(frame_id AS BIGINT) AS pos FROM (SELECT *, max(frame_id) OVER (PARTITION BY stream_id) AS m FROM v_frames) t
-  WHERE frame_id <= m - 4"""
+KSLACK_SQL = "SELECT stream_id, frame_id, event_id, CAST(frame_id AS BIGINT) AS pos FROM v_frames"
 
 
 def _slack(spark, sf):
     f = _plain(spark, sf).select("stream_id", "frame_id", "event_id")
-    return drain(X.kslack(staged(f, FILES, "event_id"), 5, "event_id", idle_ms=None))
+    return drain(X.kslack(staged(X.with_end(f, "event_id"), FILES, "event_id"), 5, "event_id", idle_ms=None))
 
 
 @query("x7_kslack", KSLACK_SQL)
