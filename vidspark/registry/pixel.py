@@ -239,14 +239,14 @@ def _(spark, sf):
 @query(
     "a8_mean_pool",
     """SELECT CAST(vec_id // 15 AS VARCHAR) AS trace_id, CAST((vec_id % 15) // 5 AS INTEGER) AS cell, CAST(d AS INTEGER) AS d,
-    round(avg(CAST(embedding[d + 1] AS DOUBLE)), 4) + 0.0 AS value FROM embeddings CROSS JOIN (SELECT range AS d FROM range(32)) r GROUP BY 1, 2, 3""",
+    round(avg(CAST(embedding[d + 1] AS DOUBLE)), 4) + 0.0 AS value FROM embeddings CROSS JOIN (SELECT range AS d FROM range(64)) r GROUP BY 1, 2, 3""",
 )
 def _(spark, sf):
     e = table(spark, sf, "embeddings").select(
         F.lit(0).alias("stream_id"), F.expr("CAST(vec_id div 15 AS string)").alias("trace_id"), (F.col("vec_id") % 15).cast("int").alias("idx"),
         F.transform("embedding", lambda v: v.cast("double")).alias("hog"),
     )
-    m = PX.mean_pool(e, ["hog"], 32)
+    m = PX.mean_pool(e, ["hog"], 64)
     return m.select("trace_id", "cell", F.posexplode("hog").alias("d", "value")).withColumn("value", F.round("value", 4) + 0.0)
 
 

@@ -117,9 +117,9 @@ def _joined(arr):
 PCA_SQL = """
 SELECT 'proj' AS item, k, d, CAST((k * 7 + d * 3) % 11 - 5 AS DOUBLE) / 8 + 0.0 AS value
 FROM (SELECT CAST(range AS INTEGER) AS k FROM range(10)) a CROSS JOIN
-  (SELECT CAST(range AS INTEGER) AS d FROM range(20)) b
+  (SELECT CAST(range AS INTEGER) AS d FROM range(64)) b
 UNION ALL SELECT 'mean', 0, d, round(avg(CAST(embedding[d + 1] AS DOUBLE)), 6) + 0.0
-FROM embeddings CROSS JOIN (SELECT CAST(range AS INTEGER) AS d FROM range(20)) b GROUP BY d
+FROM embeddings CROSS JOIN (SELECT CAST(range AS INTEGER) AS d FROM range(64)) b GROUP BY d
 UNION ALL SELECT 'eig', k, 0, CAST(k + 1 AS DOUBLE) FROM (SELECT CAST(range AS INTEGER) AS k FROM range(10)) a
 """
 
@@ -128,12 +128,12 @@ UNION ALL SELECT 'eig', k, 0, CAST(k + 1 AS DOUBLE) FROM (SELECT CAST(range AS I
 def _(spark, sf):
     path = fresh_path(spark, "pca")
     means = table(spark, sf, "embeddings").agg(
-        F.array(*[F.round(F.avg(F.col("embedding")[d].cast("double")), 6) for d in range(20)]).alias("m")
+        F.array(*[F.round(F.avg(F.col("embedding")[d].cast("double")), 6) for d in range(64)]).alias("m")
     )
-    proj = F.array(*[F.lit(((k * 7 + d * 3) % 11 - 5) / 8) for k in range(10) for d in range(20)])
+    proj = F.array(*[F.lit(((k * 7 + d * 3) % 11 - 5) / 8) for k in range(10) for d in range(64)])
     eig = F.array(*[F.lit(float(k + 1)) for k in range(10)])
     rows = means.select(
-        F.posexplode(F.array(F.lit("20 10"), _joined(proj), _joined(F.col("m")), _joined(eig))).alias("pos", "value")
+        F.posexplode(F.array(F.lit("64 10"), _joined(proj), _joined(F.col("m")), _joined(eig))).alias("pos", "value")
     )
     _write_lines(rows, path)
     m = SM.load_pca(spark, path)

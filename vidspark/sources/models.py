@@ -26,6 +26,8 @@ def _checked(df: DataFrame, sizes: list) -> DataFrame:
     )
     # The header is one row; it is read once on the driver to size the rest.
     a, b = head.first()
+    if df.filter((F.col("line") > len(sizes)) & (F.size("vals") > 0)).head(1):
+        raise ValueError(f"a model of this kind has {len(sizes) + 1} lines; the file has more")
     want = F.create_map(*[x for i, f in enumerate(sizes) for x in (F.lit(i + 1), F.lit(f(a, b)))])
     ok = F.size("vals") == want[F.col("line").cast("int")]
     msg = F.concat(F.lit("wrong length of model line "), F.col("line").cast("string"))
