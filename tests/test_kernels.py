@@ -92,13 +92,39 @@ def test_smallest_box_by_trying_all(seed):
     assert smallest_box(x, y, np.ones(9, int), need) == best
 
 
+@pytest.mark.parametrize("share", [0.4, 0.25, 0.2])
+def test_planted_map_is_recovered_from_few_inliers(share):
+    h = np.array([[1.1, 0.05, 5], [0.02, 0.95, 3], [1e-4, 2e-4, 1]])
+    k = int(80 * share)
+    for seed in range(4):
+        rng = np.random.default_rng(seed)
+        src = rng.uniform(0, 200, (80, 2))
+        p = np.hstack([src, np.ones((80, 1))]) @ h.T
+        dst = p[:, :2] / p[:, 2:]
+        dst[k:] += rng.uniform(20, 90, (80 - k, 2))
+        assert np.flatnonzero(robust_transform(src, dst)[1]).tolist() == list(range(k))
+
+
+def test_unequal_widths_do_not_stack(spark):
+    from vidspark.operators.pixels import images, stack_frames
+    from vidspark.schema import IMAGE_DDL
+
+    one, two = (
+        spark.createDataFrame([(0, 0, images([np.zeros((2, w), np.uint8)]).iloc[0].to_dict())], f"stream_id int, frame_id int, image {IMAGE_DDL}")
+        for w in (3, 4)
+    )
+    assert stack_frames(one, one).first().image.height == 4
+    with pytest.raises(Exception, match="differ in width"):
+        stack_frames(one, two).collect()
+
+
 def test_planted_logos_are_found_in_their_frames(spark):
     """Template k is cut from frame k at (16, 12)."""
     from vidspark.registry.flows import planted
 
     sf = "/root/testdata/sf0.01"
     hit = [r for r in planted(spark, sf).collect() if r.found]
-    assert {r.frame_id for r in hit} == {r.logo_index for r in hit} == {0, 1, 2, 3}
+    assert {r.frame_id for r in hit} == {r.logo_index for r in hit} == {0, 1, 2, 3, 4}
     for r in hit:
         assert r.frame_id == r.logo_index
         w = min(r.x + r.w, 40) - max(r.x, 16)
@@ -109,15 +135,18 @@ def test_planted_logos_are_found_in_their_frames(spark):
 def test_image_folder_keeps_channel_order(spark, tmp_path):
     from vidspark.operators.pixels import images, pixel_rows
     from vidspark.schema import IMAGE_DDL
-    from vidspark.sources.frames import read_frames, write_frame_files
+    from vidspark.sources.frames import read_frames, rejected_frames, write_frame_files
 
     a = np.arange(2 * 3 * 3, dtype=np.uint8).reshape(2, 3, 3)
     img = images([a]).iloc[0].to_dict()
-    df = spark.createDataFrame([(7, img)], f"frame_id int, image {IMAGE_DDL}")
+    df = spark.createDataFrame([(5, 7, img)], f"stream_id int, frame_id int, image {IMAGE_DDL}")
     write_frame_files(df, str(tmp_path / "f"))
+    broken = tmp_path / "f" / "stream_id=5" / "frame000008.png"
+    broken.write_bytes(b"no image")
     back = read_frames(spark, str(tmp_path / "f"))
     got = {(r.y, r.x): (r.c0, r.c1, r.c2) for r in pixel_rows(back).collect()}
-    assert back.first().frame_id == 7
+    assert [(r.stream_id, r.frame_id) for r in back.collect()] == [(5, 7)]
+    assert [r.origin.rsplit("/", 1)[-1] for r in rejected_frames(spark, str(tmp_path / "f")).collect()] == [broken.name]
     assert got == {(y, x): tuple(int(v) for v in a[y, x]) for y in range(2) for x in range(3)}
 
 

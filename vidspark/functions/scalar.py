@@ -28,11 +28,6 @@ def div(a, b) -> Column:
     return F.call_function("div", a, b).cast("int")
 
 
-def trunc_int(c: Column) -> Column:
-    """Double to int, toward zero."""
-    return c.cast("int")
-
-
 def is_due(frame: str | Column, every: int, offset: int = 0) -> Column:
     """Cadence test ``(frame - offset) % every = 0``."""
     c = F.col(frame) if isinstance(frame, str) else frame
@@ -135,7 +130,8 @@ def project_corners(h: list[Column], rect: Column, tw: Column, th: Column):
 
 def found_rect(q, pw: Column, ph: Column, roi_x: Column, roi_y: Column, box=None) -> Column:
     """Clamp the outline's box to the patch, truncate, shift to frame coordinates."""
-    x0, x1, y0, y1 = (c.cast("int") for c in box or quad_box(q))
+    # Degenerate maps throw corners further out than an int reaches.
+    x0, x1, y0, y1 = (F.least(F.greatest(c, F.lit(-1e9)), F.lit(1e9)).cast("int") for c in box or quad_box(q))
     x0, y0 = F.greatest(F.lit(0), x0), F.greatest(F.lit(0), y0)
     x1, y1 = F.least(pw.cast("int"), x1), F.least(ph.cast("int"), y1)
     return F.struct(

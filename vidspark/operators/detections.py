@@ -49,12 +49,6 @@ def collect_complete_multi(det: DataFrame, n_logos: int) -> DataFrame:
     return spine.join(found, [*KEYS, "logo_index"], "left")
 
 
-def nest_detections(rows: DataFrame) -> DataFrame:
-    """Boundary form: one array per logo. Only for frames known to hold few rectangles."""
-    r = F.when(F.col("w").isNotNull(), rect())
-    return rows.groupBy(*KEYS, "logo_index").agg(F.sort_array(F.collect_list(r)).alias("rects"))
-
-
 def expand_samples(det: DataFrame, n: int) -> DataFrame:
     """A sampled frame's rows apply to frames ``f … f + n - 1``."""
     f = F.col(FRAME)

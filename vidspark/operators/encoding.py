@@ -141,12 +141,6 @@ def gmm_posteriors(df: DataFrame, model: DataFrame | Mixture, ids: list[str], co
     return wide.select(*ids, "log_likelihood", F.posexplode("post").alias("k", "posterior"))
 
 
-def hard_assign(post: DataFrame, ids: list[str]) -> DataFrame:
-    """Posterior 1 for the best cluster (first on ties), 0 elsewhere."""
-    best = F.max_by("k", F.struct("posterior", (-F.col("k")).alias("o")))
-    return post.groupBy(*ids).agg(best.alias("k"))
-
-
 def fisher_encode(
     df: DataFrame,
     model: DataFrame | Mixture,
@@ -215,16 +209,6 @@ def fv_normalize(fv: DataFrame, model: DataFrame | Mixture, windows: list[str])
     return q.withColumn("value", F.try_divide(F.col("value"), norm))
 
 
-def flat_position(parts: int, clusters: int, dims: int):
-    """Position of (part, half, k, d) in the concatenated vector."""
-    return (
-        F.col("part_no") * (2 * clusters * dims)
-        + F.col("half") * (clusters * dims)
-        + F.col("k") * dims
-        + F.col("d")
-    ).cast("int")
-
-
 def score_classes(fv: DataFrame, weights: DataFrame, windows: list[str], n_classes: int) -> DataFrame:
     """Dot product of each window's vector ``(windows, pos, value)`` with every class row.
 
@@ -298,14 +282,6 @@ def recognise_windows(
     return class_argmax(score_classes(fv, weights, windows, n_classes), windows)
 
 
-def complete_windows(
-    frames: DataFrame, n: int, length: int = 15, stream: str = STREAM
-) -> DataFrame:
-    """Windows all of whose ``n`` frames have delivered features."""
-    w = window_index(frames.select(stream, FRAME).distinct().filter(F.col(FRAME) >= length), length, n)
-    return w.groupBy(stream, "win").agg(F.count("*").alias("_n")).filter(F.col("_n") >= n).drop("_n")
-
-
 def join_results_to_frames(frames: DataFrame, results: DataFrame, win) -> DataFrame:
     """Each frame with its window's label, -1 while there is none."""
     j = frames.withColumn("win", win).join(results, [STREAM, "win"], "left")

@@ -310,13 +310,18 @@ def _keypoints(a, rois, step, b, floor):
 
 
 def stack_frames(a: DataFrame, b: DataFrame) -> DataFrame:
-    """Frames present in both results, first above second (equal widths), bytes joined in the JVM."""
+    """Frames present in both results, first above second, bytes joined in the JVM.
+
+    Frames of unequal widths or channels are an error; resize or convert them first.
+    """
     j = a.select(*KEYS, F.col("image").alias("_a")).join(b.select(*KEYS, F.col("image").alias("_b")), KEYS)
+    fit = F.expr("_a.width = _b.width AND _a.nChannels = _b.nChannels")
     img = F.struct(
         (F.col("_a.height") + F.col("_b.height")).alias("height"), F.col("_a.width").alias("width"),
         F.col("_a.nChannels").alias("nChannels"), F.col("_a.mode").alias("mode"),
-        F.concat("_a.data", "_b.data").alias("data"),
+        F.when(fit, F.concat("_a.data", "_b.data")).otherwise(F.raise_error(F.lit("stacked frames differ in width or channels")).cast("binary"))
+        .alias("data"),
     )
-    return j.filter("_a.width = _b.width AND _a.nChannels = _b.nChannels").select(*KEYS, img.alias("image"))
+    return j.select(*KEYS, img.alias("image"))
 
 

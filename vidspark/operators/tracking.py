@@ -331,7 +331,8 @@ def track(
     rounds = [f"{root}/round={s}" for s in range(lo or 0, (hi if hi is not None else -1) + 1)]
     if not rounds:
         return spark.createDataFrame([], CLOSED)
-    return spark.read.schema(CLOSED).option("basePath", root).parquet(*rounds).filter("status <> 'state'")
+    out = spark.read.schema(CLOSED).option("basePath", root).parquet(*rounds).filter("status <> 'state'")
+    return out.select(STREAM, "trace_id", "xs", "ys", "end_frame", "status")
 
 
 def trace_points(closed: DataFrame) -> DataFrame:

@@ -20,6 +20,8 @@ class Matching:
     box_accuracy: float = 0.9
     reproj_threshold: float = 1.0
     max_added: int = 4
+    # Bound on four-pair samples of one fit; fewer are drawn once enough pairs agree.
+    max_samples: int = 2000
 
 
 @dataclass(frozen=True)

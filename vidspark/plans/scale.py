@@ -96,7 +96,7 @@ def numbered(
     win = Window.partitionBy(*keys).orderBy(*order)
 
     def plain(d: DataFrame) -> DataFrame:
-        return d.withColumn(out, (F.row_number().over(win) - 1 + start).cast("int"))
+        return d.withColumn(out, F.row_number().over(win).cast("long") - 1 + start)
 
     total = df.count()
     if total <= slice_rows:
@@ -125,7 +125,7 @@ def _sliced(df, keys, order, out, start, slices):
     runs = runs.withColumn("_base", F.coalesce(F.sum("_n").over(before), F.lit(0))).drop("_n")
     j = s.join(runs, ["_slice", *keys])
     number = F.col("_pos") - F.col("_first") + F.col("_base") + F.lit(start)
-    return j.withColumn(out, number.cast("int")).select(*cols, out)
+    return j.withColumn(out, number.cast("long")).select(*cols, out)
 
 
 def lagged(

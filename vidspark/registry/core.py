@@ -57,6 +57,13 @@ def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf}/{name}.parquet")
 
 
+def placed(df: DataFrame, keys: tuple[str, ...] = ("stream_id",), out: str = "place") -> DataFrame:
+    """0-based place of each row among those of its keys, as the files hold them; ``df`` has ``_metadata``."""
+    at = df.select("*", F.col("_metadata.file_path").alias("_f"), F.col("_metadata.row_index").alias("_r")).drop("_metadata")
+    n = numbered(at, list(keys), ["_f", "_r"], out)
+    return n.drop("_f", "_r")
+
+
 VIEWS["v_frames"] = """
 SELECT CAST(user_id % 4 AS INTEGER) AS stream_id,
   CAST(row_number() OVER (PARTITION BY user_id % 4 ORDER BY ts, event_id) - 1 AS INTEGER) AS frame_id,
@@ -110,7 +117,7 @@ def detections(spark, sf, patch_no: bool = False) -> DataFrame:
     n = li.groupBy("l_orderkey").agg((F.count("*") + hit).cast("int").alias("patch_count"))
     return li.join(n, "l_orderkey").selectExpr(
         "CAST(l_orderkey % 4 AS int) AS stream_id", "CAST(l_orderkey div 4 AS int) AS frame_id",
-        *(["patch_no"] if patch_no else []), "patch_count", "CAST(l_suppkey % 3 AS int) AS logo_index",
+        *(["CAST(patch_no AS int) AS patch_no"] if patch_no else []), "patch_count", "CAST(l_suppkey % 3 AS int) AS logo_index",
         "CASE WHEN l_returnflag = 'R' THEN 1 ELSE 0 END AS found", "CAST(l_partkey % 600 AS int) AS x",
         "CAST((l_suppkey * 7) % 440 AS int) AS y", "CAST(l_quantity AS int) + 10 AS w",
         "CAST(l_quantity AS int) + 5 AS h",
@@ -146,35 +153,50 @@ FROM (SELECT user_id, event_id,
 def track_points(spark, sf) -> DataFrame:
     e = numbered(table(spark, sf, "events").select("user_id", "event_id"), ["user_id"], ["event_id"], "seq")
     return e.selectExpr(
-        "CAST(user_id % 4 AS int) AS stream_id", "user_id", "CAST(seq div 16 AS int) AS chunk", "seq % 16 AS idx",
+        "CAST(user_id % 4 AS int) AS stream_id", "user_id", "CAST(seq div 16 AS int) AS chunk", "CAST(seq % 16 AS int) AS idx",
         "concat(CAST(user_id AS string), '-', CAST(seq div 16 AS string)) AS trace_id",
         "CAST(200 + (user_id % 5) * (user_id % 5) * ((event_id * 37) % 13 - 6) AS double) / 2 AS x",
         "CAST(160 + (user_id % 5) * (user_id % 5) * ((event_id * 53) % 11 - 5) AS double) / 2 AS y",
     )
 
 
-# Frames of 16 x 12 pixels, one order per pixel, four streams.
+# Frames of 16 x 12 pixels, one order per pixel, four streams. Pixels behind the last order are
+# white and do not move.
+VIEWS["v_pixels"] = f"""
+SELECT o_orderkey, o_custkey, o_totalprice, false AS pad FROM orders UNION ALL
+SELECT unnest(range(m + 1, (m // {W * H} + 1) * {W * H})), 3, 0.0, true FROM (SELECT max(o_orderkey) AS m FROM orders) t"""
 VIEWS["v_cells"] = f"""
 SELECT CAST((o_orderkey // {W * H}) % 4 AS INTEGER) AS stream_id,
   CAST((o_orderkey // {W * H}) // 4 AS INTEGER) AS frame_id,
   CAST((o_orderkey % {W * H}) // {W} AS INTEGER) AS y, CAST(o_orderkey % {W} AS INTEGER) AS x,
-  CAST(o_custkey % 7 - 3 AS DOUBLE) / 2 AS u, CAST((o_custkey // 7) % 5 - 2 AS DOUBLE) / 2 AS v,
-  o_totalprice AS response, CAST(o_custkey % 256 AS INTEGER) AS b,
-  CAST(CAST(floor(o_totalprice) AS BIGINT) % 256 AS INTEGER) AS g,
-  CAST((o_orderkey * 7 + o_custkey) % 256 AS INTEGER) AS r
-FROM orders"""
+  CASE WHEN pad THEN 0.0 ELSE CAST(o_custkey % 7 - 3 AS DOUBLE) / 2 END AS u,
+  CASE WHEN pad THEN 0.0 ELSE CAST((o_custkey // 7) % 5 - 2 AS DOUBLE) / 2 END AS v,
+  CAST(o_totalprice AS DOUBLE) AS response, CASE WHEN pad THEN 255 ELSE CAST(o_custkey % 256 AS INTEGER) END AS b,
+  CASE WHEN pad THEN 255 ELSE CAST(CAST(floor(o_totalprice) AS BIGINT) % 256 AS INTEGER) END AS g,
+  CASE WHEN pad THEN 255 ELSE CAST((o_orderkey * 7 + o_custkey) % 256 AS INTEGER) END AS r
+FROM v_pixels"""
+
+
+def pixels(spark, sf, n: int = W * H) -> DataFrame:
+    """Orders, and what the last frame of ``n`` pixels lacks."""
+    o = table(spark, sf, "orders").select("o_orderkey", "o_custkey", "o_totalprice")
+    last = o.agg(F.max("o_orderkey").cast("long").alias("m"))
+    rest = last.filter(f"(m + 1) % {n} <> 0").selectExpr(f"explode(sequence(m + 1, (m div {n} + 1) * {n} - 1)) AS o_orderkey")
+    rest = rest.select("o_orderkey", F.lit(3).alias("o_custkey"), F.lit(0.0).alias("o_totalprice"), F.lit(True).alias("pad"))
+    return o.withColumn("pad", F.lit(False)).unionByName(rest)
 
 
 def cells(spark, sf) -> DataFrame:
     n = W * H
-    return table(spark, sf, "orders").selectExpr(
+    return pixels(spark, sf).selectExpr(
         f"CAST((o_orderkey div {n}) % 4 AS int) AS stream_id",
         f"CAST((o_orderkey div {n}) div 4 AS int) AS frame_id",
         f"CAST((o_orderkey % {n}) div {W} AS int) AS y", f"CAST(o_orderkey % {W} AS int) AS x",
-        "CAST(o_custkey % 7 - 3 AS double) / 2 AS u",
-        "CAST((o_custkey div 7) % 5 - 2 AS double) / 2 AS v", "o_totalprice AS response",
-        "CAST(o_custkey % 256 AS int) AS b", "CAST(CAST(floor(o_totalprice) AS bigint) % 256 AS int) AS g",
-        "CAST((o_orderkey * 7 + o_custkey) % 256 AS int) AS r",
+        "IF(pad, 0D, CAST(o_custkey % 7 - 3 AS double) / 2) AS u",
+        "IF(pad, 0D, CAST((o_custkey div 7) % 5 - 2 AS double) / 2) AS v", "CAST(o_totalprice AS double) AS response",
+        "IF(pad, 255, CAST(o_custkey % 256 AS int)) AS b",
+        "IF(pad, 255, CAST(CAST(floor(o_totalprice) AS bigint) % 256 AS int)) AS g",
+        "IF(pad, 255, CAST((o_orderkey * 7 + o_custkey) % 256 AS int)) AS r",
     )
 
 

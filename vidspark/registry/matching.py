@@ -57,6 +57,19 @@ def _(spark, sf):
     return _knn(spark, sf).select("q", F.col("g").alias("tpl"), "t", _dist(), "rank")
 
 
+@query("j3_knn_match_blocks", "SELECT q, tpl, t, round(d, 4) AS d, CAST(r AS INTEGER) AS rank FROM v_fwd WHERE r <= 2")
+def _(spark, sf):
+    """The form for two sides that are both too large to hand out."""
+    k = M.knn_match(patch_desc(spark, sf), bank_desc(spark, sf).withColumnRenamed("tpl", "g"), 2, force_blocks=256)
+    return k.select("q", F.col("g").alias("tpl"), "t", _dist(), "rank")
+
+
+@query("m2_match_rows", "SELECT patch, tpl, q, t, round(d, 4) AS d FROM v_mutual")
+def _(spark, sf):
+    """The form for patches or banks of any size."""
+    return M.match_rows(patch_desc(spark, sf), bank_desc(spark, sf), RATIO).select("patch", "tpl", "q", "t", _dist())
+
+
 @query("w1_ratio_test", "SELECT q, tpl, t, round(d, 4) AS d FROM v_fwd1")
 def _(spark, sf):
     return _forward(spark, sf).select("q", "tpl", "t", _dist())

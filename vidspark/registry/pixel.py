@@ -40,13 +40,13 @@ def flows(spark, sf):
 
 @query(
     "s1_read_frames",
-    "SELECT frame_id, y, x, b AS c0, g AS c1, r AS c2 FROM v_px WHERE stream_id = 0",
+    "SELECT stream_id, frame_id, y, x, b AS c0, g AS c1, r AS c2 FROM v_px",
 )
 def _(spark, sf):
     """One stream is one folder of numbered files."""
     path = fresh_path(spark, "frames")
-    SF.write_frame_files(images(spark, sf).filter("stream_id = 0"), path)
-    return PX.pixel_rows(SF.read_frames(spark, path)).drop("stream_id")
+    SF.write_frame_files(images(spark, sf), path)
+    return PX.pixel_rows(SF.read_frames(spark, path))
 
 
 @query(

@@ -27,6 +27,13 @@ def _(spark, sf):
     return frames(spark, sf).select("event_id", "stream_id", "frame_id")
 
 
+@query("s3_assign_frame_ids_sliced", "SELECT event_id, stream_id, frame_id FROM v_frames")
+def _(spark, sf):
+    """The form for streams of more rows than one task sorts."""
+    f = SF.assign_frame_ids(frames(spark, sf, numbered_ids=False), ["ts", "event_id"], slice_rows=500)
+    return f.select("event_id", "stream_id", "frame_id")
+
+
 @query(
     "s4_frame_range",
     f"SELECT stream_id, frame_id, event_id FROM v_frames WHERE frame_id >= 100 AND frame_id < {FAR}",

@@ -9,7 +9,7 @@ from vidspark.operators import encoding as E
 from vidspark.operators import tracking as T
 from vidspark.operators.bank import VersionedBank
 from vidspark.plans.scale import fresh_path
-from vidspark.registry.core import H, W, cells, detections, frames, query, raw_frames, table
+from vidspark.registry.core import H, W, cells, detections, frames, placed, query, raw_frames, table
 from vidspark.registry.encoding import SLICES, chain_models, features, weights
 from vidspark.registry.relational import FAR, VIEW_DONE, part_bank
 from vidspark.registry.tracking import P, TRACK_SQL, _grid, _pixels
@@ -68,8 +68,8 @@ DONE_PARTS = """parts AS (SELECT stream_id, frame_id, CAST(count(*) AS INTEGER)
 
 
 def _in_order(spark, sf):
-    f = staged(done_frames(spark, sf).select("stream_id", "frame_id", "parts"), FILES, "frame_id")
-    return X.resequence(f, start=-1, max_wait=4, polls_per_trigger=1_000_000, tick_ms=None)
+    f = done_frames(spark, sf).select("stream_id", "frame_id", "parts").withColumn("seq", F.col("frame_id"))
+    return X.resequence(staged(X.with_end(f, "seq"), FILES, "seq"), slack=64, idle_ms=None).drop("seq")
 
 
 @query(
@@ -81,12 +81,15 @@ def _(spark, sf):
     return drain(_in_order(spark, sf))
 
 
-@query("s9_ordered_sink", f"WITH {DONE_PARTS} SELECT stream_id, frame_id, parts FROM parts")
+@query(
+    "s9_ordered_sink",
+    f"""WITH {DONE_PARTS} SELECT stream_id, frame_id, parts, row_number() OVER (PARTITION BY stream_id ORDER BY frame_id) - 1 AS place FROM parts""",
+)
 def _(spark, sf):
     out = fresh_path(spark, "ordered")
     q = ordered_sink(_in_order(spark, sf).filter("NOT late"), out, fresh_path(spark, "state"))
     q.awaitTermination()
-    return spark.read.option("basePath", out).parquet(f"{out}/*").select("stream_id", "frame_id", "parts")
+    return placed(spark.read.option("basePath", out).parquet(f"{out}/*").select("stream_id", "frame_id", "parts", "_metadata"))
 
 
 KSLACK_SQL = "SELECT stream_id, frame_id, event_id, CAST(frame_id AS BIGINT) AS pos FROM v_frames"
@@ -176,15 +179,15 @@ def _(spark, sf):
     return bank.read(n)
 
 
-@query("x5_stream_track", f"SELECT * FROM ({TRACK_SQL}) t WHERE status <> 'live'".replace("\nWITH RECURSIVE", "WITH RECURSIVE"))
+@query("x5_stream_track", TRACK_SQL)
 def _(spark, sf):
     r = T.flow_rows(cells(spark, sf))
     flow = r.groupBy("stream_id", "frame_id").agg(F.sort_array(F.collect_list(F.struct("y", "u", "v"))).alias("flow"))
     s = T.trace_ids(T.response_threshold(_pixels(spark, sf), _grid(spark, sf), P.quality))
     s = s.withColumns({"x": F.col("x").cast("double"), "y": F.col("y").cast("double")})
     seeds = s.groupBy("stream_id", "frame_id").agg(F.collect_list(F.struct("i", "j", "x", "y", "trace_id")).alias("seeds"))
-    f = flow.join(seeds, ["stream_id", "frame_id"], "left")
-    t = drain(X.stream_track(staged(f, FILES, "frame_id"), W, H, P))
+    f = flow.join(seeds, ["stream_id", "frame_id"], "left").withColumn("seq", F.col("frame_id"))
+    t = drain(X.stream_track(staged(X.with_end(f, "seq"), FILES, "seq"), W, H, P, idle_ms=None))
     return t.select(
         "stream_id", "trace_id", "end_frame", "status", F.size("xs").alias("n_points"),
         F.element_at("xs", -1).alias("last_x"), F.element_at("ys", -1).alias("last_y"),

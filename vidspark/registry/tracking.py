@@ -153,15 +153,24 @@ def tracked(spark, sf, segment_frames: int = 256):
     return T.track(T.flow_rows(cells(spark, sf)), seeds, W, H, P, segment_frames)
 
 
-@query("t5_track", TRACK_SQL)
-def _(spark, sf):
-    t = tracked(spark, sf)
+def _ends(t):
     return t.select(
         "stream_id", "trace_id", "end_frame", "status", F.size("xs").alias("n_points"),
         F.element_at("xs", -1).alias("last_x"), F.element_at("ys", -1).alias("last_y"),
     )
 
 
+@query("t5_track", TRACK_SQL)
+def _(spark, sf):
+    return _ends(tracked(spark, sf))
+
+
+@query("t5_track_segments", TRACK_SQL)
+def _(spark, sf):
+    """Traces that go on over many segments."""
+    return _ends(tracked(spark, sf, 7))
+
+
 STATS = """
 st AS (SELECT *, sqrt((x - px) * (x - px) + (y - py) * (y - py)) AS dist FROM (SELECT *, lag(x) OVER w AS px, lag(y) OVER w AS py FROM v_pts
   WINDOW w AS (PARTITION BY stream_id, trace_id ORDER BY idx)) t),

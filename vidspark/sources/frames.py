@@ -24,9 +24,11 @@ def frame_time(frame: Column, fps: int = 25) -> Column:
 
 
 def _named(df: DataFrame, prefix: str, stream_id: int) -> DataFrame:
+    """Files in folders ``stream_id=…`` name their stream themselves."""
     number = F.regexp_extract("image.origin", rf"{prefix}(\d+)\.[A-Za-z]+$", 1)
-    return df.select(
-        F.lit(stream_id).alias(STREAM),
+    stream = F.col(STREAM).cast("int") if STREAM in df.columns else F.lit(stream_id)
+    return df.filter("image.height > 0").select(
+        stream.alias(STREAM),
         number.cast("int").alias(FRAME),
         F.struct(*[F.col(f"image.{c}") for c in ("height", "width", "nChannels", "mode", "data")])
         .alias("image"),
@@ -36,14 +38,21 @@ def _named(df: DataFrame, prefix: str, stream_id: int) -> DataFrame:
 def read_frames(
     spark: SparkSession, path: str, prefix: str = "frame", stream_id: int = 0
 ) -> DataFrame:
-    """Numbered image files as frames; numbers missing on disk stay missing."""
-    df = (
-        spark.read.format("image")
-        .option("dropInvalid", True)
-        .option("pathGlobFilter", f"{prefix}[0-9]*")
-        .load(path)
-    )
-    return _named(df, prefix, stream_id)
+    """Numbered image files as frames; numbers missing on disk stay missing.
+
+    ``path`` is the folder of one stream, or has a folder ``stream_id=…`` for each. Files that cannot
+    be decoded are in ``rejected_frames``.
+    """
+    return _named(_image_files(spark, path, prefix), prefix, stream_id)
+
+
+def rejected_frames(spark: SparkSession, path: str, prefix: str = "frame") -> DataFrame:
+    """``origin`` of the numbered files that ``read_frames`` cannot decode."""
+    return _image_files(spark, path, prefix).filter("image.height <= 0").select("image.origin")
+
+
+def _image_files(spark, path, prefix):
+    return spark.read.format("image").option("pathGlobFilter", f"{prefix}[0-9]*").load(path)
 
 
 def _png(height: int, width: int, channels: int, data: bytes) -> bytes:
@@ -59,19 +68,22 @@ def _png(height: int, width: int, channels: int, data: bytes) -> bytes:
 
 
 def write_frame_files(df: DataFrame, path: str, prefix: str = "frame") -> None:
-    """Numbered PNG files of one stream, written by the tasks that hold the frames."""
+    """Numbered PNG files in a folder per stream, written by the tasks that hold the frames."""
 
     def run(batches):
         fs, root = pafs.FileSystem.from_uri(path if "://" in path else f"file://{path}")
-        fs.create_dir(root, recursive=True)
+        made = set()
         for b in batches:
             for r in b.itertuples():
-                i = r.image
-                with fs.open_output_stream(f"{root}/{prefix}{r.frame_id:06d}.png") as f:
+                i, folder = r.image, f"{root}/{STREAM}={r.stream_id}"
+                if folder not in made:
+                    fs.create_dir(folder, recursive=True)
+                    made.add(folder)
+                with fs.open_output_stream(f"{folder}/{prefix}{r.frame_id:06d}.png") as f:
                     f.write(_png(i["height"], i["width"], i["nChannels"], bytes(i["data"])))
             yield b[[FRAME]]
 
-    df.select(FRAME, "image").mapInPandas(run, f"{FRAME} int").write.format("noop").mode("overwrite").save()
+    df.select(STREAM, FRAME, "image").mapInPandas(run, f"{FRAME} int").write.format("noop").mode("overwrite").save()
 
 
 def stream_frames(
@@ -80,15 +92,16 @@ def stream_frames(
     max_per_trigger: int = 100,
     schema=None,
     glob: str | None = None,
+    stream_id: int = 0,
 ) -> DataFrame:
-    """Unbounded twin: Parquet frame tables when ``schema`` is given, else image files."""
+    """Unbounded twin: Parquet frame tables when ``schema`` is given, else one stream's image files."""
     r = spark.readStream.option("maxFilesPerTrigger", max_per_trigger)
     if glob:
         r = r.option("pathGlobFilter", glob)
     if schema is not None:
         return r.schema(schema).parquet(path)
     ddl = "image struct<origin:string,height:int,width:int,nChannels:int,mode:int,data:binary>"
-    return _named(r.schema(ddl).format("image").load(path), "frame", 0)
+    return _named(r.schema(ddl).format("image").load(path), "frame", stream_id)
 
 
 def paced_stream(spark: SparkSession, path: str, schema, files_per_second: int, seconds: int = 1):
@@ -102,7 +115,7 @@ def assign_frame_ids(
 ) -> DataFrame:
     """0-based frame counter per stream."""
     kw = {} if slice_rows is None else {"slice_rows": slice_rows}
-    return numbered(df, [stream], order, FRAME, **kw)
+    return numbered(df, [stream], order, FRAME, **kw).withColumn(FRAME, F.col(FRAME).cast("int"))
 
 
 def frame_range(df: DataFrame, first: int, last: int, rebase: bool = False) -> DataFrame:

@@ -24,13 +24,6 @@ def load_trajectories(spark: SparkSession, path: str, n: int = 1, points: int =
     )
 
 
-def thin_groups(groups: DataFrame, n: int) -> DataFrame:
-    """Group ids of the kept lines: ``(line, group_id)`` → ``(traj, group_id)``."""
-    return groups.filter(F.col("line") % n == 0).select(
-        (F.col("line") / n).cast("long").alias("traj"), "group_id"
-    )
-
-
 def merge_groups(a: DataFrame, b: DataFrame) -> DataFrame:
     """Append list ``b`` after ``a`` (columns line, group_id), ids shifted by ``max(a)``."""
     # One-row aggregate, read on the driver.

@@ -13,10 +13,13 @@ from vidspark.schema import KEYS
 def staged(df: DataFrame, files: int, order: str) -> DataFrame:
     """``df`` as a stream of ``files`` slices of an integer column, oldest first, one per trigger.
 
-    Slices are written one after the other: a file source takes files by age.
+    ``df`` is computed once, into a table. Slices are written one after the other, as a file source
+    takes files by age; each is one file, so give ``files`` in keeping with the size of the input.
     """
     spark = df.sparkSession
-    path = fresh_path(spark, "stage")
+    path, whole = fresh_path(spark, "stage"), fresh_path(spark, "whole")
+    df.write.parquet(whole)
+    df = spark.read.schema(df.schema).parquet(whole)
     lo, hi = df.agg(F.min(order), F.max(order)).first()
     width = (hi - lo) // files + 1
     for i in range(files):
