@@ -15,7 +15,7 @@ from vidspark.registry.relational import FAR, VIEW_DONE, part_bank
 from vidspark.registry.tracking import P, TRACK_SQL, _grid, _pixels
 from vidspark.sources import frames as SF
 from vidspark.streaming import state as X
-from vidspark.streaming.feedback import detect_with_feedback, recognise_closed
+from vidspark.streaming.feedback import detect_with_feedback, learn_logos, recognise_closed
 from vidspark.streaming.run import drain, ordered_sink, staged
 
 FILES = 3
@@ -179,6 +179,20 @@ def _(spark, sf):
     return bank.read(n)
 
 
+@query("x4_stream_learn_logos")
+def _(spark, sf):
+    """Frames of orders arrive in slices; crops of found logos serve the slices after them."""
+    from vidspark.registry.flows import HOW, big_images, templates
+
+    bank = VersionedBank(spark)
+    t = templates(spark, sf)
+    bank.write(0, t.select("logo_index", F.col("template_id").cast("long").alias("template_id"), "is_original",
+                           F.col("priority").cast("long").alias("priority"), F.col("seq").cast("long").alias("seq"), "image"))
+    n = learn_logos(staged(big_images(spark, sf), FILES, "frame_id"), bank, 2, fresh_path(spark, "found"), **HOW)
+    size = [F.col(f"image.{c}").alias(c) for c in ("width", "height")]
+    return bank.read(n).select("logo_index", "template_id", "is_original", "priority", "seq", *size, F.crc32("image.data").alias("crc"))
+
+
 @query("x5_stream_track", TRACK_SQL)
 def _(spark, sf):
     r = T.flow_rows(cells(spark, sf))
