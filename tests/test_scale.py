@@ -116,3 +116,33 @@ def test_salted_parts_are_bounded(skewed):
     s = scale.salted(skewed, ["k"], ["i"], 100)
     big = s.groupBy("k", "_salt").count().agg(F.max("count")).first()[0]
     assert big < 200 and s.count() == 3000
+
+
+def test_streams_of_other_sizes_are_tracked_side_by_side(spark):
+    import random
+
+    from vidspark.operators import tracking as T
+    from vidspark.params import Tracking
+
+    rnd, p = random.Random(5), Tracking(min_distance=2.0, every=2, length=4)
+    flow, seeds, size = [], [], {0: (8, 6), 1: (12, 10)}
+    for s, (w, h) in size.items():
+        for f in range(12):
+            flow += [(s, f, y, [rnd.choice([-0.5, 0.5, 1.0]) for _ in range(w)], [rnd.choice([-0.5, 0.0, 0.5]) for _ in range(w)]) for y in range(h)]
+            seeds += [(s, f, i, j, 2.0 * j + 1, 2.0 * i + 1, f"{s}-{f}-{i}_{j}") for i in range(h // 2) for j in range(w // 2)]
+    flow = spark.createDataFrame(flow, "stream_id int, frame_id int, y int, u array<double>, v array<double>")
+    seeds = spark.createDataFrame(seeds, "stream_id int, frame_id int, i int, j int, x double, y double, trace_id string")
+    both = T.track(flow, seeds, p=p, segment_frames=5).collect()
+    apart = [r for s, (w, h) in size.items() for r in T.track(flow.filter(f"stream_id = {s}"), seeds.filter(f"stream_id = {s}"), w, h, p, 5).collect()]
+    assert sorted(both) == sorted(apart) and {r.stream_id for r in both} == {0, 1}
+
+
+def test_every_patch_answers_for_every_logo(spark):
+    from vidspark.plans.flows import answers
+
+    patches = spark.range(3).selectExpr("id AS patch")
+    meta = spark.createDataFrame([(7,), (7,), (90_000,), (-2,)], "logo_index int")
+    got = answers(patches, meta)
+    assert sorted(map(tuple, got.collect())) == [(p, n) for p in range(3) for n in (-2, 7, 90_000)]
+    none = answers(patches, meta.limit(0))
+    assert none.columns == got.columns and none.isEmpty()

@@ -254,13 +254,15 @@ def _flow_matrix(rows: pd.DataFrame, w: int, h: int):
 def track(
     flow: DataFrame,
     seeds: DataFrame,
-    w: int,
-    h: int,
+    w: int | None = None,
+    h: int | None = None,
     p: Tracking = Tracking(),
     segment_frames: int = 256,
 ) -> DataFrame:
     """All traces of all streams with their points and how they ended.
 
+    Without ``w`` and ``h`` each stream has the size of its flow, so cameras may differ.
+
     ``flow (stream, frame, y, u[], v[])`` and candidate ``seeds (stream, frame, i, j, x, y,
     trace_id)``. A frame depends on the one before it, so work is cut into segments of
     ``segment_frames`` frames: a round runs one segment of every stream in parallel and
@@ -284,7 +286,12 @@ def track(
     both = a.unionByName(b).withColumn("_seg", F.floor(F.col(FRAME) / segment_frames).cast("int"))
     both.repartition("_seg", STREAM).write.partitionBy("_seg").parquet(f"{root}/input")
     table = spark.read.parquet(f"{root}/input")
-    last = table.groupBy(STREAM).agg(F.max(FRAME).alias("_last"))
+    wide = F.max(F.size("u")) if w is None else F.lit(w)
+    high = F.max("row") + 1 if h is None else F.lit(h)
+    # A stream without flow rows has no pixel to move on.
+    last = table.groupBy(STREAM).agg(
+        F.max(FRAME).alias("_last"), F.greatest(wide, F.lit(1)).alias("_w"), F.coalesce(high, F.lit(1)).alias("_h")
+    )
     table = table.join(last, STREAM)
     lo, hi = table.agg(F.min("_seg"), F.max("_seg")).first()
     length, d = p.length, p.min_distance
@@ -300,18 +307,18 @@ def track(
         # State rows carry the frame they stand at; a gap in the stream ends its traces.
         frame, end = (int(state["end_frame"].iloc[0]) if len(state) else None), None
         if len(part):
-            end = int(part["_last"].iloc[0])
+            end, wide, high = (int(part[c].iloc[0]) for c in ("_last", "_w", "_h"))
             for f, rows in part.groupby(FRAME, sort=True):
                 if frame is not None and int(f) != frame + 1:
                     close(live, frame, "live")
                     live = {}
                 frame = int(f)
                 is_flow = rows["row"].notna()
-                u, v = _flow_matrix(rows[is_flow], w, h)
+                u, v = _flow_matrix(rows[is_flow], wide, high)
                 live, done, gone = step_frame(live, u, v, length)
                 close(done, frame, "finished")
                 close(gone, frame, "dropped")
-                live.update(free_seeds(rows[~is_flow], live, d, w, h))
+                live.update(free_seeds(rows[~is_flow], live, d, wide, high))
         close(live, frame, "live" if end in (None, frame) else "state")
         return pd.DataFrame(out, columns=[STREAM, "trace_id", "xs", "ys", "end_frame", "status"])
 

@@ -140,7 +140,7 @@ def _(spark, sf):
 def _(spark, sf):
     f = _plain(spark, sf).filter("frame_id >= 15").withColumn("n_features", (F.col("frame_id") % 3).cast("long"))
     w = E.window_index(f, 15, 75).select("stream_id", "win", "frame_id", "n_features")
-    return drain(X.stream_windows(staged(w, FILES, "frame_id"), 75))
+    return drain(X.stream_windows(staged(w, FILES, "frame_id"), 75, None))
 
 
 @query("x3_stream_recognise", "SELECT win, label, round(score, 4) + 0.0 AS score FROM v_label WHERE win IN (SELECT win FROM v_x GROUP BY 1 HAVING count(DISTINCT vec_id) = 50)")
@@ -150,7 +150,7 @@ def _(spark, sf):
     w = features(spark, sf).select(
         F.lit(0).alias("stream_id"), "win", F.col("vec_id").cast("int").alias("frame_id"), F.lit(1).cast("long").alias("n_features")
     )
-    closed = X.stream_windows(staged(w, FILES, "frame_id"), 50)
+    closed = X.stream_windows(staged(w, FILES, "frame_id"), 50, None)
 
     def rows(done):
         return features(spark, sf).join(done.select("win"), "win", "left_semi")
