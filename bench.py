@@ -1,6 +1,7 @@
-"""Times the headline queries; prints one JSON line.
+"""Times the headline queries, each the median of its runs; prints one JSON line.
 
-BENCH_SF_DIR (default /root/testdata/sf0.1), BENCH_CPUS (default 8), BENCH_QUERIES (prefixes).
+BENCH_SF_DIR (default /root/testdata/sf0.1), BENCH_CPUS (default 8), BENCH_QUERIES (prefixes),
+BENCH_RUNS (default 3).
 """
 
 from __future__ import annotations
@@ -9,6 +10,7 @@ import json
 import os
 import sys
 import time
+from statistics import median
 
 sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 
@@ -29,7 +31,7 @@ def main() -> None:
     from vidspark.session import build_session
 
     sf = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1")
-    cpus = os.environ.get("BENCH_CPUS", "8")
+    cpus, runs = os.environ.get("BENCH_CPUS", "8"), max(1, int(os.environ.get("BENCH_RUNS", "3")))
     only = os.environ.get("BENCH_QUERIES", "").split()
     spark = build_session(
         f"local[{cpus}]", "bench", spark__sql__shuffle__partitions=cpus, spark__ui__enabled="false", spark__driver__memory="12g"
@@ -40,9 +42,12 @@ def main() -> None:
     for name in HEADLINE:
         if only and not any(name.startswith(o) for o in only):
             continue
-        t = time.perf_counter()
-        QUERIES[name](spark, sf).write.format("noop").mode("overwrite").save()
-        times[name] = round(time.perf_counter() - t, 3)
+        took = []
+        for _ in range(runs):
+            t = time.perf_counter()
+            QUERIES[name](spark, sf).write.format("noop").mode("overwrite").save()
+            took.append(time.perf_counter() - t)
+        times[name] = round(median(took), 3)
         print(name, times[name], file=sys.stderr, flush=True)
     total = round(sum(times.values()), 3)
     print(json.dumps({"metric": "headline_total", "value": total, "unit": "sec", "queries": times, "sf": os.path.basename(sf.rstrip("/"))}))
