@@ -45,9 +45,18 @@ BASE = (
     # Runs of 24 and more are the matches of the open pattern that are long enough.
     Rule("hex", "[0-9a-f]{24,}", 0, 24),
 )
+# A private key from its first to its last marker. Where the last one is missing, the lines of headers and
+# the base64 after the first go, up to what neither base64, blanks nor quoting is. Only classes repeat without
+# bound, which neither engine does by recursion; nothing is tried beyond the next five dashes, so scans stay linear.
+_MARK = r"[A-Z0-9\x20]{0,40}PRIVATE KEY(?:\x20BLOCK)?-----"
+_GAP = r"\x20\x09-\x0D\\\"'>,;|*#"
+PEM = (
+    rf"-----BEGIN\x20{_MARK}(?:[^-]*(?:-{{1,4}}[^-]+){{0,64}}-----END\x20{_MARK}"
+    rf"|[{_GAP}]*(?:[A-Za-z][A-Za-z0-9-]*:[^\r\n\\]*[{_GAP}]+){{0,32}}[A-Za-z0-9+/=]{{16,}}[A-Za-z0-9+/={_GAP}]*)?"
+)
 # Kinds added by this method: published formats of keys and tokens.
 EXTRA = (
-    Rule("pem", r"-----BEGIN [A-Z ]{0,40}PRIVATE KEY-----"),
+    Rule("pem", PEM, version=2),
     Rule("github", r"gh[opsur]_[A-Za-z0-9]{36,}"),
     Rule("slack", r"xox[abprs]-[A-Za-z0-9-]{10,}"),
     Rule("jwt", r"eyJ[A-Za-z0-9_-]{10,}\.eyJ[A-Za-z0-9_-]{10,}\.[A-Za-z0-9_-]{10,}"),
