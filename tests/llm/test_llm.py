@@ -376,6 +376,49 @@ def test_packing_keeps_a_mixture(docs, rows, library):
     assert first[0] == first[1] == packing.LENGTH // 2
 
 
+@pytest.mark.parametrize("mixed", [False, True])
+def test_packing_many_sources(spark, library, mixed):
+    """Each of 300 sources keeps its share in every full window, also one of few but long documents."""
+    rows_ = [(i, "a b c d e f g" * (1 + i % 3), f"s{i % 300}") for i in range(3000)] + [(9000 + i, "one two " * 3000, "long") for i in range(2)]
+    names = [f"s{i}" for i in range(300)]
+    mixture = {s: 1 + i % 4 for i, s in enumerate([*names, "long"])} if mixed else None
+    docs = spark.createDataFrame(rows_, "doc_id long, text string, source string").repartition(3)
+    got = packing.pack(docs, vocabulary("byte_bpe_50k.json"), mixture=mixture, window_sequences=1).collect()
+    of = {r[0]: r[2] for r in rows_}
+    _check_pieces(got, rows_, library)
+    assert len({(of[g.doc_id], g.source_queue) for g in got}) == len({g.source_queue for g in got}) == 301
+    total, seen = Counter(), defaultdict(Counter)
+    for g in got:
+        total[of[g.doc_id]] += g.length
+        seen[g.sequence_id][of[g.doc_id]] += g.length
+    weight = mixture or total
+    # While no queue is dry no source is off by more than one window's share. Whole tokens shift the ends of windows.
+    ratio, whole = min(total[s] / weight[s] for s in total), sum(weight.values())
+    full = range(int(ratio * whole / packing.LENGTH) - 1)
+    assert len(full) > 4
+    upto = Counter()
+    for w in full:
+        upto.update(seen[w])
+        for s in total:
+            share = packing.LENGTH * weight[s] / whole
+            assert abs(upto[s] - (w + 1) * share) <= share + 2, (w, s)
+
+
+def test_schedule_of_many_queues():
+    r = random.Random(9)
+    totals, weights = [r.randint(0, 10**9) for _ in range(3000)], [r.randint(0, 50) for _ in range(3000)]
+    s = packing.Schedule(totals, weights, 2048 * 256)
+    assert all(s.served(q, s.windows) == t and s.served(q, 0) == 0 for q, t in enumerate(totals))
+    for _ in range(3000):
+        q = r.randrange(3000)
+        if totals[q]:
+            token = r.randrange(totals[q])
+            w = s.window_of(q, token)
+            assert s.served(q, w) <= token < s.served(q, w + 1)
+    begin, end, _ = s.layout(s.windows // 3)
+    assert abs(sum(end) - sum(begin) - s.window) <= 3000
+
+
 def test_schedule_is_deficit_round_robin():
     s = packing.Schedule([1000, 70, 333, 0], [5, 3, 1, 1], 64)
     seen = Counter()
