@@ -320,6 +320,58 @@ def test_fertility_bands(spark):
     assert {r.doc_id: r.kept for r in got.collect()} == {1: True, 2: False}
 
 
+PLAIN = {
+    "zh": "人人生而自由，在尊严和权利上一律平等。他们赋有理性和良心，并应以兄弟关系的精神相对待。",
+    "ja": "すべての人間は、生まれながらにして自由であり、かつ、尊厳と権利とについて平等である。人間は、理性と良心とを授けられており、互いに同胞の精神をもって行動しなければならない。",
+    "ko": "모든 인간은 태어날 때부터 자유로우며 그 존엄과 권리에 있어 동등하다. 인간은 천부적으로 이성과 양심을 부여받았으며 서로 형제애의 정신으로 행동하여야 한다.",
+    "ar": "يولد جميع الناس أحرارا متساوين في الكرامة والحقوق. وقد وهبوا عقلا وضميرا وعليهم أن يعامل بعضهم بعضا بروح الإخاء.",
+    "hi": "सभी मनुष्यों को गौरव और अधिकारों के मामले में जन्मजात स्वतन्त्रता और समानता प्राप्त है। उन्हें बुद्धि और अन्तरात्मा की देन प्राप्त है और परस्पर उन्हें भाईचारे के भाव से बर्ताव करना चाहिए।",
+    "th": "มนุษย์ทั้งหลายเกิดมามีอิสระและเสมอภาคกันในเกียรติศักดิ์และสิทธิ ต่างมีเหตุผลและมโนธรรม และควรปฏิบัติต่อกันด้วยเจตนารมณ์แห่งภราดรภาพ",
+    "he": "כל בני האדם נולדו בני חורין ושווים בערכם ובזכויותיהם. כולם חוננו בתבונה ובמצפון, לפיכך חובה עליהם לנהוג איש ברעהו ברוח של אחווה.",
+    "el": "Όλοι οι άνθρωποι γεννιούνται ελεύθεροι και ίσοι στην αξιοπρέπεια και τα δικαιώματα. Είναι προικισμένοι με λογική και συνείδηση, και οφείλουν να συμπεριφέρονται μεταξύ τους με πνεύμα αδελφοσύνης.",
+    "ru": "Все люди рождаются свободными и равными в своем достоинстве и правах. Они наделены разумом и совестью и должны поступать в отношении друг друга в духе братства.",
+    "bn": "সমস্ত মানুষ স্বাধীনভাবে সমান মর্যাদা এবং অধিকার নিয়ে জন্মগ্রহণ করে। তাঁদের বিবেক এবং বুদ্ধি আছে; সুতরাং সকলেরই একে অপরের প্রতি ভ্রাতৃত্বসুলভ মনোভাব নিয়ে আচরণ করা উচিত।",
+    "ta": "மனிதப் பிறவியினர் சகலரும் சுதந்திரமாகவே பிறக்கின்றனர்; அவர்கள் மதிப்பிலும், உரிமைகளிலும் சமமானவர்கள். அவர்கள் நியாயத்தையும் மனச்சாட்சியையும் இயற்பண்பாகப் பெற்றவர்கள்.",
+    "ka": "ყველა ადამიანი იბადება თავისუფალი და თანასწორი თავისი ღირსებითა და უფლებებით. მათ მინიჭებული აქვთ გონება და სინდისი.",
+    "hy": "Բոլոր մարդիկ ծնվում են ազատ ու հավասար իրենց արժանապատվությամբ ու իրավունքներով։ Նրանք ունեն բանականություն ու խիղճ։",
+    "am": "የሰው ልጅ ሁሉ ሲወለድ ነጻና በክብርና በመብትም እኩልነት ያለው ነው። የተፈጥሮ ማስተዋልና ሕሊና ስላለው አንዱ ሌላውን በወንድማማችነት መንፈስ መመልከት ይገባዋል።",
+    "vi": "Tất cả mọi người sinh ra đều được tự do và bình đẳng về nhân phẩm và quyền lợi. Mọi con người đều được tạo hoá ban cho lý trí và lương tâm.",
+}
+# Letters drawn evenly from a range; the piece vocabulary has few of them.
+NOISE = {"cuneiform": (0x12000, 0x12300), "han": (0x4E00, 0x9FFF), "hangul": (0xAC00, 0xD7A3), "arabic": (0x600, 0x6FF), "devanagari": (0x900, 0x97F), "bengali": (0x980, 0x9FF),
+         "cyrillic": (0x400, 0x52F), "private": (0xE000, 0xF8FF), "emoji": (0x1F300, 0x1F600), "rare han": (0x20000, 0x2A6DF), "latin": (0x100, 0x24F)}
+
+
+def test_bands_of_scripts(spark):
+    """Plain sentences of many scripts lie inside their bands, noise without a language or with one that has no band does not."""
+    r = random.Random(5)
+    made = [(k, t, k, True) for k, t in PLAIN.items()] + [(f"{k} null", t, None, True) for k, t in PLAIN.items()]
+    for k, (a, b) in NOISE.items():
+        text = " ".join("".join(chr(r.randint(a, b)) for _ in range(3)) for _ in range(80))
+        made += [(k, text, None, False), (k, text, "zh", False), (k, text, "xx", False)]
+    docs = spark.createDataFrame([(i, m[1], m[2]) for i, m in enumerate(made)], "doc_id long, text string, lang string")
+    got = {g.doc_id: g for g in rules.measure(docs, vocabulary("byte_bpe_50k.json"), vocabulary("piece_bpe_32k.model")).collect()}
+    encode = Encoder(vocabulary("byte_bpe_50k.json"))
+    for i, (k, text, lang, good) in enumerate(made):
+        g, b = got[i], rules.BANDS.get(lang) or rules.BANDS[rules.script(text)]
+        fits = b.low <= g.chars_per_token <= b.high and g.fallback_share <= b.fallback and g.token_entropy >= rules.least_entropy(b, len(encode(text)))
+        assert fits == good, (k, lang, b, g)
+        # The sentences are too short for the base rules.
+        assert good or not (g.kept or g.base_failed), (k, lang, g)
+
+
+def test_entropy_floor_follows_tokens(spark):
+    """Of 1,500 words 25 different ones are too few, of 80 they are not."""
+    words = "the house stands between rivers and quiet fields where old men walk in green light near stone bridges with their dogs at dawn today".split()
+    r = random.Random(7)
+    long, short = (" ".join(r.choice(words) for _ in range(n)) for n in (1500, 80))
+    got = rules.measure(spark.createDataFrame([(1, short, "en"), (2, long, "en")], "doc_id long, text string, lang string"), vocabulary("byte_bpe_50k.json"), vocabulary("piece_bpe_32k.model"))
+    got = {g.doc_id: g for g in got.collect()}
+    assert got[1].kept and not got[2].kept and not got[2].base_failed and got[2].token_entropy > rules.BANDS["en"].entropy
+    b = rules.BANDS["en"]
+    assert rules.least_entropy(b, 0) == rules.least_entropy(b, 128) == b.entropy < rules.least_entropy(b, 400) < rules.least_entropy(b, 5000) == b.entropy + b.rise
+
+
 def test_classifier_learns(spark):
     r = random.Random(6)
     word = lambda: "".join(r.choice("abcdefgh") for _ in range(4))

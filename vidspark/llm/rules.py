@@ -4,7 +4,8 @@ Public vocabularies tell how far a text is from the writing they were made for:
 
 * characters per token of the byte-level vocabulary (few: signs, codes, mixed-up bytes);
 * byte-fallback share: characters the piece vocabulary has no piece for, per character;
-* token entropy, relative to the most that as many tokens, up to 1,024, could have.
+* token entropy, relative to the most that as many tokens, up to 1,024, could have; the least that is
+  asked for rises with the number of tokens where the band says so.
 
 A text is rejected when a measure lies outside the band of its language or, where the language has
 none, of its main script. Bands are fixed parameters: they do not depend on the other documents.
@@ -25,25 +26,65 @@ from vidspark.llm.tokens import encoder, once
 
 @dataclass(frozen=True)
 class Band:
-    """Least and most characters per token, most byte-fallback share, least relative entropy."""
+    """Least and most characters per token, most byte-fallback share, least relative entropy.
+
+    ``entropy`` holds up to ``SHORT_TOKENS`` tokens; by ``ENTROPY_TOKENS`` it has grown by ``rise``.
+    """
 
     low: float
     high: float
     fallback: float
     entropy: float
+    rise: float = 0.0
 
 
 # Wide on purpose: clean writing of any topic must pass. Latin scripts with many accents are split
-# more finely by the English-based vocabulary; other scripts more finely still.
+# more finely by the English-based vocabulary; other scripts more finely still. Their low limits lie
+# above 1 / (UTF-8 bytes per letter), what a text has that is spelled byte by byte, and below what
+# the vocabulary gives plain sentences; fallback shares lie between those of plain sentences and of
+# letters drawn evenly from the script. Scripts that are spelled in bytes have few tokens to vary.
 BANDS = {
-    "en": Band(1.5, 8.0, 0.05, 0.45),
-    "de": Band(1.4, 8.0, 0.05, 0.45),
-    "fr": Band(1.3, 8.0, 0.05, 0.45),
-    "es": Band(1.4, 8.0, 0.05, 0.45),
-    "latin": Band(1.2, 8.0, 0.10, 0.45),
-    "cyrillic": Band(0.4, 6.0, 0.10, 0.40),
-    "other": Band(0.25, 8.0, 1.00, 0.35),
+    "en": Band(1.5, 8.0, 0.05, 0.45, 0.15),
+    "de": Band(1.4, 8.0, 0.05, 0.45, 0.15),
+    "fr": Band(1.3, 8.0, 0.05, 0.45, 0.15),
+    "es": Band(1.4, 8.0, 0.05, 0.45, 0.15),
+    "latin": Band(1.2, 8.0, 0.10, 0.45, 0.15),
+    # Also any text with a tenth of its letters in the Vietnamese block.
+    "vi": Band(0.80, 8.0, 0.10, 0.45, 0.15),
+    "cyrillic": Band(0.52, 6.0, 0.10, 0.40),
+    "greek": Band(0.52, 5.0, 0.25, 0.40),
+    "armenian": Band(0.505, 4.0, 0.25, 0.32),
+    "hebrew": Band(0.52, 5.0, 0.30, 0.38),
+    "arabic": Band(0.52, 5.0, 0.25, 0.40, 0.05),
+    "devanagari": Band(0.40, 4.0, 0.25, 0.33),
+    "bengali": Band(0.36, 4.0, 0.30, 0.33),
+    "tamil": Band(0.335, 4.0, 0.30, 0.27),
+    "thai": Band(0.36, 4.0, 0.25, 0.33),
+    "georgian": Band(0.335, 4.0, 0.25, 0.27),
+    "kana": Band(0.36, 4.0, 0.35, 0.45, 0.10),
+    "hangul": Band(0.36, 4.0, 0.35, 0.40, 0.05),
+    "han": Band(0.36, 4.0, 0.35, 0.45, 0.10),
+    # Living scripts with few pieces or none.
+    "spelled": Band(0.335, 4.0, 0.92, 0.27),
+    "other": Band(0.335, 4.0, 0.50, 0.40),
 }
+# First code points of ranges and their script; "" takes no part: punctuation and marks of any script.
+_RANGES = (
+    (0x250, "latin"), (0x2B0, ""), (0x370, "greek"), (0x400, "cyrillic"), (0x530, "armenian"), (0x590, "hebrew"), (0x600, "arabic"), (0x700, "spelled"),
+    (0x750, "arabic"), (0x780, "spelled"), (0x800, "other"), (0x860, "arabic"), (0x900, "devanagari"), (0x980, "bengali"), (0xA00, "spelled"), (0xB80, "tamil"),
+    (0xC00, "spelled"), (0xE00, "thai"), (0xE80, "spelled"), (0x10A0, "georgian"), (0x1100, "hangul"), (0x1200, "spelled"), (0x1680, "other"),
+    (0x1780, "spelled"), (0x18B0, "other"), (0x1C90, "georgian"), (0x1CC0, "other"), (0x1E00, "latin"), (0x1EA0, "vi"), (0x1F00, "greek"), (0x2000, ""), (0x2070, "other"),
+    (0x2D30, "spelled"), (0x2E00, ""), (0x2E80, "han"), (0x3000, ""), (0x3040, "kana"), (0x3100, "han"), (0x3130, "hangul"), (0x3190, "han"), (0x31F0, "kana"),
+    (0x3200, "other"), (0x3400, "han"), (0xA000, "spelled"), (0xA4D0, "other"), (0xA640, "cyrillic"), (0xA6A0, "other"), (0xA8E0, "devanagari"), (0xA900, "other"),
+    (0xAB00, "spelled"), (0xAB30, "other"), (0xAC00, "hangul"), (0xD7B0, "other"), (0xF900, "han"), (0xFB00, "other"), (0xFB1D, "hebrew"), (0xFB50, "arabic"),
+    (0xFE00, ""), (0xFE70, "arabic"), (0xFEFF, ""), (0xFF21, "other"), (0xFF5B, ""), (0xFF66, "kana"), (0xFFA0, "other"), (0x20000, "han"), (0x32000, "other"),
+)
+# By rank, the first of which wins ties.
+_SCRIPTS = ["latin", "cyrillic", *sorted({s for _, s in _RANGES} - {"", "latin", "cyrillic", "other"}), "other", ""]
+_VI = _SCRIPTS.index("vi")
+_STARTS = np.array([c for c, _ in _RANGES], np.uint32)
+_RANKS = np.array([_SCRIPTS.index(s) for _, s in _RANGES])
+SHORT_TOKENS = 128
 ENTROPY_TOKENS = 1024
 MIN_WORDS = 50
 MAX_REPEATED = 50  # percent of words in repeated windows
@@ -83,14 +124,16 @@ class Pieces:
 
 
 def script(text: str) -> str:
-    """Main script of a text by its letters: latin, cyrillic or other."""
+    """Main script of a text by its letters: the name of a band."""
     if text.isascii():
         return "latin"
     code = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
     latin = np.count_nonzero(((code | 32) >= 97) & ((code | 32) <= 122)) + np.count_nonzero((code >= 0xC0) & (code < 0x250))
-    cyrillic = np.count_nonzero((code >= 0x400) & (code < 0x530))
-    rest = np.count_nonzero(code >= 0x250) - cyrillic
-    return "latin" if latin >= max(cyrillic, rest) else "cyrillic" if cyrillic >= rest else "other"
+    times = np.bincount(_RANKS[np.searchsorted(_STARTS, code[code >= 0x250], "right") - 1], minlength=len(_SCRIPTS))
+    marked, times[_VI] = times[_VI], 0
+    times[0] += latin + marked
+    main = _SCRIPTS[int(np.argmax(times[:-1]))]
+    return "vi" if main == "latin" and marked and 10 * marked >= times[0] else main
 
 
 def base_counts(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -135,6 +178,12 @@ def entropy(ids: np.ndarray) -> float:
     return float(-(p * np.log(p)).sum() / np.log(min(len(ids), ENTROPY_TOKENS)))
 
 
+def least_entropy(band: Band, tokens: int) -> float:
+    """The entropy a text of so many tokens needs: the rise is even in the logarithm of their number."""
+    grown = np.log(max(tokens, 1) / SHORT_TOKENS) / np.log(ENTROPY_TOKENS / SHORT_TOKENS)
+    return band.entropy + band.rise * float(min(1.0, max(0.0, grown)))
+
+
 def measure(docs: DataFrame, byte_vocabulary: str, piece_vocabulary: str, bands: dict[str, Band] | None = None) -> DataFrame:
     """``docs`` with the counts, measures and verdict of ``RESULT`` behind its own columns.
 
@@ -166,7 +215,8 @@ def _judge(texts: list[str], langs: list[str | None], data: list[bytes], encode,
     share = np.array([pieces.share(t) for t in texts])
     bits = np.array([entropy(i) for i in ids])
     band = [bands.get(x) or bands[script(t)] for x, t in zip(langs, texts, strict=True)]
-    low, high, most, least = (np.array([getattr(b, k) for b in band]) for k in ("low", "high", "fallback", "entropy"))
+    low, high, most = (np.array([getattr(b, k) for b in band]) for k in ("low", "high", "fallback"))
+    least = np.array([least_entropy(b, len(i)) for b, i in zip(band, ids, strict=True)])
     inside = (per >= low) & (per <= high) & (share <= most) & (bits >= least)
     return [n_words, word_chars, n_symbols, n_lines, n_repeat, failed, per, share, bits, ~failed & inside]
 
