@@ -1,9 +1,9 @@
-"""Substring dedup on words: seed and extend.
+"""Substring dedup on words: winnowed seeds, then sums of windows.
 
-Seeds are winnowed runs of ``SEED`` words. Documents are joined on seeds; around each seed that
-occurs again the match is extended to the left and to the right, word by word, as far as a window of
-``LENGTH`` words holding the seed can reach, and an extension counts when another occurrence of the
-seed agrees with it. Overlapping extensions make up the maximal repeats, whose words are removed.
+Seeds are winnowed runs of ``SEED`` words. Segments around a seed that occurs again are compared by
+the 64-bit hash of each window of ``LENGTH`` words that holds the seed; equal (seed, hash) pairs
+count. This stands in for extending each occurrence word by word to a maximal repeat: the union of
+the repeated windows has the same words, but for collisions of hashes under one seed.
 """
 
 from __future__ import annotations
@@ -40,7 +40,7 @@ def cut_words(texts: list[bytes], asked: list, length: int) -> list[list[bytes]]
 
 
 def extensions(length: int):
-    """Windows of each segment, by what they hold on both sides of the seed."""
+    """Hashes of the windows of each segment; no occurrence is extended against another."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
