@@ -14,9 +14,12 @@ from vidspark.llm.packing import pack
 from vidspark.llm.quality import classify
 from vidspark.llm.rules import measure
 from vidspark.llm.secrets import RULES, scan_documents
+from vidspark.llm.spelling import spelling_variants
 from vidspark.llm.substring import substring_dedup
 from vidspark.llm.suffix import suffix_dedup
+from vidspark.llm.tokenfiles import token_files
 from vidspark.llm.urls import PAGE_RULES, rule_table, url_verdicts
+from vidspark.llm.whiten import whitened_rows
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -132,3 +135,38 @@ def op6(spark, sf):
 @query("op1_jaccard_join")
 def op1(spark, sf):
     return jaccard_join(table(spark, sf, "documents"))
+
+
+@query("op11_embedding_whitening")
+def op11(spark, sf):
+    return whitened_rows(table(spark, sf, "embeddings"))
+
+
+@query("op12_spelling_variants", r"""
+WITH RECURSIVE t AS MATERIALIZED (SELECT list(v ORDER BY i) AS tab FROM (SELECT i, list_reduce([i, 0, 0, 0, 0, 0, 0, 0, 0],
+    lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END) AS v FROM range(256) AS r(i))),
+o AS (SELECT coalesce(CAST(doc_id AS VARCHAR), '') AS doc, translate(unnest(regexp_extract_all(coalesce(text, ''), '[A-Za-z\x{C0}-\x{FF}]+')),
+    'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS run FROM documents),
+p AS MATERIALIZED (SELECT doc, run, count(*) AS n FROM o GROUP BY doc, run),
+b AS (SELECT run, n, flatten(list_transform(string_split(doc || ':' || run, ''),
+    lambda x: CASE WHEN ord(x) < 128 THEN [ord(x)] ELSE [192 + (ord(x) >> 6), 128 + (ord(x) & 63)] END)) AS bytes FROM p),
+h AS (SELECT run, n, xor(4294967295, list_reduce(list_prepend(4294967295, list_transform(bytes, lambda x: CAST(x AS BIGINT))),
+    lambda c, x: xor(c >> 8, tab[(xor(c, x) & 255) + 1]))) AS h FROM b, t),
+w AS MATERIALIZED (SELECT word, CAST(sum(n) AS BIGINT) AS n FROM (SELECT n, CASE WHEN h % 199 = 0
+    THEN substr(run, 1, h % length(run)) || substr(run, h % length(run) + 2) ELSE run END AS word FROM h)
+  WHERE length(word) >= 6 GROUP BY word HAVING sum(n) >= 5),
+d AS MATERIALIZED (SELECT word, n, i, substr(word, 1, i) || substr(word, i + 2) AS rest FROM (SELECT word, n, unnest(range(length(word))) AS i FROM w)),
+e AS (SELECT DISTINCT d.word, d.n, w.word AS other, w.n AS other_n FROM d JOIN w ON d.rest = w.word),
+l AS MATERIALIZED (SELECT * FROM e UNION SELECT other, other_n, word, n FROM e
+  UNION SELECT a.word, a.n, z.word, z.n FROM d AS a JOIN d AS z ON a.i = z.i AND a.rest = z.rest AND a.word <> z.word),
+f AS MATERIALIZED (SELECT word, count(*) AS n_near, CASE WHEN first(other_n ORDER BY other_n DESC, other) >= 5 * any_value(n) THEN first(other ORDER BY other_n DESC, other) END AS form,
+    CASE WHEN max(other_n) >= 5 * any_value(n) THEN max(other_n) END AS form_n FROM l GROUP BY word),
+r AS (SELECT word, word AS root, 0 AS step FROM w UNION ALL SELECT r.word, f.form, step + 1 FROM r JOIN f ON r.root = f.word WHERE f.form IS NOT NULL)
+SELECT w.word, f.form, (SELECT arg_max(root, step) FROM r WHERE r.word = w.word) AS root, w.n, coalesce(f.n_near, 0) AS n_near, f.form_n FROM w LEFT JOIN f USING (word)""")
+def op12(spark, sf):
+    return spelling_variants(table(spark, sf, "documents"))
+
+
+@query("op13_token_files")
+def op13(spark, sf):
+    return token_files(table(spark, sf, "documents"), vocabulary("byte_bpe_50k.json"))
