@@ -222,8 +222,12 @@ def _judge(texts: list[str], langs: list[str | None], data: list[bytes], encode,
 
 
 def quality_filter(docs: DataFrame, byte_vocabulary: str, piece_vocabulary: str) -> DataFrame:
-    """The rows of ``docs`` that pass, with their own columns only."""
-    names = [r.split()[0] for r in RESULT.split(", ")]
-    clash = {c: f"_own_{c}" for c in docs.columns if c in names}
-    kept = measure(docs.withColumnsRenamed(clash), byte_vocabulary, piece_vocabulary).filter("kept")
-    return kept.select(*[F.col(clash.get(c, c)).alias(c) for c in docs.columns])
+    """The rows of ``docs`` that pass, with their own columns only, whatever their names.
+
+    Null and empty texts fail; each of several equal rows is judged alike; an empty table stays empty.
+    """
+    read = {"text": "text", "lang": "lang"}
+    names = [read.get(c, f"own{i}") for i, c in enumerate(docs.columns)]
+    plain = docs.select(*[docs[f"`{c}`"].alias(n) for c, n in zip(docs.columns, names, strict=True)])
+    kept = measure(plain, byte_vocabulary, piece_vocabulary).filter("kept")
+    return kept.select(*[F.col(n).alias(c) for c, n in zip(docs.columns, names, strict=True)])

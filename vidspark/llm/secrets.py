@@ -45,18 +45,25 @@ BASE = (
     # Runs of 24 and more are the matches of the open pattern that are long enough.
     Rule("hex", "[0-9a-f]{24,}", 0, 24),
 )
-# A private key from its first to its last marker. Where the last one is missing, the lines of headers and
-# the base64 after the first go, up to what neither base64, blanks nor quoting is. Only classes repeat without
-# bound, which neither engine does by recursion; nothing is tried beyond the next five dashes, so scans stay linear.
+# A private key: its first marker, headers, runs of base64, its last marker. Runs are parted by blanks, quoting and
+# line prefixes; up to four short ones (prefixes, escapes, the checksum) may stand between long ones, so prose ends
+# the span. A body holds no five dashes in a row, and groups that repeat without bound are possessive: both engines
+# find the same spans, without recursion and in linear time.
 _MARK = r"[A-Z0-9\x20]{0,40}PRIVATE KEY(?:\x20BLOCK)?-----"
-_GAP = r"\x20\x09-\x0D\\\"'>,;|*#"
-PEM = (
-    rf"-----BEGIN\x20{_MARK}(?:[^-]*(?:-{{1,4}}[^-]+){{0,64}}-----END\x20{_MARK}"
-    rf"|[{_GAP}]*(?:[A-Za-z][A-Za-z0-9-]*:[^\r\n\\]*[{_GAP}]+){{0,32}}[A-Za-z0-9+/=]{{16,}}[A-Za-z0-9+/={_GAP}]*)?"
+_GAP = r"[\x20\x09-\x0D\\\"'>,;|*#]"
+_BASE64 = r"[A-Za-z0-9+/=]"
+_PREFIX = rf"(?:-{{1,4}}{_GAP}+){{0,8}}-{{0,4}}"
+_SHORT = rf"{_GAP}+{_PREFIX}{_BASE64}{{1,15}}"
+_HEADER = (
+    rf"{_GAP}*{_PREFIX}(?:(?:Proc-Type:\x20?4,ENCRYPTED|DEK-Info:\x20?[A-Z0-9-]+,[0-9A-Fa-f]+){_GAP}+"
+    rf"|[A-Za-z][A-Za-z0-9-]*:[^\r\n\\-]*(?:-{{1,4}}[^\r\n\\-]+)*+[\r\n\\]{_GAP}*)"
 )
+_LONG = rf"(?:{_SHORT}){{0,4}}{_GAP}*{_PREFIX}{_BASE64}{{16,}}"
+_LAST = rf"(?:{_SHORT}){{0,4}}{_GAP}*(?:-{{1,4}}{_GAP}+){{0,8}}-{{0,3}}-----END\x20{_MARK}"
+PEM = rf"-----BEGIN\x20{_MARK}(?:(?:{_HEADER})*+(?:(?:{_LONG})++(?:{_LAST}|(?:{_SHORT})?{_GAP}*)|{_LAST}))?"
 # Kinds added by this method: published formats of keys and tokens.
 EXTRA = (
-    Rule("pem", PEM, version=2),
+    Rule("pem", PEM, version=3),
     Rule("github", r"gh[opsur]_[A-Za-z0-9]{36,}"),
     Rule("slack", r"xox[abprs]-[A-Za-z0-9-]{10,}"),
     Rule("jwt", r"eyJ[A-Za-z0-9_-]{10,}\.eyJ[A-Za-z0-9_-]{10,}\.[A-Za-z0-9_-]{10,}"),
@@ -204,7 +211,9 @@ def redact(docs: DataFrame, mark: str = "[secret]") -> DataFrame:
     """``docs`` with every found span replaced by ``mark``; overlapping spans become one.
 
     A text that matches no pattern passes where it is. Only the others, which are few, meet the
-    findings of their blob. ``n_chars`` follows the text where the column exists.
+    findings of their blob. ``n_chars`` follows the text where the column exists. Null and empty
+    texts stay as they are, repeated rows and null ids stay rows of their own, an empty table stays
+    empty, and further columns, whatever their names, pass untouched.
     """
     ledger = BlobLedger(docs.sparkSession)
     ledger.scan(docs)
@@ -214,17 +223,19 @@ def redact(docs: DataFrame, mark: str = "[secret]") -> DataFrame:
     rows = ledger.findings().withColumn("_new", F.when(F.col("start") < before, 0).otherwise(1))
     rows = rows.withColumn("_island", F.sum("_new").over(by.orderBy("start", "stop").rowsBetween(Window.unboundedPreceding, Window.currentRow)))
     islands = rows.groupBy("blob", "_island").agg(F.min("start").alias("start"), F.max("stop").alias("stop"))
-    islands = islands.groupBy("blob").agg(F.array_sort(F.collect_list(F.struct("start", "stop"))).alias("_cuts"))
+    islands = islands.groupBy("blob").agg(F.array_sort(F.collect_list(F.struct("start", "stop"))).alias("cuts"))
     text = text_of(docs)
     some = text.rlike(RULES[0].pattern)
     for r in RULES[1:]:
         some = some | text.rlike(r.pattern)
-    maybe = docs.filter(some).withColumn("_of_blob", blob_of(text))
-    maybe = maybe.join(islands.withColumnRenamed("blob", "_of_blob"), "_of_blob", "left")
-    starts = F.concat(F.array(F.lit(0).cast("long")), F.transform("_cuts", lambda c: c["stop"]))
-    stops = F.concat(F.transform("_cuts", lambda c: c["start"]), F.array(F.length("text").cast("long")))
-    gaps = F.transform(F.arrays_zip(starts.alias("a"), stops.alias("b")), lambda g: F.col("text").substr((g["a"] + 1).cast("int"), (g["b"] - g["a"]).cast("int")))
-    out = maybe.withColumn("text", F.when(F.col("_cuts").isNotNull(), F.array_join(gaps, mark)).otherwise(F.col("text")))
-    if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
-    return docs.filter(~some).unionByName(out.select(docs.columns))
+    # Rows travel as one struct, so that columns may have any name.
+    own = F.struct(*[docs[f"`{c}`"] for c in docs.columns])
+    maybe = docs.filter(some).select(own.alias("row"), text.alias("whole"), blob_of(text).alias("blob"))
+    maybe = maybe.join(islands, "blob", "left")
+    starts = F.concat(F.array(F.lit(0).cast("long")), F.transform("cuts", lambda c: c["stop"]))
+    stops = F.concat(F.transform("cuts", lambda c: c["start"]), F.array(F.length("whole").cast("long")))
+    gaps = F.transform(F.arrays_zip(starts.alias("a"), stops.alias("b")), lambda g: F.col("whole").substr((g["a"] + 1).cast("int"), (g["b"] - g["a"]).cast("int")))
+    rest = F.when(F.col("cuts").isNotNull(), F.array_join(gaps, mark)).otherwise(F.col("row").getField("text"))
+    new = {"text": rest, **({"n_chars": F.length(rest).cast(docs.schema["n_chars"].dataType)} if "n_chars" in docs.columns else {})}
+    out = maybe.select(*[new.get(c, F.col("row").getField(c)).alias(c) for c in docs.columns])
+    return docs.filter(~some).unionByName(out)
