@@ -16,8 +16,12 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-# Questions one sweep may hold for one host; hosts with more are split by salt.
-SWEEP_ROWS = 200_000
+from vidspark.llm.common import join_groups, stored
+from vidspark.plans.scale import small
+
+# Questions one sweep holds for one host; hosts with more are split by salt. A host with many rules
+# has twice as many questions as bounds in each, so the bounds of all salts are fewer than the questions.
+SWEEP_ROWS = 1000
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 # The rules of the registered query: host, path, verdict.
@@ -83,7 +87,7 @@ def url_verdicts(urls: DataFrame, rules: DataFrame, url: str = "url", default: s
     """
     host, path = host_and_path(F.col(url))
     names = urls.columns
-    row = F.struct(*[F.col(c) for c in names]).alias("_row")
+    row = F.struct(*[urls[f"`{c}`"] for c in names]).alias("_row")
     # Only what sorting and the answer need travels; the rows come along as they are.
     pages = urls.select(row, host.alias("_host"), path.alias("_path"), F.monotonically_increasing_id().alias("_id"))
     labels = F.size(F.split(F.col("host"), r"\.", -1))
@@ -93,18 +97,23 @@ def url_verdicts(urls: DataFrame, rules: DataFrame, url: str = "url", default: s
     suffixes = F.transform(F.sequence(F.lit(0), last), lambda n: F.when(n > 0, F.array_join(F.slice(parts, -n, n), ".")))
     # Entry 0 is null: it keeps the row where no rule host fits.
     asked = pages.select("*", F.explode(suffixes if deepest else F.array(F.lit(None).cast("string"))).alias("_suffix"))
-    hosts = rules.select(F.col("host").alias("_suffix")).distinct()
-    counts = (
-        asked.filter(F.col("_suffix").isNotNull()).groupBy("_suffix").agg(F.count("*").alias("_n"))
-        .join(hosts, "_suffix").select("_suffix", F.ceil(F.col("_n") / SWEEP_ROWS).cast("int").alias("_salts"))
+    edges = bounds(rules)
+    hosts = edges.groupBy(F.col("rule_host").alias("_suffix")).agg(F.count("*").alias("_bounds"))
+    asked_of = asked.filter(F.col("_suffix").isNotNull())
+    rows = F.greatest(F.lit(SWEEP_ROWS), 2 * F.col("_bounds"))
+    # One row per rule host that some url has.
+    counts = stored(
+        asked_of.groupBy("_suffix").agg(F.count("*").alias("_n"))
+        .join(hosts, "_suffix").select("_suffix", "_n", F.ceil(F.col("_n") / rows).cast("int").alias("_salts")), "hosts"
     )
-    open_ = asked.filter(F.col("_suffix").isNotNull()).join(counts, "_suffix")
+    # A host with a third of all urls must not meet its count in one task.
+    open_ = asked_of.join(F.broadcast(counts), "_suffix") if small(counts) else join_groups(asked_of, counts, "_suffix", "_n")
     salt = F.pmod(F.xxhash64("_id"), F.col("_salts")).cast("int")
     questions = open_.select(
         "_id", "_row", "_host", "_path", F.col("_suffix").alias("_rh"), salt.alias("_salt"),
         key(F.col("_suffix"), F.col("_path")).alias("_at"), F.lit(1).alias("_ord"),
     )
-    b = bounds(rules).join(counts, F.col("rule_host") == F.col("_suffix"))
+    b = edges.join(counts, F.col("rule_host") == F.col("_suffix"))
     b = b.select("*", F.explode(F.sequence(F.lit(0), F.col("_salts") - 1)).alias("_salt"))
     marks = b.select(
         F.lit(None).cast("long").alias("_id"), F.lit(None).cast(questions.schema["_row"].dataType).alias("_row"),
