@@ -21,7 +21,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from vidspark.llm.common import join_groups, stored, text_of
+from vidspark.llm.common import join_groups, parallelism, stored, text_of
 from vidspark.llm.kernels import mix
 from vidspark.llm.urls import LOWER, UPPER
 
@@ -34,7 +34,7 @@ FILTER_BYTES = 64 << 20
 # A block is eight words of 32 bits; a key sets one bit in each.
 BITS_PER_KEY = 16
 BLOCK_BITS = 256
-# Positions of a word whose edits are hashed at once.
+# Letters, of one word or of several, whose edits are hashed at once.
 SLICE = 2048
 
 _ALPHABET = np.array([*range(ord("a"), ord("z") + 1), *range(0xC0, 0x100)], np.uint32)
@@ -87,44 +87,41 @@ def _powers(n: int, base: int) -> np.ndarray:
 
 
 def plain_hash(words: list[str]) -> np.ndarray:
-    """Hash of each word: its letters' values times powers of their place, mixed."""
-    out = np.zeros(len(words), np.uint64)
-    for i, w in enumerate(words):
-        v = _values(_codes(w))
-        out[i] = (v * _powers(len(v), _BASE)).sum()
-    return mix(out)
+    """Hashes of words of one length: their letters' values times powers of their place, mixed."""
+    codes = np.stack([_codes(w) for w in words])
+    return mix((_values(codes) * _powers(codes.shape[1], _BASE)).sum(axis=1, dtype=np.uint64))
 
 
 class Edits:
-    """Deletions and replacements of one word, as hashes first and as strings when asked for."""
+    """Deletions and replacements of words of one length, as hashes first and as strings when asked for."""
 
-    def __init__(self, word: str):
-        self.word = word
-        self.codes = _codes(word)
-        n = len(self.codes)
-        self.power = _powers(n, _BASE)
-        terms = _values(self.codes) * self.power
-        self.before = np.concatenate([[np.uint64(0)], np.cumsum(terms)])
-        self.terms = terms
+    def __init__(self, words: list[str]):
+        self.words = words
+        self.codes = np.stack([_codes(w) for w in words])
+        self.size = self.codes.shape[1]
+        self.power = _powers(self.size, _BASE)
+        self.terms = _values(self.codes) * self.power
+        self.before = np.zeros((len(words), self.size + 1), np.uint64)
+        np.cumsum(self.terms, axis=1, out=self.before[:, 1:])
 
     def deletions(self) -> np.ndarray:
+        """Hashes by word and place."""
         # Letters behind the gap move down one place.
-        behind = (self.before[-1] - self.before[1:]) * np.uint64(_INVERSE)
-        return mix(self.before[:-1] + behind)
+        behind = (self.before[:, -1:] - self.before[:, 1:]) * np.uint64(_INVERSE)
+        return mix(self.before[:, :-1] + behind)
 
     def replacements(self, start: int, stop: int) -> np.ndarray:
-        """Places ``start`` to ``stop`` by letters of the alphabet; larger letters only.
+        """Hashes by word, place from ``start`` to ``stop``, and letter of the alphabet."""
+        rest = self.before[:, -1:] - self.terms[:, start:stop]
+        return mix(rest[:, :, None] + _values(_ALPHABET) * self.power[start:stop, None])
 
-        Of two words that differ in one letter, one has the larger: that pair is met once.
-        """
-        rest = self.before[-1] - self.terms[start:stop]
-        return mix(rest[:, None] + _values(_ALPHABET)[None, :] * self.power[start:stop, None])
+    def without(self, word: int, at: int) -> str:
+        w = self.words[word]
+        return w[:at] + w[at + 1 :]
 
-    def without(self, at: int) -> str:
-        return self.word[:at] + self.word[at + 1 :]
-
-    def replaced(self, at: int, letter: int) -> str:
-        return self.word[:at] + chr(_ALPHABET[letter]) + self.word[at + 1 :]
+    def replaced(self, word: int, at: int, letter: int) -> str:
+        w = self.words[word]
+        return w[:at] + chr(_ALPHABET[letter]) + w[at + 1 :]
 
 
 @dataclass(frozen=True)
@@ -191,27 +188,45 @@ def build_filters(words: DataFrame, shards: list[Shard]) -> Filters:
     plan: dict[int, dict[int, Shard]] = {}
     for s in shards:
         plan.setdefault(s.size, {})[s.part] = s
-    names = [f"w{i}" for i in range(8)]
+    cols = [f"w{i}" for i in range(8)]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             for size, group in pdf.groupby("size"):
-                hashes = plain_hash(group["word"].tolist())
+                names, step = group["word"].tolist(), max(1, 90 * SLICE // int(size))
+                hashes = np.concatenate([plain_hash(names[at : at + step]) for at in range(0, len(names), step)])
                 parts = plan[int(size)]
                 part, block = _place(hashes, next(iter(parts.values())))
                 mine = np.isin(part, list(parts))
-                cells = {n: _bit(hashes[mine], i).view(np.int32) for i, n in enumerate(names)}
+                cells = {n: _bit(hashes[mine], i).view(np.int32) for i, n in enumerate(cols)}
                 yield pd.DataFrame({"size": int(size), "part": part[mine], "block": block[mine], **cells})
 
     some = words.filter(F.col("size").isin(list(plan)))
-    rows = some.select("word", "size").mapInPandas(run, "size int, part int, block long, " + ", ".join(f"{n} int" for n in names))
-    rows = rows.groupBy("size", "part", "block").agg(*[F.bit_or(n).alias(n) for n in names]).toPandas()
+    rows = some.select("word", "size").mapInPandas(run, "size int, part int, block long, " + ", ".join(f"{n} int" for n in cols))
+    rows = rows.groupBy("size", "part", "block").agg(*[F.bit_or(n).alias(n) for n in cols]).toPandas()
     out = {s: np.zeros((s.blocks, 8), np.uint32) for s in shards}
     for (size, part), group in rows.groupby(["size", "part"]):
-        out[plan[int(size)][int(part)]][group["block"]] = group[names].to_numpy(np.int32).view(np.uint32)
+        out[plan[int(size)][int(part)]][group["block"]] = group[cols].to_numpy(np.int32).view(np.uint32)
     return Filters(out)
 
 
+def _hits(held: Filters, edits: Edits) -> Iterator[tuple[int, str]]:
+    """Number of a word and an edit of it that the filters may hold."""
+    size, codes = edits.size, edits.codes
+    if size - 1 in held.by_size:
+        # Leaving out either of two equal letters gives one word.
+        fresh = np.concatenate([np.ones((len(codes), 1), bool), codes[:, 1:] != codes[:, :-1]], axis=1)
+        word, at = np.nonzero(fresh)
+        for i in held.holds(edits.deletions()[fresh], size - 1):
+            yield int(word[i]), edits.without(int(word[i]), int(at[i]))
+    for start in range(0, size, SLICE) if size in held.by_size else ():
+        # Of two words that differ in one letter, one has the larger: the pair is met once.
+        larger = _ALPHABET > codes[:, start : start + SLICE, None]
+        word, at, letter = np.nonzero(larger)
+        for i in held.holds(edits.replacements(start, min(size, start + SLICE))[larger], size):
+            yield int(word[i]), edits.replaced(int(word[i]), start + int(at[i]), int(letter[i]))
+
+
 def positives(words: DataFrame, filters: Filters, sizes: list[int]) -> DataFrame:
     """``word, n, other``: edits of ``words`` that the filters may hold."""
     model = words.sparkSession.sparkContext.broadcast(filters)
@@ -219,24 +234,18 @@ def positives(words: DataFrame, filters: Filters, sizes: list[int]) -> DataFrame
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         held = model.value
         for pdf in batches:
-            out = []
-            for word, n in zip(pdf["word"], pdf["n"], strict=True):
-                edits = Edits(word)
-                size = len(edits.codes)
-                for at in held.holds(edits.deletions(), size - 1) if size - 1 in held.by_size else ():
-                    # Leaving out either of two equal letters gives one word.
-                    if not at or edits.codes[at] != edits.codes[at - 1]:
-                        out.append((word, n, edits.without(at)))
-                for start in range(0, size, SLICE) if size in held.by_size else ():
-                    hashes = edits.replacements(start, min(size, start + SLICE))
-                    larger = _ALPHABET[None, :] > edits.codes[start : start + SLICE, None]
-                    place, letter = np.nonzero(larger)
-                    for hit in held.holds(hashes[larger], size):
-                        out.append((word, n, edits.replaced(start + int(place[hit]), int(letter[hit]))))
-            yield pd.DataFrame(out, columns=["word", "n", "other"])
+            for size, group in pdf.groupby("size"):
+                step = max(1, SLICE // int(size))
+                for at in range(0, len(group), step):
+                    some = group.iloc[at : at + step]
+                    names, counts = some["word"].tolist(), some["n"].tolist()
+                    out = [(names[i], counts[i], other) for i, other in _hits(held, Edits(names))]
+                    yield pd.DataFrame(out, columns=["word", "n", "other"])
 
     near = [s for size in sizes for s in (size, size + 1)]
-    return words.filter(F.col("size").isin(near)).select("word", "n").mapInPandas(run, "word string, n long, other string")
+    # The vocabulary is small on disk and each word takes a thousand probes: spread by word.
+    some = words.filter(F.col("size").isin(near)).repartition(parallelism(words.sparkSession), "word")
+    return some.mapInPandas(run, "word string, n long, other string")
 
 
 def near_words(words: DataFrame, limit: int = FILTER_BYTES) -> DataFrame:
