@@ -16,12 +16,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from vidspark.llm.common import parallelism, stored, text_of
+from vidspark.llm.common import parallelism, text_of
 from vidspark.llm.tokens import encoder
 from vidspark.plans.scale import fresh_path, maybe_broadcast
 
 # Ids of one file; a longer document has a file of its own.
-FILE_TOKENS = 16 << 20
+FILE_TOKENS = 8 << 20
 NOTED = 256
 HEAD_BYTES = 256
 MARK, END = "EFTOKENS1", "EFTOKENSEND\n"
@@ -150,49 +150,32 @@ def to_file(part: int, block: int, doc_ids: list, pieces: list[np.ndarray]) -> b
     return b"".join([head, ids, edges, keys])
 
 
-def tokenised(docs: DataFrame, path: str, eos: int) -> DataFrame:
-    """Stored ``doc_id, rid, ids``: the ids of each text and ``eos``, in two or four bytes each."""
-    rows = docs.select(docs["doc_id"].cast("long").alias("doc_id"), F.monotonically_increasing_id().alias("rid"), text_of(docs).alias("text"))
-
-    def run(batches):
-        encode = encoder(path)
-        for batch in batches:
-            out = []
-            for text in batch.column(2):
-                ids = np.append(encode(text.as_py()), np.uint32(eos))
-                kind = "<u2" if ids.max() <= 0xFFFF else "<u4"
-                # The first byte tells the width.
-                out.append(bytes([int(kind[2])]) + ids.astype(kind).tobytes())
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(out, pa.binary())], ["doc_id", "rid", "ids"])
-
-    return stored(rows.mapInArrow(run, "doc_id long, rid long, ids binary"), "token_ids")
-
-
 def write_tokens(docs: DataFrame, path: str, out: str | None = None, eos: int = 0, file_tokens: int = FILE_TOKENS) -> str:
     """Ids of all texts of ``docs`` as files in ascending order of ``doc_id``; the folder they are in.
 
     Ids are those of the vocabulary at ``path``, and ``eos`` ends each document, so null and empty
     texts have one id. Rows with a null ``doc_id`` come first, rows with equal ones in the order of
-    the input; further columns are not read. An empty table gives a folder without documents. Files
+    the input, which should be a stored table; further columns are not read. An empty table gives a folder without documents. Files
     are committed by Spark's writer; a lost executor leaves nothing half-written behind.
     """
     spark = docs.sparkSession
     out = out or fresh_path(spark, "token_files")
-    tokens = tokenised(docs, path, eos)
+    rows = docs.select(docs["doc_id"].cast("long").alias("doc_id"), F.monotonically_increasing_id().alias("rid"), text_of(docs).alias("text"))
 
     def blocks(batches):
         from pyspark import TaskContext
 
-        part, block = TaskContext.get().partitionId(), 0
+        part, block, encode = TaskContext.get().partitionId(), 0, encoder(path)
         doc_ids, pieces, size = [], [], 0
 
         def row():
             return pa.RecordBatch.from_arrays([pa.array([to_file(part, block, doc_ids, pieces)], pa.binary())], ["file"])
 
         for batch in batches:
-            for doc, cell in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                cell = cell.as_py()
-                ids = np.frombuffer(cell, f"<u{cell[0]}", offset=1)
+            for doc, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                ids = np.append(encode(text.as_py()), np.uint32(eos))
+                if ids.max() <= 0xFFFF:
+                    ids = ids.astype(np.uint16)
                 if pieces and size + len(ids) > file_tokens:
                     yield row()
                     doc_ids, pieces, size, block = [], [], 0, block + 1
@@ -203,8 +186,8 @@ def write_tokens(docs: DataFrame, path: str, out: str | None = None, eos: int =
             yield row()
 
     # The row number parts rows of one id, so that they can go to several files.
-    ordered = tokens.repartitionByRange(parallelism(spark), "doc_id", "rid").sortWithinPartitions("doc_id", "rid")
-    files = ordered.select("doc_id", "ids").mapInArrow(blocks, "file binary")
+    ordered = rows.repartitionByRange(parallelism(spark), "doc_id", "rid").sortWithinPartitions("doc_id", "rid")
+    files = ordered.select("doc_id", "text").mapInArrow(blocks, "file binary")
     # Strings of Spark are plain bytes to its text writer: each row becomes a file, followed by the mark.
     writer = files.select(F.col("file").cast("string").alias("value")).write
     writer.option("lineSep", END).option("maxRecordsPerFile", 1).option("compression", "none").text(f"{out}/ids")
