@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from vidspark.operators import geometry as GE
 from vidspark.operators import matching as M
+from vidspark.operators.metric_index import MetricIndex
 from vidspark.params import Matching
 from vidspark.registry.core import VIEWS, bank_desc, patch_desc, query, table, track_points
 
@@ -64,6 +65,13 @@ def _(spark, sf):
     return k.select("q", F.col("g").alias("tpl"), "t", _dist(), "rank")
 
 
+@query("j3_knn_index", "SELECT q, tpl, t, round(d, 4) AS d, CAST(r AS INTEGER) AS rank FROM v_fwd WHERE r <= 2")
+def _(spark, sf):
+    """The form for two large sides that visits only blocks with a possible neighbour."""
+    index = MetricIndex(bank_desc(spark, sf).withColumnRenamed("tpl", "g"), rows=16)
+    return index.search(patch_desc(spark, sf), 2).select("q", F.col("g").alias("tpl"), "t", _dist(), "rank")
+
+
 @query("m2_match_rows", "SELECT patch, tpl, q, t, round(d, 4) AS d FROM v_mutual")
 def _(spark, sf):
     """The form for patches or banks of any size."""
