@@ -101,10 +101,12 @@ def numbered(
     total = df.count()
     if total <= slice_rows:
         return plain(df)
+    slices = max(2, -(-total // slice_rows) * 2)
+    if not keys:
+        return _sliced(df, keys, order, out, start, slices)
     hot = cut(df.groupBy(*keys).count().filter(F.col("count") > slice_rows).select(*keys))
     if hot.isEmpty():
         return plain(df)
-    slices = max(2, -(-total // slice_rows) * 2)
     big = _sliced(df.join(hot, keys, "left_semi"), keys, order, out, start, slices)
     return plain(df.join(hot, keys, "left_anti")).unionByName(big)
 

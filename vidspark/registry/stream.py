@@ -1,4 +1,4 @@
-"""Streaming operators on tables staged as several files, one per trigger."""
+"""Streaming operators on tables staged as slices of rows, one per trigger."""
 
 from __future__ import annotations
 
@@ -33,20 +33,24 @@ def _(spark, sf):
     return drain(SF.stream_frames(spark, path, 1, f.schema))
 
 
-@query("s7_paced_stream", "SELECT stream_id, frame_id, event_id, value FROM v_frames")
+# Records a second of the paced query.
+FPS = 4000
+
+
+@query("s7_paced_stream", f"""SELECT stream_id, frame_id, event_id, value,
+    CAST((row_number() OVER (ORDER BY event_id) - 1) // {FPS} AS BIGINT) AS trigger_no FROM v_frames""")
 def _(spark, sf):
-    """A capped stream delivers everything, just over more triggers."""
-    path, out = fresh_path(spark, "live"), fresh_path(spark, "paced")
-    f = _plain(spark, sf)
-    f.repartitionByRange(FILES, "frame_id").write.parquet(path)
-    df, pace = SF.paced_stream(spark, path, f.schema, files_per_second=2)
-    q = (
-        df.writeStream.format("parquet").option("path", out)
-        .option("checkpointLocation", fresh_path(spark, "state")).trigger(**pace).start()
-    )
+    """A capped stream delivers everything in order, over as many triggers as its rate asks for."""
+    out = fresh_path(spark, "paced")
+    df, pace = SF.paced_stream(_plain(spark, sf), ["event_id"], FPS)
+
+    def write(batch, epoch):
+        batch.withColumn("trigger_no", F.lit(epoch).cast("long")).write.mode("overwrite").parquet(f"{out}/epoch={epoch:09d}")
+
+    q = df.writeStream.foreachBatch(write).option("checkpointLocation", fresh_path(spark, "state")).trigger(**pace).start()
     q.processAllAvailable()
     q.stop()
-    return spark.read.parquet(out)
+    return spark.read.option("basePath", out).parquet(f"{out}/*").drop("epoch")
 
 
 @query("s8_copy_stream", f"SELECT stream_id, frame_id, event_id, value FROM v_frames WHERE frame_id >= 50 AND frame_id < {FAR}")
@@ -95,19 +99,19 @@ def _(spark, sf):
 KSLACK_SQL = "SELECT stream_id, frame_id, event_id, CAST(frame_id AS BIGINT) AS pos FROM v_frames"
 
 
-def _slack(spark, sf):
-    f = _plain(spark, sf).select("stream_id", "frame_id", "event_id")
-    return drain(X.kslack(staged(X.with_end(f, "event_id"), FILES, "event_id"), 5, "event_id", idle_ms=None))
-
-
 @query("x7_kslack", KSLACK_SQL)
 def _(spark, sf):
-    return _slack(spark, sf)
+    f = _plain(spark, sf).select("stream_id", "frame_id", "event_id")
+    return drain(X.kslack(staged(X.with_end(f, "event_id"), FILES, "event_id"), 5, "event_id", idle_ms=None))
 
 
-@query("s10_kslack_sink", f"SELECT stream_id, count(*) AS n, CAST(max(pos) AS BIGINT) AS last FROM ({KSLACK_SQL}) t GROUP BY 1")
+@query("s10_kslack_sink", "SELECT stream_id, frame_id, event_id, CAST(frame_id AS BIGINT) AS place FROM v_frames")
 def _(spark, sf):
-    return _slack(spark, sf).groupBy("stream_id").agg(F.count("*").alias("n"), F.max("pos").alias("last"))
+    """What the sink holds, row by row in its own order."""
+    f = _plain(spark, sf).select("stream_id", "frame_id", "event_id")
+    out = fresh_path(spark, "ordered")
+    ordered_sink(X.kslack(staged(X.with_end(f, "event_id"), FILES, "event_id"), 5, "event_id", idle_ms=None), out, fresh_path(spark, "state")).awaitTermination()
+    return placed(spark.read.option("basePath", out).parquet(f"{out}/*").select("stream_id", "frame_id", "event_id", "_metadata"))
 
 
 @query(

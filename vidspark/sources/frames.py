@@ -104,10 +104,11 @@ def stream_frames(
     return _named(r.schema(ddl).format("image").load(path), "frame", stream_id)
 
 
-def paced_stream(spark: SparkSession, path: str, schema, files_per_second: int, seconds: int = 1):
-    """Rate cap: ``(stream, trigger kwargs)`` taking so many files each trigger."""
-    df = stream_frames(spark, path, max(1, files_per_second * seconds), schema)
-    return df, {"processingTime": f"{seconds} seconds"}
+def paced_stream(df: DataFrame, order: list[str], fps: int, seconds: int = 1):
+    """Rate cap: ``(stream, trigger kwargs)`` taking at most ``fps * seconds`` records every ``seconds``."""
+    from vidspark.streaming.run import paced
+
+    return paced(df, order, fps * seconds), {"processingTime": f"{seconds} seconds"}
 
 
 def assign_frame_ids(

@@ -7,26 +7,43 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vidspark.plans.scale import fresh_path
+from vidspark.plans.scale import fresh_path, numbered
 from vidspark.schema import KEYS
 
-def staged(df: DataFrame, files: int, order: str) -> DataFrame:
-    """``df`` as a stream of ``files`` slices of an integer column, oldest first, one per trigger.
 
-    ``df`` is computed once, into a table. Slices are written one after the other, as a file source
-    takes files by age; each is one file, so give ``files`` in keeping with the size of the input.
+# Rows of one staged file: what a task of a trigger reads.
+FILE_ROWS = 4096
+
+
+def stage_rows(df: DataFrame, order: list[str], cap: int, path: str) -> int:
+    """Writes ``df`` below ``path`` in slices of ``cap`` rows in ``order``; files per slice.
+
+    A file source takes files by age, so slices are written one after the other; within a slice all
+    tasks write, the same number of files for each but the last. ``order`` should tell rows apart.
     """
     spark = df.sparkSession
-    path, whole = fresh_path(spark, "stage"), fresh_path(spark, "whole")
-    df.write.parquet(whole)
-    df = spark.read.schema(df.schema).parquet(whole)
-    lo, hi = df.agg(F.min(order), F.max(order)).first()
-    width = (hi - lo) // files + 1
-    for i in range(files):
-        first = lo + i * width
-        part = df.filter((F.col(order) >= first) & (F.col(order) < first + width))
-        part.coalesce(1).sortWithinPartitions(order).write.mode("append").parquet(path)
-    return spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).parquet(path)
+    whole = fresh_path(spark, "whole")
+    numbered(df, [], order, "_at").write.parquet(whole)
+    rows = spark.read.parquet(whole)
+    total = rows.count()
+    files = max(1, min(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-min(cap, total) // FILE_ROWS)))
+    for first in range(0, max(total, 1), cap):
+        part = rows.filter((F.col("_at") >= first) & (F.col("_at") < first + cap)).drop("_at")
+        # Dealt in turn, so that no file of a whole slice is empty.
+        part.repartition(files).write.mode("append").parquet(path)
+    return files
+
+
+def paced(df: DataFrame, order: list[str], cap: int) -> DataFrame:
+    """``df`` as a stream in ``order`` of which a trigger takes at most ``cap`` rows."""
+    path = fresh_path(df.sparkSession, "stage")
+    files = stage_rows(df, order, max(1, cap), path)
+    return df.sparkSession.readStream.schema(df.schema).option("maxFilesPerTrigger", files).parquet(path)
+
+
+def staged(df: DataFrame, slices: int, order: str) -> DataFrame:
+    """``df`` as a stream of ``slices`` equal slices of rows, least ``order`` first, one per trigger."""
+    return paced(df, [order], -(-df.count() // slices))
 
 
 def drain(stream: DataFrame, checkpoint: str | None = None) -> DataFrame:
