@@ -6,7 +6,7 @@ from tests.oracle import compare, connect
 from vidspark.registry import ORACLES, QUERIES
 
 # The smallest tables leave these nothing to compare.
-BIGGER = {"a5_min_matches", "m6_detect_frozen_bank", "m2_match_patches", "m2_match_rows", "j4_symmetric_matches", "d6_trace_features"}
+BIGGER = {"a5_min_matches", "m6_rank_match_counts", "m2_match_patches", "m2_match_rows", "j4_symmetric_matches", "d6_trace_features"}
 BIGGER_SF = "/root/testdata/sf0.01"
 
 

@@ -1,7 +1,8 @@
 """Feature encoding and recognition: PCA, mixture posteriors, Fisher vectors, classes.
 
-Models are small tables of checked size. Features are encoded where they lie and only
-per-window sums (two numbers per cluster and dimension) are shuffled.
+Models are tables; one of up to ``MODEL_CELLS`` cells is handed to tasks whole, a larger one in
+blocks (``large_models``). Features are encoded where they lie and only per-window sums (two numbers
+per cluster and dimension) are shuffled.
 """
 
 from __future__ import annotations
@@ -20,16 +21,17 @@ from vidspark.schema import FRAME, STREAM
 MIN_PRIOR = 1e-6
 # Part of a window a feature is summed in; set by ``salted``.
 SALT = "_salt"
-# Largest model matrix handed to tasks as numpy arrays.
+# Largest model matrix, or block of one, handed to tasks as numpy arrays.
 MODEL_CELLS = 4_000_000
 
 
 def _collected(df: DataFrame) -> pd.DataFrame:
-    """A model table on the driver, refused beyond ``MODEL_CELLS`` rows; one job."""
-    p = df.limit(MODEL_CELLS + 1).toPandas()
-    if len(p) > MODEL_CELLS:
-        raise ValueError(f"model of over {MODEL_CELLS} cells is too large to hand to every task")
-    return p
+    """A model table on the driver: one of up to ``MODEL_CELLS`` rows, as its callers have checked."""
+    return df.toPandas()
+
+
+def _small(model: DataFrame) -> bool:
+    return model.count() <= MODEL_CELLS
 
 
 def _matrix(p: pd.DataFrame, row: str, col: str, value: str) -> np.ndarray:
@@ -50,8 +52,17 @@ class Mixture:
         self.prior = p.groupby("k")["prior"].first().sort_index().to_numpy(float)
 
     @classmethod
-    def of(cls, model: DataFrame | Mixture) -> Mixture:
-        return model if isinstance(model, cls) else cls(model)
+    def of(cls, model):
+        """Arrays of a model table, or its blocks if it is too large for one task."""
+        from vidspark.operators.large_models import MixtureBlocks
+
+        if isinstance(model, cls | MixtureBlocks):
+            return model
+        return cls(model) if _small(model) else MixtureBlocks(model)
+
+    @property
+    def shape(self) -> tuple[int, int]:
+        return self.mean.shape
 
     def priors(self, spark) -> DataFrame:
         """(k, prior): one row per cluster."""
@@ -83,6 +94,10 @@ class Mixture:
             best = post.argmax(axis=1)
             post = np.zeros_like(post)
             post[np.arange(len(x)), best] = 1.0
+        return self.weighted(x, post)
+
+    def weighted(self, x: np.ndarray, post: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The sums for given posteriors, of which the least are left out."""
         post[:, self.prior < MIN_PRIOR] = 0.0
         post[post < MIN_PRIOR] = 0.0
         u, v = np.zeros_like(self.mean), np.zeros_like(self.mean)
@@ -104,13 +119,23 @@ class Projection:
         self.mean = _collected(mean).sort_values("d")["value"].to_numpy(float)
 
     @classmethod
-    def of(cls, model: Projection | dict[str, DataFrame]) -> Projection:
-        return model if isinstance(model, cls) else cls(model["proj"], model["mean"])
+    def of(cls, model):
+        """Arrays of a model, or its blocks if it is too large for one task."""
+        from vidspark.operators.large_models import ProjectionBlocks
+
+        if isinstance(model, cls | ProjectionBlocks):
+            return model
+        return (cls if _small(model["proj"]) else ProjectionBlocks)(model["proj"], model["mean"])
 
 
 def pca_project(df: DataFrame, model: Projection | dict[str, DataFrame], col: str = "part") -> DataFrame:
     """Replace ``col`` by its projection: subtract the mean, multiply row-major."""
-    model = df.sparkSession.sparkContext.broadcast(Projection.of(model))
+    arrays = Projection.of(model)
+    if not isinstance(arrays, Projection):
+        from vidspark.operators.large_models import project as in_blocks
+
+        return in_blocks(df, arrays, col)
+    model = df.sparkSession.sparkContext.broadcast(arrays)
 
     @F.pandas_udf("array<double>")
     def project(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
@@ -127,7 +152,12 @@ def pca_project(df: DataFrame, model: Projection | dict[str, DataFrame], col: st
 
 def gmm_posteriors(df: DataFrame, model: DataFrame | Mixture, ids: list[str], col: str = "part") -> DataFrame:
     """(ids, k, posterior, log_likelihood) for every feature and cluster."""
-    mix = df.sparkSession.sparkContext.broadcast(Mixture.of(model))
+    arrays = Mixture.of(model)
+    if not isinstance(arrays, Mixture):
+        from vidspark.operators.large_models import posteriors
+
+        return posteriors(df, arrays, ids, col).select(*ids, "log_likelihood", "k", "posterior")
+    mix = df.sparkSession.sparkContext.broadcast(arrays)
     types = dict(df.dtypes)
     out = ", ".join(f"{c} {types[c]}" for c in ids) + ", post array<double>, log_likelihood double"
 
@@ -158,23 +188,13 @@ def fisher_encode(
     ``rows`` features; each part is summed in one task, the parts are then added up.
     """
     arrays = Mixture.of(model)
-    mix = df.sparkSession.sparkContext.broadcast(arrays)
-    types = dict(df.dtypes)
-    keys = ", ".join(f"{c} {types[c]}" for c in windows)
-    out = f"{keys}, n long, k int, d int, u double, v double"
-
-    def run(key, pdf: pd.DataFrame) -> pd.DataFrame:
-        m = mix.value
-        u, v = m.sums(np.stack(pdf[col].to_numpy()).astype(float), fast)
-        kk, dd = np.indices(u.shape)
-        part = pd.DataFrame({"n": len(pdf), "k": kk.ravel(), "d": dd.ravel(), "u": u.ravel(), "v": v.ravel()})
-        for name, value in zip(windows, key):
-            part[name] = value
-        return part[[*windows, "n", "k", "d", "u", "v"]]
-
     cut = df if SALT in df.columns else salted(df.select(*windows, *ids, col), windows, ids, rows, SALT)
-    cut = spread(cut.select(*windows, SALT, col), *windows, SALT)
-    parts = cut.groupBy(*windows, SALT).applyInPandas(run, out)
+    if isinstance(arrays, Mixture):
+        parts = _fisher_parts(cut, arrays, windows, col, fast)
+    else:
+        from vidspark.operators.large_models import fisher_parts
+
+        parts = fisher_parts(cut, arrays, windows, col, fast)
     total = parts.groupBy(*windows, "k", "d").agg(
         F.sum("n").alias("n"), F.sum("u").alias("u"), F.sum("v").alias("v")
     )
@@ -196,6 +216,24 @@ def fisher_encode(
     return fv
 
 
+def _fisher_parts(cut: DataFrame, arrays: Mixture, windows: list[str], col: str, fast: bool) -> DataFrame:
+    mix = cut.sparkSession.sparkContext.broadcast(arrays)
+    types = dict(cut.dtypes)
+    keys = ", ".join(f"{c} {types[c]}" for c in windows)
+    out = f"{keys}, n long, k int, d int, u double, v double"
+
+    def run(key, pdf: pd.DataFrame) -> pd.DataFrame:
+        m = mix.value
+        u, v = m.sums(np.stack(pdf[col].to_numpy()).astype(float), fast)
+        kk, dd = np.indices(u.shape)
+        part = pd.DataFrame({"n": len(pdf), "k": kk.ravel(), "d": dd.ravel(), "u": u.ravel(), "v": v.ravel()})
+        for name, value in zip(windows, key):
+            part[name] = value
+        return part[[*windows, "n", "k", "d", "u", "v"]]
+
+    return spread(cut.select(*windows, SALT, col), *windows, SALT).groupBy(*windows, SALT).applyInPandas(run, out)
+
+
 def signed_sqrt(c):
     return F.signum(c) * F.sqrt(F.abs(c))
 
@@ -259,7 +297,7 @@ def encode_parts(
         part = pca_project(l2_slice(feats, start, n).select(*windows, *ids, SALT, "part"), pca)
         mix = Mixture.of(gmm)
         fv = fv_normalize(fisher_encode(part, mix, windows, ids), mix, windows)
-        k, d = mix.mean.shape
+        k, d = mix.shape
         pos = F.lit(base) + F.col("half") * (k * d) + F.col("k") * d + F.col("d")
         one = fv.select(*windows, pos.cast("int").alias("pos"), "value")
         base += 2 * k * d

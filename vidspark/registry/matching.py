@@ -7,8 +7,11 @@ from pyspark.sql import functions as F
 from vidspark.operators import geometry as GE
 from vidspark.operators import matching as M
 from vidspark.operators.metric_index import MetricIndex
+from vidspark.operators.bank import VersionedBank
 from vidspark.params import Matching
+from vidspark.plans.scale import fresh_path
 from vidspark.registry.core import VIEWS, bank_desc, patch_desc, query, table, track_points
+from vidspark.streaming.run import for_each_epoch, staged
 
 RATIO = 0.95
 
@@ -194,8 +197,8 @@ good AS (SELECT grp, n_inliers, greatest(0, CAST(trunc(ax) AS INTEGER)) AS l, le
 verified AS (SELECT grp, l + 32 AS x, t + 24 AS y, r - l AS w, b - t AS h, CAST(n_inliers AS BIGINT) AS n_inliers FROM good)"""
 
 
-def _verified(spark, sf):
-    m = correspondences(spark, sf)
+def _verified(spark, sf, m=None):
+    m = correspondences(spark, sf) if m is None else m
     sizes = m.select("grp").distinct().select(
         "grp", F.lit(101).alias("tw"), F.lit(97).alias("th"),
         F.struct(
@@ -210,22 +213,24 @@ def _(spark, sf):
     return _verified(spark, sf).select("grp", "rect.*", "n_inliers")
 
 
-@query(
-    "m5_detect",
-    f"""WITH {VERIFY_SQL}, pick AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY grp // 2 ORDER BY grp % 2) AS k FROM verified) t WHERE k = 1)
+DETECT_SQL = f"""WITH {VERIFY_SQL}, pick AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY grp // 2 ORDER BY grp % 2) AS k FROM verified) t WHERE k = 1)
     SELECT u.patch, 0 AS logo_index, b.grp % 2 AS template_id, b.x, b.y, b.w, b.h FROM (SELECT DISTINCT user_id AS patch FROM events) u
-    LEFT JOIN pick b ON b.grp // 2 = u.patch""",
-)
+    LEFT JOIN pick b ON b.grp // 2 = u.patch"""
+
+
+@query("m5_detect", DETECT_SQL)
 def _(spark, sf):
     """Groups play (patch, template): two templates of one logo compete for a patch."""
-    v = _verified(spark, sf).select(
-        F.expr("grp div 2").alias("patch"), F.lit(0).alias("logo_index"), (F.col("grp") % 2).alias("template_id"), "rect"
-    )
+    v = _as_hits(_verified(spark, sf))
     patches = table(spark, sf, "events").selectExpr("user_id AS patch", "0 AS logo_index").distinct()
     d = GE.detect(v, _two_templates(spark, sf), patches, ["patch"])
     return d.select("patch", "logo_index", "template_id", "rect.*")
 
 
+def _as_hits(v):
+    return v.select(F.expr("grp div 2").alias("patch"), F.lit(0).alias("logo_index"), (F.col("grp") % 2).alias("template_id"), "rect")
+
+
 def _two_templates(spark, sf):
     e = table(spark, sf, "events").selectExpr("event_id % 2 AS template_id").groupBy("template_id").count()
     return e.selectExpr(
@@ -234,15 +239,33 @@ def _two_templates(spark, sf):
     )
 
 
+@query("m6_detect_frozen_bank", DETECT_SQL)
+def _(spark, sf):
+    """Patches arrive in slices; each is verified against the templates of a bank that is written once."""
+    bank, out = VersionedBank(spark), fresh_path(spark, "frozen")
+    bank.write(0, _two_templates(spark, sf))
+    patches = table(spark, sf, "events").selectExpr("user_id AS patch", "0 AS logo_index").distinct()
+    pairs = correspondences(spark, sf).withColumn("patch", F.expr("grp div 2"))
+
+    def detect(batch, epoch):
+        own = pairs.join(batch.select("patch"), "patch", "left_semi").drop("patch")
+        found = GE.detect(_as_hits(_verified(spark, sf, own)), bank.read(0), batch, ["patch"])
+        found.write.mode("overwrite").parquet(f"{out}/epoch={epoch:09d}")
+
+    for_each_epoch(staged(patches, 3, "patch"), detect)
+    d = spark.read.option("basePath", out).parquet(f"{out}/*")
+    return d.select("patch", "logo_index", "template_id", "rect.*")
+
+
 @query(
-    "m6_detect_frozen_bank",
+    "m6_rank_match_counts",
     """WITH n AS (SELECT patch, tpl, count(*) AS n_matches FROM v_mutual GROUP BY 1, 2),
     b AS (SELECT tpl, count(*) AS priority FROM v_t GROUP BY 1)
     SELECT patch, CAST(tpl % 3 AS INTEGER) AS logo_index, tpl AS template_id, n_matches FROM (SELECT n.*, row_number() OVER
       (PARTITION BY patch, n.tpl % 3 ORDER BY priority DESC, n.tpl) AS r FROM n JOIN b ON n.tpl = b.tpl) t WHERE r = 1""",
 )
 def _(spark, sf):
-    """No feedback: matches of all patches against a fixed bank, best template per patch and logo."""
+    """Mutual matches of all patches with a fixed bank, best template per patch and logo by count, unverified."""
     from vidspark.operators.bank import rank_templates
 
     m = M.match_patches(patch_desc(spark, sf), bank_desc(spark, sf), RATIO)
