@@ -206,9 +206,12 @@ CLOSED = (
 )
 
 
-def step_frame(live: dict, u: np.ndarray, v: np.ndarray, length: int):
-    """Move all traces of one frame: (still live, finished, dropped) as dicts of point lists."""
-    h, w = u.shape
+def step_frame(live: dict, u: np.ndarray, v: np.ndarray, length: int, at=(0, 0), size=None):
+    """Move all traces of one frame: (still live, finished, dropped) as dicts of point lists.
+
+    ``u`` and ``v`` may be a part of a frame of ``size`` (width, height), from the pixel ``at`` (x, y) on.
+    """
+    w, h = size or u.shape[::-1]
     ids = list(live)
     if not ids:
         return {}, {}, {}
@@ -216,6 +219,7 @@ def step_frame(live: dict, u: np.ndarray, v: np.ndarray, length: int):
     y = np.array([live[i][1][-1] for i in ids])
     p = np.clip(np.floor(x), 0, w - 1).astype(int)
     q = np.clip(np.floor(y), 0, h - 1).astype(int)
+    q, p = q - at[1], p - at[0]
     nx, ny = x + u[q, p], y + v[q, p]
     ok = (nx > 0) & (nx < w) & (ny > 0) & (ny < h)
     on, done, gone = {}, {}, {}
@@ -251,6 +255,33 @@ def _flow_matrix(rows: pd.DataFrame, w: int, h: int):
     return u, v
 
 
+def frame_input(flow: DataFrame, seeds: DataFrame, p: Tracking, segment_frames: int) -> DataFrame:
+    """Flow rows and the seeds that are due in one table, with the segment ``_seg`` of their frame."""
+    none = F.lit(None)
+    arr = "array<double>"
+    a = flow.select(
+        *KEYS, F.col("y").cast("int").alias("row"), F.col("u").cast(arr).alias("u"), F.col("v").cast(arr).alias("v"),
+        none.cast("int").alias("i"), none.cast("int").alias("j"), none.cast("double").alias("x"),
+        none.cast("double").alias("y"), none.cast("string").alias("trace_id"),
+    )
+    b = seeds.filter(S.is_due(FRAME, p.every)).select(
+        *KEYS, none.cast("int").alias("row"), none.cast(arr).alias("u"), none.cast(arr).alias("v"),
+        F.col("i").cast("int").alias("i"), F.col("j").cast("int").alias("j"),
+        F.col("x").cast("double").alias("x"), F.col("y").cast("double").alias("y"), "trace_id",
+    )
+    return a.unionByName(b).withColumn("_seg", F.floor(F.col(FRAME) / segment_frames).cast("int"))
+
+
+def stream_sizes(table: DataFrame, w: int | None, h: int | None) -> DataFrame:
+    """Last frame and size of every stream; without ``w`` and ``h`` that of its flow."""
+    wide = F.max(F.size("u")) if w is None else F.lit(w)
+    high = F.max("row") + 1 if h is None else F.lit(h)
+    # A stream without flow rows has no pixel to move on.
+    return table.groupBy(STREAM).agg(
+        F.max(FRAME).alias("_last"), F.greatest(wide, F.lit(1)).alias("_w"), F.coalesce(high, F.lit(1)).alias("_h")
+    )
+
+
 def track(
     flow: DataFrame,
     seeds: DataFrame,
@@ -271,28 +302,12 @@ def track(
     """
     spark = flow.sparkSession
     root = fresh_path(spark, "track")
-    none = F.lit(None)
-    arr = "array<double>"
-    a = flow.select(
-        *KEYS, F.col("y").cast("int").alias("row"), F.col("u").cast(arr).alias("u"), F.col("v").cast(arr).alias("v"),
-        none.cast("int").alias("i"), none.cast("int").alias("j"), none.cast("double").alias("x"),
-        none.cast("double").alias("y"), none.cast("string").alias("trace_id"),
-    )
-    b = seeds.filter(S.is_due(FRAME, p.every)).select(
-        *KEYS, none.cast("int").alias("row"), none.cast(arr).alias("u"), none.cast(arr).alias("v"),
-        F.col("i").cast("int").alias("i"), F.col("j").cast("int").alias("j"),
-        F.col("x").cast("double").alias("x"), F.col("y").cast("double").alias("y"), "trace_id",
-    )
-    both = a.unionByName(b).withColumn("_seg", F.floor(F.col(FRAME) / segment_frames).cast("int"))
+    both = frame_input(flow, seeds, p, segment_frames)
     both.repartition("_seg", STREAM).write.partitionBy("_seg").parquet(f"{root}/input")
     table = spark.read.parquet(f"{root}/input")
-    wide = F.max(F.size("u")) if w is None else F.lit(w)
-    high = F.max("row") + 1 if h is None else F.lit(h)
-    # A stream without flow rows has no pixel to move on.
-    last = table.groupBy(STREAM).agg(
-        F.max(FRAME).alias("_last"), F.greatest(wide, F.lit(1)).alias("_w"), F.coalesce(high, F.lit(1)).alias("_h")
-    )
-    table = table.join(last, STREAM)
+    # Written once, as every round needs them.
+    stream_sizes(table, w, h).write.parquet(f"{root}/sizes")
+    table = table.join(spark.read.parquet(f"{root}/sizes"), STREAM)
     lo, hi = table.agg(F.min("_seg"), F.max("_seg")).first()
     length, d = p.length, p.min_distance
 

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from vidspark.operators import overlay as O
 from vidspark.operators import tracking as T
+from vidspark.operators.tiles import track_tiled
 from vidspark.params import Tracking
 from vidspark.registry.core import H, VIEWS, W, cell_frames, cells, frames, query, track_points
 from vidspark.registry.relational import HASH_SQL, TRAJ_SQL, trajectory_file
@@ -171,6 +172,13 @@ def _(spark, sf):
     return _ends(tracked(spark, sf, 7))
 
 
+@query("t5_track_tiles", TRACK_SQL)
+def _(spark, sf):
+    """Each stream in tiles of four cells a side."""
+    seeds = T.trace_ids(T.response_threshold(_pixels(spark, sf), _grid(spark, sf), 0.5))
+    return _ends(track_tiled(T.flow_rows(cells(spark, sf)), seeds, 4, W, H, P, 4))
+
+
 STATS = """
 st AS (SELECT *, sqrt((x - px) * (x - px) + (y - py) * (y - py)) AS dist FROM (SELECT *, lag(x) OVER w AS px, lag(y) OVER w AS py FROM v_pts
   WINDOW w AS (PARTITION BY stream_id, trace_id ORDER BY idx)) t),
