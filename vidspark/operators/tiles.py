@@ -106,7 +106,7 @@ def track_tiled(
     d, n, length = p.min_distance, tile_cells, p.length
     both = frame_input(flow, seeds, p, segment_frames)
     both.repartition("_seg", STREAM).write.partitionBy("_seg").parquet(f"{root}/input")
-    table = spark.read.parquet(f"{root}/input")
+    table = spark.read.schema(both.schema).parquet(f"{root}/input")
     sizes = stream_sizes(table, w, h).withColumns(
         {c: F.ceil(F.col(s) / d).cast("int") for c, s in (("_cx", "_w"), ("_cy", "_h"))}
     )

@@ -304,7 +304,7 @@ def track(
     root = fresh_path(spark, "track")
     both = frame_input(flow, seeds, p, segment_frames)
     both.repartition("_seg", STREAM).write.partitionBy("_seg").parquet(f"{root}/input")
-    table = spark.read.parquet(f"{root}/input")
+    table = spark.read.schema(both.schema).parquet(f"{root}/input")
     # Written once, as every round needs them.
     stream_sizes(table, w, h).write.parquet(f"{root}/sizes")
     table = table.join(spark.read.parquet(f"{root}/sizes"), STREAM)

@@ -9,6 +9,7 @@ from vidspark.operators import overlay as O
 from vidspark.operators import pixels as PX
 from vidspark.operators import tiling as G
 from vidspark.operators import tracking as T
+from vidspark.operators.keypoints import scale_extrema
 from vidspark.params import Blocks, Tiling
 from vidspark.plans.scale import fresh_path
 from vidspark.registry.core import H, VIEWS, W, cells, query, table, track_points
@@ -91,6 +92,53 @@ def _(spark, sf):
     return PX.pixel_rows(PX.resize_frames(images(spark, sf), 2 * W, 2 * H, "linear"))
 
 
+# Frames twice as large, and the levels of their first octave, each blurred from the first; 4 deviations of taps, edges repeated.
+VIEWS["v_taps"] = """SELECT level, i, exp(-i * i / (2 * sig * sig)) / sum(exp(-i * i / (2 * sig * sig))) OVER (PARTITION BY level) AS t
+  FROM (SELECT level, sig, unnest(range(-CAST(ceil(4 * sig) AS BIGINT), CAST(ceil(4 * sig) AS BIGINT) + 1)) AS i
+    FROM (SELECT CAST(range AS INTEGER) AS level, CASE range WHEN 0 THEN sqrt(1.6 * 1.6 - 0.25) ELSE CAST(1.6 AS DOUBLE) * sqrt(pow(4, range / 3.0) - 1) END AS sig
+      FROM range(6)) a) b"""
+
+
+UP = 2
+VIEWS["v_large"] = f"""WITH t AS (SELECT CAST(Y AS INTEGER) AS y, CAST(X AS INTEGER) AS x, (Y + 0.5::DOUBLE) / {UP} - 0.5 AS sy, (X + 0.5::DOUBLE) / {UP} - 0.5 AS sx
+    FROM (SELECT range AS Y FROM range({UP * H})) a CROSS JOIN (SELECT range AS X FROM range({UP * W})) b),
+  tap AS (SELECT y, x, least(greatest(CAST(floor(sy) AS INTEGER) + dy, 0), {H - 1}) AS py, least(greatest(CAST(floor(sx) AS INTEGER) + dx, 0), {W - 1}) AS px,
+    CASE dy WHEN 1 THEN sy - floor(sy) ELSE 1 - (sy - floor(sy)) END * CASE dx WHEN 1 THEN sx - floor(sx) ELSE 1 - (sx - floor(sx)) END AS w
+    FROM t CROSS JOIN (SELECT 0 AS dy UNION ALL SELECT 1) a CROSS JOIN (SELECT 0 AS dx UNION ALL SELECT 1) b)
+  SELECT p.stream_id, p.frame_id, tap.y, tap.x, CAST(floor(sum(w * l) + 0.5) AS INTEGER) AS l
+  FROM tap JOIN v_gray p ON p.y = tap.py AND p.x = tap.px GROUP BY 1, 2, 3, 4"""
+
+
+def _blurred(view: str, levels: str) -> str:
+    """``view (…, y, x, l)`` blurred along x, then y, at every level asked for."""
+    return f"""SELECT a.stream_id, a.frame_id, a.level, a.y, a.x, sum(t.t * b.l) AS l FROM (
+      SELECT p.stream_id, p.frame_id, k.level, p.y, p.x FROM {view} p CROSS JOIN (SELECT DISTINCT level FROM v_taps WHERE {levels}) k) a
+      JOIN v_taps t ON t.level = a.level JOIN (
+        SELECT p.stream_id, p.frame_id, t.level, p.y, p.x, sum(t.t * q.l) AS l FROM {view} p JOIN v_taps t ON {levels}
+        JOIN {view} q ON q.stream_id = p.stream_id AND q.frame_id = p.frame_id AND q.y = p.y
+          AND q.x = least(greatest(p.x + t.i, 0), {UP * W - 1}) GROUP BY 1, 2, 3, 4, 5) b
+      ON b.stream_id = a.stream_id AND b.frame_id = a.frame_id AND b.level = a.level AND b.x = a.x
+        AND b.y = least(greatest(a.y + t.i, 0), {UP * H - 1}) GROUP BY 1, 2, 3, 4, 5"""
+
+
+@query(
+    "m1_scale_extrema",
+    f"""WITH base AS MATERIALIZED ({_blurred("v_large", "t.level = 0").replace("WHERE t.level", "WHERE level")}),
+    up AS MATERIALIZED ({_blurred("base", "t.level > 0").replace("WHERE t.level", "WHERE level")}),
+    g AS (SELECT stream_id, frame_id, level, y, x, l FROM base UNION ALL SELECT stream_id, frame_id, level, y, x, l FROM up),
+    d AS MATERIALIZED (SELECT a.stream_id, a.frame_id, a.level, a.y, a.x, b.l - a.l AS value FROM g a JOIN g b
+      ON b.stream_id = a.stream_id AND b.frame_id = a.frame_id AND b.y = a.y AND b.x = a.x AND b.level = a.level + 1),
+    n AS (SELECT p.stream_id, p.frame_id, p.level, p.y, p.x, any_value(p.value) AS value, max(q.value) AS hi, min(q.value) AS lo FROM d p JOIN d q
+      ON q.stream_id = p.stream_id AND q.frame_id = p.frame_id AND abs(q.level - p.level) <= 1 AND abs(q.y - p.y) <= 1 AND abs(q.x - p.x) <= 1
+      AND (q.level <> p.level OR q.y <> p.y OR q.x <> p.x) GROUP BY 1, 2, 3, 4, 5 HAVING count(*) = 26)
+    SELECT stream_id, frame_id, level, y, x, round(value, 4) AS value FROM n WHERE (value > 1 AND value > hi) OR (value < -1 AND value < lo)""",
+)
+def _(spark, sf):
+    large = PX.resize_frames(grays(spark, sf), UP * W, UP * H, col="gray")
+    e = scale_extrema(large, 1.0)
+    return e.select(*KEYS, "level", "y", "x", F.round("value", 4).alias("value"))
+
+
 @query("p2_to_gray", "SELECT stream_id, frame_id, y, x, l AS c0 FROM v_gray")
 def _(spark, sf):
     return PX.pixel_rows(grays(spark, sf), "gray").select(*KEYS, "y", "x", "c0")
