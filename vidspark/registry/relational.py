@@ -747,6 +747,43 @@ def _(spark, sf):
     return B.update_bank(part_bank(spark, sf), found, 4)
 
 
+def _epoch_sql(e: int) -> str:
+    """Bank ``b{e + 1}`` from ``b{e}`` and the finds of epoch ``e``; hosts are taken up once."""
+    return f"""n{e} AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY logo_index, template_id ORDER BY seq, parent_id) AS r
+        FROM raw WHERE e = {e}) t WHERE r = 1 AND (logo_index, template_id) NOT IN (SELECT (logo_index, template_id) FROM b{e}
+        UNION ALL SELECT (logo_index, template_id) FROM raw WHERE e < {e})),
+    c{e} AS (SELECT b.logo_index, b.template_id, is_original, CAST(priority + CASE WHEN is_original = 0 THEN coalesce(d, 0) ELSE 0 END AS BIGINT)
+        AS priority, seq FROM b{e} b LEFT JOIN (SELECT logo_index, parent_id, count(*) AS d FROM n{e} GROUP BY 1, 2) g
+        ON b.logo_index = g.logo_index AND b.template_id = g.parent_id
+      UNION ALL SELECT logo_index, template_id, 0, CAST(0 AS BIGINT), seq FROM n{e}),
+    b{e + 1} AS ({CAPPED.format(src=f'c{e}')})"""
+
+
+EPOCHS = 3
+
+
+@query(
+    "x4_bank_log",
+    f"""WITH {BANK_SQL}, b0 AS (SELECT * FROM bank), raw AS (SELECT CAST(l_partkey % 10 AS INTEGER) AS logo_index,
+      CAST(-1 - l_orderkey AS BIGINT) AS template_id, l_partkey AS parent_id, (l_orderkey * 16 + l_linenumber) * 1000000 + l_partkey AS seq,
+      (l_linenumber - 1) % {EPOCHS} AS e FROM lineitem WHERE l_returnflag = 'R'),
+    {", ".join(_epoch_sql(e) for e in range(EPOCHS))}
+    SELECT v AS version, logo_index, template_id, is_original, priority, seq FROM (SELECT 1 AS v, * FROM b1 UNION ALL SELECT 2, * FROM b2 UNION ALL SELECT 3, * FROM b3) b(v, logo_index, template_id, is_original, priority, seq)""",
+)
+def _(spark, sf):
+    """Every version of a bank kept as a log, with a snapshot in between."""
+    found = table(spark, sf, "lineitem").filter("l_returnflag = 'R'").selectExpr(
+        "CAST(l_partkey % 10 AS int) AS logo_index", "-1 - l_orderkey AS template_id", "l_partkey AS parent_id",
+        "(l_orderkey * 16 + l_linenumber) * 1000000 + l_partkey AS seq", f"(l_linenumber - 1) % {EPOCHS} AS e",
+    )
+    log = B.BankLog(spark, every=2)
+    log.write(0, part_bank(spark, sf))
+    for e in range(EPOCHS):
+        log.advance(e, found.filter(F.col("e") == e), 4, found.filter(F.col("e") < e))
+    out = [log.read(v).select(F.lit(v).alias("version"), *B.BANK) for v in range(1, EPOCHS + 1)]
+    return out[0].unionByName(out[1]).unionByName(out[2])
+
+
 @query(
     "g5_grid_points",
     """SELECT stream_id, frame_id, i, j, j * 5 + 2 AS x, i * 5 + 2 AS y FROM v_cellframes
