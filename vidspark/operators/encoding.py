@@ -198,14 +198,7 @@ def fisher_encode(
     total = parts.groupBy(*windows, "k", "d").agg(
         F.sum("n").alias("n"), F.sum("u").alias("u"), F.sum("v").alias("v")
     )
-    t = total.join(arrays.priors(df.sparkSession), "k")
-    usable = F.col("prior") >= MIN_PRIOR
-    su = F.when(usable, F.col("u") / (F.col("n") * F.sqrt("prior"))).otherwise(0.0)
-    sv = F.when(usable, F.col("v") / (F.col("n") * F.sqrt(2 * F.col("prior")))).otherwise(0.0)
-    fv = t.select(*windows, "k", "d", F.explode(F.array(
-        F.struct(F.lit(0).alias("half"), su.alias("value")),
-        F.struct(F.lit(1).alias("half"), sv.alias("value")),
-    )).alias("_h")).select(*windows, "k", "d", "_h.half", "_h.value")
+    fv = fisher_vector(total, arrays, windows)
     if sqrt:
         fv = fv.withColumn("value", signed_sqrt(F.col("value")))
     if normalized:
@@ -216,6 +209,18 @@ def fisher_encode(
     return fv
 
 
+def fisher_vector(total: DataFrame, arrays, windows: list[str]) -> DataFrame:
+    """Vector entries ``(windows, k, d, half, value)`` from the sums ``u``, ``v`` of ``n`` features per cluster and dimension."""
+    t = total.join(arrays.priors(total.sparkSession), "k")
+    usable = F.col("prior") >= MIN_PRIOR
+    su = F.when(usable, F.col("u") / (F.col("n") * F.sqrt("prior"))).otherwise(0.0)
+    sv = F.when(usable, F.col("v") / (F.col("n") * F.sqrt(2 * F.col("prior")))).otherwise(0.0)
+    return t.select(*windows, "k", "d", F.explode(F.array(
+        F.struct(F.lit(0).alias("half"), su.alias("value")),
+        F.struct(F.lit(1).alias("half"), sv.alias("value")),
+    )).alias("_h")).select(*windows, "k", "d", "_h.half", "_h.value")
+
+
 def _fisher_parts(cut: DataFrame, arrays: Mixture, windows: list[str], col: str, fast: bool) -> DataFrame:
     mix = cut.sparkSession.sparkContext.broadcast(arrays)
     types = dict(cut.dtypes)

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from vidspark.operators import encoding as E
 from vidspark.operators import tracking as T
-from vidspark.operators.bank import VersionedBank
+from vidspark.operators.bank import BankLog
 from vidspark.plans.scale import fresh_path
 from vidspark.registry.core import H, W, cells, detections, frames, placed, query, raw_frames, table
 from vidspark.registry.encoding import SLICES, chain_models, features, weights
@@ -15,8 +15,10 @@ from vidspark.registry.relational import FAR, VIEW_DONE, part_bank
 from vidspark.registry.tracking import P, TRACK_SQL, _grid, _pixels
 from vidspark.sources import frames as SF
 from vidspark.streaming import state as X
+from vidspark.streaming.counters import live_counters
 from vidspark.streaming.feedback import detect_with_feedback, learn_logos, recognise_closed
 from vidspark.streaming.run import drain, ordered_sink, staged
+from vidspark.streaming.windows import recognise_streamed
 
 FILES = 3
 
@@ -53,6 +55,16 @@ def _(spark, sf):
     return spark.read.option("basePath", out).parquet(f"{out}/*").drop("epoch")
 
 
+@query("a10_live_counters", f"""SELECT CAST(n // cap AS BIGINT) AS batch_id, count(*) AS n_rows, true AS timed FROM (SELECT row_number() OVER (ORDER BY event_id) - 1 AS n,
+    (count(*) OVER () + {FILES - 1}) // {FILES} AS cap FROM v_frames) t GROUP BY 1""")
+def _(spark, sf):
+    """What the counters of a stream of three triggers say."""
+    with live_counters(spark) as counters:
+        drain(staged(_plain(spark, sf), FILES, "event_id"))
+    r = counters.table()
+    return r.select("batch_id", "n_rows", ((F.col("latency_ms") > 0) & (F.col("rows_per_second") > 0)).alias("timed"))
+
+
 @query("s8_copy_stream", f"SELECT stream_id, frame_id, event_id, value FROM v_frames WHERE frame_id >= 50 AND frame_id < {FAR}")
 def _(spark, sf):
     out = fresh_path(spark, "copied")
@@ -166,11 +178,23 @@ def _(spark, sf):
     return r.select("win", "label", (F.round("score", 4) + 0.0).alias("score"))
 
 
+@query("x3_stream_fisher", """SELECT 0 AS stream_id, win, label, round(score, 4) + 0.0 AS score FROM v_label
+    WHERE win IN (SELECT win FROM v_x GROUP BY 1 HAVING count(DISTINCT vec_id) = 50)""")
+def _(spark, sf):
+    """The same labels from features that arrive through the stream only."""
+    pcas, gmms = chain_models(spark, sf)
+    w = features(spark, sf).select(
+        F.lit(0).alias("stream_id"), "win", F.col("vec_id").cast("int").alias("frame_id"), F.array("feat").alias("feats")
+    )
+    r = recognise_streamed(staged(w, FILES, "frame_id"), SLICES, pcas, gmms, weights(spark, 600), 6, 50)
+    return r.select("stream_id", "win", "label", (F.round("score", 4) + 0.0).alias("score"))
+
+
 @query("x4_stream_detect_with_feedback")
 def _(spark, sf):
     """A line item finds the template of its part, if the bank of the epoch still has it."""
     li = table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_returnflag")
-    bank = VersionedBank(spark)
+    bank = BankLog(spark)
     bank.write(0, part_bank(spark, sf))
 
     def detect(batch, b):
@@ -188,7 +212,7 @@ def _(spark, sf):
     """Frames of orders arrive in slices; crops of found logos serve the slices after them."""
     from vidspark.registry.flows import HOW, big_images, templates
 
-    bank = VersionedBank(spark)
+    bank = BankLog(spark)
     t = templates(spark, sf)
     bank.write(0, t.select("logo_index", F.col("template_id").cast("long").alias("template_id"), "is_original",
                            F.col("priority").cast("long").alias("priority"), F.col("seq").cast("long").alias("seq"), "image"))
