@@ -67,7 +67,7 @@ def margins(rows: DataFrame, d: float) -> DataFrame:
 
 
 def _to_tiles(part: DataFrame, n: int, d: float) -> DataFrame:
-    """Rows of one segment with the tiles that need them; flow is cut to their pixels."""
+    """Rows with the tiles that need them; flow is cut to their pixels."""
     at = F.floor(F.col("row") / d)
     rows = _tiles(at - F.col("_halo"), F.floor((F.col("row") + 1) / d) + F.col("_halo"), F.col("_cy"), n)
     wide = part.filter("row IS NOT NULL").withColumn("_ty", F.explode(rows))
@@ -79,7 +79,7 @@ def _to_tiles(part: DataFrame, n: int, d: float) -> DataFrame:
         cell = F.least(F.greatest(F.col(c), F.lit(0)), F.col(cells) - 1)
         near = near.withColumn(name, F.explode(_tiles(cell - F.col("_halo"), cell + F.col("_halo"), F.col(cells), n)))
     # Every tile hears of every frame, also where it has no row.
-    sizes = ["_last", "_w", "_h", "_cx", "_cy", "_halo"]
+    sizes = ["_seg", "_last", "_w", "_h", "_cx", "_cy", "_halo"]
     mark = part.select(*KEYS, *sizes).distinct()
     for name, cells in (("_ty", "_cy"), ("_tx", "_cx")):
         mark = mark.withColumn(name, F.explode(_tiles(F.lit(0), F.col(cells), F.col(cells), n)))
@@ -115,6 +115,10 @@ def track_tiled(
     margins(table.join(sizes, STREAM), d).write.parquet(f"{root}/margins")
     halos = spark.read.parquet(f"{root}/margins")
     lo, hi = halos.agg(F.min("_seg"), F.max("_seg")).first()
+    # Cut once, so that a round is a scan of its rows and one exchange.
+    tiled = _to_tiles(table.join(sizes, STREAM).join(halos, [STREAM, "_seg"]), n, d)
+    tiled.repartition("_seg", STREAM, *TILE).write.partitionBy("_seg").parquet(f"{root}/tiled")
+    tiled = spark.read.schema(tiled.schema).parquet(f"{root}/tiled")
 
     def run(key, part: pd.DataFrame, state: pd.DataFrame) -> pd.DataFrame:
         stream, ty, tx = (int(k) for k in key)
@@ -165,14 +169,15 @@ def track_tiled(
 
     state, rounds = spark.createDataFrame([], CLOSED), []
     for s in range(lo or 0, (hi if hi is not None else -1) + 1):
-        at = sizes.join(halos.filter(F.col("_seg") == s).drop("_seg"), STREAM, "left")
-        part = table.filter(F.col("_seg") == s).drop("_seg").join(at, STREAM)
-        held = state.join(at.select(STREAM, "_cx", "_cy", F.coalesce("_halo", F.lit(0)).alias("_halo")), STREAM)
+        part = tiled.filter(F.col("_seg") == s).drop("_seg")
+        halo = halos.filter(F.col("_seg") == s).drop("_seg")
+        held = state.join(sizes.select(STREAM, "_cx", "_cy"), STREAM).join(halo, STREAM, "left")
+        held = held.withColumn("_halo", F.coalesce("_halo", F.lit(0)))
         for name, pos, size in (("_ty", "ys", "_cy"), ("_tx", "xs", "_cx")):
             cell = _cell(F.element_at(pos, -1), F.col(size), d)
             held = held.withColumn(name, F.explode(_tiles(cell - F.col("_halo"), cell + F.col("_halo"), F.col(size), n)))
         step = (
-            spread(_to_tiles(part, n, d), STREAM, *TILE)
+            spread(part, STREAM, *TILE)
             .groupBy(STREAM, *TILE)
             .cogroup(spread(held.drop("_cx", "_cy", "_halo"), STREAM, *TILE).groupBy(STREAM, *TILE))
             .applyInPandas(run, CLOSED)
