@@ -299,8 +299,58 @@ def test_suffix_array(limit, monkeypatch):
         assert suffix.suffix_array(np.array(s), max(s) + 1).tolist() == sorted(range(len(s)), key=lambda i: s[i:])
 
 
-def test_substring_dedup(docs, rows):
-    assert same(substring.substring_dedup(docs).collect(), fx.substring(rows))
+@pytest.mark.parametrize("most", [substring.GROUP_SEGMENTS, 2])
+def test_substring_dedup(docs, rows, most):
+    """Seeds with over ``most`` surroundings take the other exact way."""
+    assert same(substring.substring_dedup(docs, most=most).collect(), fx.substring(rows))
+
+
+def test_substring_dedup_shared_passages(spark):
+    """One passage cut, mended and shifted in many ways, so that a seed has many surroundings."""
+    r = random.Random(11)
+    base = [f"w{i}" for i in range(120)]
+    rows = []
+    for i in range(150):
+        a, b = sorted(r.sample(range(121), 2))
+        part = base[a:b]
+        for _ in range(r.randint(0, 2)):
+            if part:
+                part[r.randrange(len(part))] = f"x{i}"
+        rows.append((i, " ".join([f"p{i}"] * r.randint(0, 3) + part + [f"s{i}"] * r.randint(0, 40))))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    for most in (substring.GROUP_SEGMENTS, 5):
+        assert same(substring.substring_dedup(docs, most=most).collect(), fx.substring(rows))
+
+
+def test_maximal_repeats():
+    """Repeats hold all windows that another segment of the seed has, and none lies in another."""
+    r = np.random.default_rng(5)
+    length, seed = 7, 3
+    several = 0
+    for _ in range(60):
+        values = kernels.mix(r.integers(1, r.choice([2, 3, 4]) + 1, 300).astype(np.uint64))
+        cut = np.sort(r.choice(300, 12, replace=False))
+        begin, end = np.append(0, cut), np.append(cut, 300)
+        text, at, n, anchor, seg = kernels.anchored(values, begin, end, length, seed)
+        parts = {}
+        for t, a, m, k, s in zip(text, at, n, anchor, seg, strict=True):
+            parts[int(k), int(s)] = values[begin[t] + a : begin[t] + a + m + length - 1]
+        keys = sorted(parts)
+        size = np.array([len(parts[k]) for k in keys])
+        anchors = np.array([k[0] for k in keys], np.uint64)
+        got = substring.maximal_repeats(np.concatenate([parts[k] for k in keys]), size, anchors, length, seed)
+        spans = {i: [] for i in range(len(keys))}
+        for i, start, stop in zip(*[c.tolist() for c in got], strict=True):
+            assert stop - start >= length
+            spans[i].append((start, stop))
+        windows = [[tuple(parts[k][j : j + length].tolist()) for j in range(len(parts[k]) - length + 1)] for k in keys]
+        for i, own in spans.items():
+            assert len(set(own)) == len(own)
+            assert not any(a != b and a[0] <= b[0] and b[1] <= a[1] for a in own for b in own)
+            others = {w for j, k in enumerate(keys) if j != i and k[0] == keys[i][0] for w in windows[j]}
+            assert {j for a, b in own for j in range(a, b - length + 1)} == {j for j, w in enumerate(windows[i]) if w in others}
+            several += len(own) > 1
+    assert several
 
 
 def test_anchors_cover_every_window(monkeypatch):
