@@ -1,6 +1,7 @@
 """A small table with every awkward row, and plain versions of the operators."""
 
 import hashlib
+import math
 import random
 import re
 from collections import Counter, defaultdict
@@ -114,3 +115,78 @@ def base_rules(text):
     lines = [x for x in text.split("\n") if WORD.search(x)]
     failed = len(w) < 50 or 100 * len(hit) > 50 * len(w)
     return len(w), sum(map(len, w)), sum(c in "#*$%&|<>" for c in text), len(lines) - len(set(lines)), len(hit), failed
+
+
+def main_script(text, ranges):
+    """Which script most letters have; ``ranges`` are (first code point, script)."""
+    order, times = ["latin", "cyrillic"], Counter()
+    for c in text:
+        if "a" <= c.lower() <= "z" and c.isascii() or 0xC0 <= ord(c) < 0x250:
+            times["latin"] += 1
+        elif ord(c) >= 0x250:
+            name = [s for first, s in ranges if first <= ord(c)][-1]
+            times[name] += 1
+    marked = times.pop("vi", 0)
+    times["latin"] += marked
+    times.pop("", None)
+    order += sorted(set(times) - {"latin", "cyrillic", "other"}) + ["other"]
+    main = max(order, key=lambda x: (times[x], -order.index(x)))
+    return "vi" if main == "latin" and marked and 10 * marked >= times["latin"] else main
+
+
+def fertility(text, lang, ids, pieces, bands, ranges):
+    """Whether characters per token, share of characters without a piece and entropy fit the band."""
+    text = text or ""
+    b = bands.get(lang) or bands[main_script(text, ranges)]
+    per = len(text) / max(1, len(ids))
+    bare = sum(ord(c) > 127 and pieces.piece_to_id(c) == pieces.unk_id() for c in text) / max(1, len(text))
+    n, h = len(ids), 1.0
+    if n > 1:
+        h = -sum(c / n * math.log(c / n) for c in Counter(ids).values()) / math.log(min(n, 1024))
+    # From 128 to 1,024 tokens the floor rises evenly with the logarithm of their number.
+    floor = b.entropy + b.rise * min(1.0, max(0.0, math.log(max(n, 1) / 128, 8)))
+    return b.low <= per <= b.high and bare <= b.fallback and h >= floor
+
+
+def ngram_counts(text):
+    """Word and shape n-grams of a text, and how often each comes."""
+    words = [w.translate(LOW).encode() for w in WORD.findall(text or "")]
+    shapes = []
+    for w in WORD.findall(text or ""):
+        folded = bytes(97 if 97 <= c <= 122 or c > 127 else 65 if 65 <= c <= 90 else 48 if 48 <= c <= 57 else c for c in w.encode())
+        shapes.append(bytes(c for i, c in enumerate(folded) if not i or c != folded[i - 1]))
+    found = Counter()
+    for kind, units, most in (("word", words, 2), ("shape", shapes, 3)):
+        for n in range(1, most + 1):
+            found.update((kind, tuple(units[i : i + n])) for i in range(len(units) - n + 1))
+    return found
+
+
+def follow_leader(rows, place, shards, cost, alpha, beta, l1, l2, rounds):
+    """FTRL-proximal with one dictionary entry per place; ``rows`` are (text, label), ``shards`` lists of row numbers."""
+    vectors = []
+    for text, _ in rows:
+        v, found = defaultdict(float), ngram_counts(text)
+        for gram, times in found.items():
+            v[place(*gram)] += 10.0 * times / max(1, found.total())
+        vectors.append(v)
+
+    def weight(z, n):
+        return 0.0 if abs(z) <= l1 else -(z - math.copysign(l1, z)) / ((beta + math.sqrt(n)) / alpha + l2)
+
+    z, n = Counter(), Counter()
+    for _ in range(rounds):
+        ends = []
+        for own in shards:
+            zs, ns = Counter(z), Counter(n)
+            for i in own:
+                w = {p: weight(zs[p], ns[p]) for p in vectors[i]}
+                dot = sum(w[p] * x for p, x in vectors[i].items())
+                for p, x in vectors[i].items():
+                    g = cost[rows[i][1]] * (1 / (1 + math.exp(-dot)) - rows[i][1]) * x
+                    zs[p] += g - (math.sqrt(ns[p] + g * g) - math.sqrt(ns[p])) / alpha * w[p]
+                    ns[p] += g * g
+            ends.append((zs, ns))
+        z = {p: sum(e[0][p] for e in ends) / len(ends) for p in set().union(*[e[0] for e in ends])}
+        n = {p: sum(e[1][p] for e in ends) / len(ends) for p in set().union(*[e[1] for e in ends])}
+    return {p: weight(z[p], n[p]) for p in z}

@@ -387,11 +387,39 @@ def test_bpe_random_words(library):
         assert codec.ids("a" * n) == library.encode("a" * n, add_special_tokens=False).ids
 
 
-def test_quality_rules(docs, rows):
+def fits(text, lang, library):
+    """The method's verdict by the plain version, with the ids of the tokenizers library."""
+    import sentencepiece
+
+    pieces = sentencepiece.SentencePieceProcessor(model_file=vocabulary("piece_bpe_32k.model"))
+    ids = library.encode(text or "", add_special_tokens=False).ids
+    return fx.fertility(text, lang, ids, pieces, rules.BANDS, rules._RANGES)
+
+
+def test_fertility_verdicts(spark, library):
+    """Mixed scripts, marks, signs and lengths around the rising floor, against the plain version."""
+    r = random.Random(12)
+    words = list(PLAIN.values())
+    made = []
+    for i in range(240):
+        parts = r.choice(words).split(" ") + r.choice(words).split(" ") + ["the", "old", "ạẹ", "# $", "Ａ", "𒀀𒀁", "42"]
+        few = r.sample(parts, r.randint(1, len(parts)))
+        made.append((i, " ".join(r.choice(few) for _ in range(r.choice([60, 200, 1500]))), r.choice([None, "en", "xx"])))
+    got = rules.measure(spark.createDataFrame(made, "doc_id long, text string, lang string"), vocabulary("byte_bpe_50k.json"), vocabulary("piece_bpe_32k.model"))
+    got = {g.doc_id: g for g in got.collect()}
+    want = {i: not fx.base_rules(t)[5] and fits(t, lang, library) for i, t, lang in made}
+    assert {i: g.kept for i, g in got.items()} == want
+    inside = [fits(t, lang, library) for _, t, lang in made]
+    assert 20 < sum(inside) < 220
+
+
+def test_quality_rules(docs, rows, library):
     got = rules.measure(docs, vocabulary("byte_bpe_50k.json"), vocabulary("piece_bpe_32k.model"))
     names = "doc_id n_words word_chars n_symbols n_dup_lines n_repeat_words base_failed".split()
     assert same(got.select(*names).collect(), [(r[0], *fx.base_rules(r[1])) for r in rows])
     assert not got.filter("kept AND base_failed").count()
+    judged = Counter((r[0], not fx.base_rules(r[1])[5] and fits(r[1], r[2], library)) for r in rows)
+    assert Counter(map(tuple, got.select("doc_id", "kept").collect())) == judged
     kept = rules.quality_filter(docs, vocabulary("byte_bpe_50k.json"), vocabulary("piece_bpe_32k.model"))
     assert kept.columns == docs.columns and kept.count() == got.filter("kept").count()
 
@@ -472,6 +500,41 @@ def test_classifier_learns(spark):
     assert {g.score for g in blank} == {0.5}
 
 
+def test_classifier_follows_the_leader(spark):
+    """Scores equal those of a plain loop over dictionaries; only the hash of a word is shared."""
+    r = random.Random(8)
+    words = ["".join(r.choice("abcdeÄé") for _ in range(r.randint(1, 4))) for _ in range(60)] + ["A1b2", "x-y!", "2024", "#", "ABC"]
+    made = [(i, None if i % 31 == 0 else " ".join(r.choice(words[: 40 + 25 * (i % 2)]) for _ in range(r.randint(0, 30)))) for i in range(90)]
+    asked = spark.createDataFrame(made, "doc_id long, text string")
+    quals = {i: int(i % 2 or i % 5 == 0) for i, _ in made if i % 7}
+    got = {g.doc_id: g.score for g in quality.classify(asked, spark.createDataFrame(list(quals.items()), "doc_id long, quality int")).collect()}
+
+    def unit(kind, w):
+        n = sum(int(kernels._TABLE[c]) * pow(kernels._BASE, i, 1 << 64) for i, c in enumerate(w))
+        return kernels.mix(np.array([(n + (len(w) if kind == "word" else 1)) & kernels.M64], np.uint64))
+
+    def place(kind, gram):
+        h = unit(kind, gram[0])
+        for w in gram[1:]:
+            h = kernels.mix(h * np.uint64(kernels._BASE) + unit(kind, w))
+        salt = np.uint64((1 if kind == "word" else 7) * 1_000_003 * len(gram))
+        return int(((h + salt) * np.uint64(kernels._BASE) >> np.uint64(20))[0]) % (1 << quality.BITS)
+
+    dealt = spark.range(90).selectExpr("id", "xxhash64(id, 3) AS o", f"pmod(xxhash64(id), {quality.SHARDS}) AS shard").orderBy("o").collect()
+    used = [d for d in dealt if d.id in quals and zlib.crc32(str(d.id).encode()) % 3 != 1]
+    shards = defaultdict(list)
+    for i, d in enumerate(used):
+        shards[d.shard].append(i)
+    times = Counter(quals[d.id] for d in used)
+    cost = {y: len(used) / (2 * n) for y, n in times.items()}
+    w = fx.follow_leader([(made[d.id][1], quals[d.id]) for d in used], place, [shards[k] for k in sorted(shards)], cost, quality.ALPHA, quality.BETA, quality.L1, quality.L2, quality.ROUNDS)
+    assert sum(x != 0 for x in w.values()) > 50
+    for i, text in made:
+        found = fx.ngram_counts(text)
+        dot = sum(w.get(place(*g), 0.0) * 10.0 * n / found.total() for g, n in found.items())
+        assert abs(got[i] - 1 / (1 + np.exp(-dot))) < 1e-4, i
+
+
 def _check_pieces(got, rows, library, eos=1):
     per = defaultdict(list)
     sequences = defaultdict(list)
@@ -597,15 +660,7 @@ def test_pipeline(spark, tmp_path, library):
     rows_ = [r[:5] for r in fx.documents()]
     spark.createDataFrame(rows_, "doc_id long, text string, lang string, source string, n_chars long").write.parquet(str(tmp_path / "documents.parquet"))
     got = cp.run(spark, str(tmp_path)).collect()
-    enc, pieces = Encoder(vocabulary("byte_bpe_50k.json")), rules.Pieces(vocabulary("piece_bpe_32k.model"))
-    left = []
-    for r in rows_:
-        t = r[1] or ""
-        b = rules.BANDS.get(r[2]) or rules.BANDS[rules.script(t)]
-        ids = enc(t)
-        inside = b.low <= len(t) / max(1, len(ids)) <= b.high and pieces.share(t) <= b.fallback and rules.entropy(ids) >= b.entropy
-        if not fx.base_rules(t)[5] and inside:
-            left.append(r)
+    left = [r for r in rows_ if not fx.base_rules(r[1])[5] and fits(r[1], r[2], library)]
     last = {}
     for r in left:
         k = r[1].translate(fx.LOW)
