@@ -10,6 +10,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -18,6 +19,8 @@ from vidspark.params import Blocks
 from vidspark.schema import IMAGE, KEYS, MODE_BGR, MODE_GRAY, STREAM
 
 ROWS_DDL = "array<struct<y:int,u:array<double>,v:array<double>>>"
+# Frames that are worked on, and descriptors that are handed back, at a time.
+PIECE_FRAMES, PIECE_POINTS = 64, 4096
 
 
 def arrays(p: pd.DataFrame) -> list[np.ndarray | None]:
@@ -155,6 +158,32 @@ def flow_rows(df: DataFrame) -> DataFrame:
     return e.select(*KEYS, "_r.*")
 
 
+def in_pieces(fn: Callable[..., list], kind: pa.DataType):
+    """A scalar Arrow function that turns a few frames at a time into Python values.
+
+    A batch has as many frames as Spark puts in; it stays in Arrow's form.
+    """
+
+    def run(batches):
+        for b in batches:
+            cols = list(b) if isinstance(b, tuple) else [b]
+            for at in range(0, len(cols[0]), PIECE_FRAMES):
+                yield pa.array(fn(*[c.slice(at, PIECE_FRAMES) for c in cols]), kind)
+
+    return run
+
+
+def arrow_arrays(images: pa.StructArray) -> list[np.ndarray | None]:
+    return [None if i is None else K.decode(i["height"], i["width"], i["nChannels"], i["data"]) for i in images.to_pylist()]
+
+
+def arrow_flow(rows: pa.ListScalar) -> tuple[np.ndarray, np.ndarray]:
+    """Both components of one frame's flow, without a Python value per pixel."""
+    v = rows.values
+    order = np.argsort(v.field("y").to_numpy(zero_copy_only=False), kind="stable")
+    return tuple(v.field(c).flatten().to_numpy(zero_copy_only=False).reshape(len(order), -1)[order] for c in "uv")
+
+
 def gradient_histogram(df: DataFrame, col: str = "gray", bins: int = 8) -> DataFrame:
     """Whole-frame orientation histogram per frame (the last corner of the running sums)."""
 
@@ -172,10 +201,12 @@ def gradient_histogram(df: DataFrame, col: str = "gray", bins: int = 8) -> DataF
 def flow_histogram(df: DataFrame, bins: int = 9, zero_below: float | None = 0.4 * 0.4) -> DataFrame:
     """Whole-frame histogram of the flow itself; its last bin counts pixels that hardly move."""
 
-    @F.pandas_udf("array<double>")
-    def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        for s in batches:
-            yield pd.Series([K.orientation_integral(*flow_arrays(r), bins, zero_below)[-1, -1].tolist() for r in s])
+    def histograms(flow):
+        return [K.orientation_integral(*arrow_flow(rows), bins, zero_below)[-1, -1].tolist() for rows in flow]
+
+    @F.arrow_udf("array<double>")
+    def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        yield from in_pieces(histograms, pa.list_(pa.float64()))(batches)
 
     return df.withColumn("hist", run("flow"))
 
@@ -183,15 +214,18 @@ def flow_histogram(df: DataFrame, bins: int = 9, zero_below: float | None = 0.4
 def motion_histogram(df: DataFrame, bins: int = 8, gain: float = 100.0) -> DataFrame:
     """Whole-frame histograms of the gradients of both flow components."""
 
-    @F.pandas_udf("struct<x:array<double>,y:array<double>>")
-    def run(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-        for s in batches:
-            out = []
-            for rows in s:
-                u, v = flow_arrays(rows)
-                hs = [K.orientation_integral(*K.gradients(gain * m), bins)[-1, -1].tolist() for m in (u, v)]
-                out.append(dict(zip("xy", hs)))
-            yield pd.DataFrame(out, columns=["x", "y"])
+    def histograms(flow):
+        out = []
+        for rows in flow:
+            hs = [K.orientation_integral(*K.gradients(gain * m), bins)[-1, -1].tolist() for m in arrow_flow(rows)]
+            out.append(dict(zip("xy", hs)))
+        return out
+
+    pair = pa.struct([(c, pa.list_(pa.float64())) for c in "xy"])
+
+    @F.arrow_udf("struct<x:array<double>,y:array<double>>")
+    def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        yield from in_pieces(histograms, pair)(batches)
 
     return df.withColumn("mbh", run("flow"))
 
@@ -210,32 +244,36 @@ def point_descriptors(frames: DataFrame, points: DataFrame, b: Blocks = Blocks()
     most the frame's live traces.
     """
     pts = points.groupBy(*KEYS).agg(F.collect_list(F.struct("trace_id", "idx", "x", "y")).alias("pts"))
-    both = frames.join(pts, KEYS)
-    one = "array<double>"
-
-    @F.pandas_udf(f"array<struct<trace_id:string,idx:int,hog:{one},mbhx:{one},mbhy:{one}>>")
-    def run(
-        batches: Iterator[tuple[pd.DataFrame, pd.Series, pd.Series]],
-    ) -> Iterator[pd.Series]:
-        for g, f, p in batches:
-            out = []
-            for img, rows, at in zip(arrays(g), f, p):
-                xy = np.array([(r["x"], r["y"]) for r in at], float)
-                u, v = flow_arrays(rows)
-                d = [
-                    K.block_descriptors(K.orientation_integral(*K.gradients(m), b.bins), xy, b.size, b.cells, b.t_cells)
-                    for m in (img, 100.0 * u, 100.0 * v)
-                ]
-                out.append(
-                    [
-                        {"trace_id": r["trace_id"], "idx": int(r["idx"]), "hog": h, "mbhx": x, "mbhy": y}
-                        for r, h, x, y in zip(at, *(m.tolist() for m in d))
-                    ]
-                )
-            yield pd.Series(out)
-
-    e = both.select(*KEYS, F.explode(run("gray", "flow", "pts")).alias("_d"))
-    return e.select(*KEYS, "_d.*")
+    both = frames.select(*KEYS, "gray", "flow").join(pts, KEYS)
+    types = dict(both.dtypes)
+    names = ("hog", "mbhx", "mbhy")
+    out = ", ".join(f"{k} {types[k]}" for k in KEYS) + ", trace_id string, idx int, "
+    out += ", ".join(f"{n} array<double>" for n in names)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, PIECE_FRAMES):
+                piece = batch.slice(at, PIECE_FRAMES)
+                col = {n: piece.column(i) for i, n in enumerate(piece.schema.names)}
+                keys = [col[k].to_pylist() for k in KEYS]
+                for *key, img, rows, own in zip(*keys, arrow_arrays(col["gray"]), col["flow"], col["pts"]):
+                    own = own.values
+                    u, v = arrow_flow(rows)
+                    sums = [K.orientation_integral(*K.gradients(m), b.bins) for m in (img, 100.0 * u, 100.0 * v)]
+                    for first in range(0, len(own), PIECE_POINTS):
+                        p = own.slice(first, PIECE_POINTS)
+                        xy = np.stack([p.field(c).to_numpy(zero_copy_only=False) for c in "xy"], axis=1).astype(float)
+                        d = [K.block_descriptors(m, xy, b.size, b.cells, b.t_cells) for m in sums]
+                        same = [pa.array([k] * len(p), batch.schema.field(c).type) for k, c in zip(key, KEYS)]
+                        cells = [
+                            pa.ListArray.from_arrays(np.arange(0, m.size + 1, m.shape[1], dtype=np.int32), m.ravel()) for m in d
+                        ]
+                        yield pa.RecordBatch.from_arrays(
+                            [*same, p.field("trace_id").cast(pa.string()), p.field("idx").cast(pa.int32()), *cells],
+                            names=[*KEYS, "trace_id", "idx", *names],
+                        )
+
+    return both.mapInArrow(run, out)
 
 
 def mean_pool(desc: DataFrame, cols: list[str], dim: int, t_cells: int = 3, stride: int = 5) -> DataFrame:

@@ -235,10 +235,8 @@ def _(spark, sf):
 @query("d3_mbh", _hist_sql("v_mbhx", "'x' AS axis, ") + " UNION ALL " + _hist_sql("v_mbhy", "'y' AS axis, "))
 def _(spark, sf):
     h = PX.motion_histogram(flows(spark, sf))
-    out = None
-    for a in "xy":
-        one = h.select(F.lit(a).alias("axis"), *KEYS, F.posexplode(f"mbh.{a}").alias("bin", "value"))
-        out = one if out is None else out.unionByName(one)
+    each = F.explode(F.array(*[F.struct(F.lit(a).alias("axis"), F.col(f"mbh.{a}").alias("hist")) for a in "xy"]))
+    out = h.select(*KEYS, each.alias("_h")).select("_h.axis", *KEYS, F.posexplode("_h.hist").alias("bin", "value"))
     return out.withColumn("value", F.round("value", 4) + 0.0)
 
 
@@ -275,12 +273,9 @@ def _(spark, sf):
     fr = grays(spark, sf).join(flows(spark, sf), KEYS)
     d = PX.point_descriptors(fr, points(spark, sf), BLOCKS)
     xy = F.split("trace_id", "_")
-    out = None
-    for c in ("hog", "mbhx", "mbhy"):
-        one = d.select(
-            F.lit(c).alias("channel"), *KEYS, xy[0].cast("double").alias("x"), xy[1].cast("double").alias("y"), F.posexplode(c).alias("pos", "value")
-        )
-        out = one if out is None else out.unionByName(one)
+    each = F.explode(F.array(*[F.struct(F.lit(c).alias("channel"), F.col(c).alias("cells")) for c in ("hog", "mbhx", "mbhy")]))
+    d = d.select(*KEYS, xy[0].cast("double").alias("x"), xy[1].cast("double").alias("y"), each.alias("_c"))
+    out = d.select("_c.channel", *KEYS, "x", "y", F.posexplode("_c.cells").alias("pos", "value"))
     return out.withColumn("value", F.round("value", 4))
 
 
