@@ -40,15 +40,17 @@ def _knn(spark, sf):
 
 def _forward(spark, sf):
     own = patch_desc(spark, sf).select("q", "patch")
-    return M.ratio_test(_knn(spark, sf), RATIO).join(own, "q").withColumnRenamed("g", "tpl")
+    k = M.knn_match(patch_desc(spark, sf), bank_desc(spark, sf).withColumnRenamed("tpl", "g"), 2, ratio=RATIO)
+    return k.join(own, "q").withColumnRenamed("g", "tpl")
 
 
 def _back(spark, sf):
     k = M.knn_match(
         bank_desc(spark, sf).select(F.col("t").alias("q"), "descr"),
         patch_desc(spark, sf).select(F.col("q").alias("t"), F.col("patch").alias("g"), "descr"),
+        ratio=RATIO,
     )
-    b = M.ratio_test(k, RATIO).select(F.col("g").alias("patch"), F.col("q").alias("t"), F.col("t").alias("q"), "d")
+    b = k.select(F.col("g").alias("patch"), F.col("q").alias("t"), F.col("t").alias("q"), "d")
     return b.join(bank_desc(spark, sf).select("t", "tpl"), "t")
 
 
