@@ -59,3 +59,20 @@ def test_pace_and_rest(spark):
     q.stop()
     assert max(rows) <= 10 and max(map(len, got)) <= 10
     assert sorted({v for part in got for v in part}) == list(range(25))
+
+
+def test_slices_are_written_by_one_job(spark):
+    """The number of jobs does not grow with the number of triggers, and the files' order is that of the rows."""
+    df = spark.range(600).withColumnRenamed("id", "v")
+
+    def jobs(cap):
+        spark.sparkContext.setJobGroup(f"stage{cap}", "")
+        path = scale.fresh_path(spark, "stage")
+        R.stage_rows(df, ["v"], cap, path)
+        n = len(spark.sparkContext.statusTracker().getJobIdsForGroup(f"stage{cap}"))
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+        return n
+
+    assert jobs(10) == jobs(300)
+    got = per_epoch(R.paced(df, ["v"], 10))
+    assert [sorted(got[e]) for e in sorted(got)] == [list(range(a, a + 10)) for a in range(0, 600, 10)]
