@@ -146,3 +146,12 @@ def test_every_patch_answers_for_every_logo(spark):
     assert sorted(map(tuple, got.collect())) == [(p, n) for p in range(3) for n in (-2, 7, 90_000)]
     none = answers(patches, meta.limit(0))
     assert none.columns == got.columns and none.isEmpty()
+
+
+def test_slices_are_bounded(spark, monkeypatch):
+    """Small slices of a large table are not so many that they burden the driver."""
+    seen = []
+    monkeypatch.setattr(scale, "MAX_SLICES", 6)
+    monkeypatch.setattr(scale, "_sliced", lambda df, keys, order, out, start, slices: seen.append(slices) or df.withColumn(out, F.lit(0)))
+    scale.numbered(spark.range(1000), [], ["id"], "n", slice_rows=10)
+    assert seen == [6]
