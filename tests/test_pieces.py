@@ -35,3 +35,17 @@ def test_descriptors_come_in_bounded_records(spark, sf, monkeypatch):
     small = {tuple(r[:4]): r for r in PX.point_descriptors(fr, points(spark, sf), Blocks(size=8)).collect()}
     assert whole.keys() == small.keys() and whole
     assert all(np.allclose(whole[k]["mbhx"], small[k]["mbhx"]) for k in whole)
+
+
+def test_sums_of_a_mixture_take_a_piece_at_a_time(monkeypatch):
+    from vidspark.operators import encoding as E
+
+    r, seen = np.random.default_rng(0), []
+    m = E.Mixture.__new__(E.Mixture)
+    m.mean, m.var, m.prior = r.normal(size=(5, 3)), np.ones((5, 3)), np.full(5, 0.2)
+    x = r.normal(size=(1000, 3))
+    want = m.sums(x, False), m.sums(x, True)
+    monkeypatch.setattr(E, "PIECE", 64)
+    plain = E.Mixture.posteriors
+    monkeypatch.setattr(E.Mixture, "posteriors", lambda self, p: seen.append(len(p)) or plain(self, p))
+    assert np.allclose(want, (m.sums(x, False), m.sums(x, True))) and max(seen) == 64
