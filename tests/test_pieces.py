@@ -49,3 +49,19 @@ def test_sums_of_a_mixture_take_a_piece_at_a_time(monkeypatch):
     plain = E.Mixture.posteriors
     monkeypatch.setattr(E.Mixture, "posteriors", lambda self, p: seen.append(len(p)) or plain(self, p))
     assert np.allclose(want, (m.sums(x, False), m.sums(x, True))) and max(seen) == 64
+
+
+def test_logos_are_matched_once(spark, sf, monkeypatch):
+    """No plan after the matching holds the matching itself."""
+    from vidspark.operators import geometry as GE
+    from vidspark.registry.flows import planted
+
+    plans, verify = [], GE.verify_matches
+
+    def seen(matches, sizes, *args):
+        plans.extend(d._jdf.queryExecution().optimizedPlan().toString() for d in (matches, sizes))
+        return verify(matches, sizes, *args)
+
+    monkeypatch.setattr(GE, "verify_matches", seen)
+    assert planted(spark, sf).count() and plans
+    assert not any("FlatMapGroupsInPandas" in p or "FlatMapCoGroupsInPandas" in p for p in plans)
