@@ -112,9 +112,14 @@ def ordered_sink(stream: DataFrame, path: str, checkpoint: str, trigger: dict |
     """Sorted Parquet per epoch; a replayed epoch replaces its own folder."""
 
     def write(batch: DataFrame, epoch: int) -> None:
-        batch.repartitionByRange(*KEYS).sortWithinPartitions(*KEYS).write.mode("overwrite").parquet(
-            f"{path}/epoch={epoch:09d}"
-        )
+        # Ranges are drawn from a sample, which would run the steps of the batch a second time.
+        batch.persist()
+        try:
+            batch.repartitionByRange(*KEYS).sortWithinPartitions(*KEYS).write.mode("overwrite").parquet(
+                f"{path}/epoch={epoch:09d}"
+            )
+        finally:
+            batch.unpersist()
 
     return (
         stream.writeStream.foreachBatch(write)
