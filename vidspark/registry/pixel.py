@@ -340,7 +340,7 @@ def _(spark, sf):
 
 @query("t4_dense_flow")
 def _(spark, sf):
-    pairs = SF.pair_with_previous(grays(spark, sf), ["gray"])
+    pairs = SF.pair_with_previous(grays(spark, sf), ["gray"], costly=True)
     r = PX.flow_rows(PX.dense_flow(pairs))
     return r.select(*KEYS, "y", F.size("u").alias("width"), F.round(F.array_max("u"), 3).alias("max_u"))
 
