@@ -9,7 +9,7 @@ from vidspark.operators import matching as M
 from vidspark.operators.metric_index import MetricIndex
 from vidspark.operators.bank import VersionedBank
 from vidspark.params import Matching
-from vidspark.plans.scale import fresh_path
+from vidspark.plans.scale import cut, fresh_path
 from vidspark.registry.core import VIEWS, bank_desc, patch_desc, query, table, track_points
 from vidspark.streaming.run import for_each_epoch, staged
 
@@ -39,19 +39,17 @@ def _knn(spark, sf):
 
 
 def _forward(spark, sf):
-    own = patch_desc(spark, sf).select("q", "patch")
-    k = M.knn_match(patch_desc(spark, sf), bank_desc(spark, sf).withColumnRenamed("tpl", "g"), 2, ratio=RATIO)
-    return k.join(own, "q").withColumnRenamed("g", "tpl")
+    k = M.knn_match(patch_desc(spark, sf), bank_desc(spark, sf).withColumnRenamed("tpl", "g"), 2, ratio=RATIO, own="patch")
+    return k.withColumnRenamed("g", "tpl")
 
 
-def _back(spark, sf):
+def _back(spark, sf, wanted=None):
     k = M.knn_match(
-        bank_desc(spark, sf).select(F.col("t").alias("q"), "descr"),
+        bank_desc(spark, sf).select(F.col("t").alias("q"), "tpl", "descr"),
         patch_desc(spark, sf).select(F.col("q").alias("t"), F.col("patch").alias("g"), "descr"),
-        ratio=RATIO,
+        ratio=RATIO, own="tpl", wanted=wanted,
     )
-    b = k.select(F.col("g").alias("patch"), F.col("q").alias("t"), F.col("t").alias("q"), "d")
-    return b.join(bank_desc(spark, sf).select("t", "tpl"), "t")
+    return M.turned(k)
 
 
 def _dist():
@@ -105,9 +103,10 @@ def _(spark, sf):
 @query("j4_symmetric_matches", "SELECT patch, tpl, q, t, round(d, 4) AS d FROM v_mutual")
 def _(spark, sf):
     keys = ["patch", "tpl"]
-    m = M.symmetric_matches(
-        M.band_filter(_forward(spark, sf), keys), M.band_filter(_back(spark, sf), keys), keys
-    )
+    # Read twice: pairs that the first direction has not found need not leave the tasks of the other.
+    fwd = cut(M.band_filter(_forward(spark, sf), keys))
+    back = _back(spark, sf, fwd.select(F.col("t").alias("q"), F.col("q").alias("t")))
+    m = M.symmetric_matches(fwd, M.band_filter(back, keys), keys)
     return m.select("patch", "tpl", "q", "t", _dist())
 
 
