@@ -105,7 +105,7 @@ def _(spark, sf):
     keys = ["patch", "tpl"]
     # Read twice: pairs that the first direction has not found need not leave the tasks of the other.
     fwd = cut(M.band_filter(_forward(spark, sf), keys))
-    back = _back(spark, sf, fwd.select(F.col("t").alias("q"), F.col("q").alias("t")))
+    back = _back(spark, sf, M.asked_back(fwd))
     m = M.symmetric_matches(fwd, M.band_filter(back, keys), keys)
     return m.select("patch", "tpl", "q", "t", _dist())
 
